@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import context_tree
+from scholia.llm import context_tree, personal_data, simhash, url_rules
 from scholia.llm._spark import fold, table
 
 
@@ -27,4 +27,27 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree,)}
+#: Host, path, verdict.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the URL rules on every page."""
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url"), "url", rules).drop("url")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of every text, and the smallest doc_id that links at up to 4 bits reach."""
+    groups = simhash.grouped(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return groups.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text: the base ones as a digest, and all of them."""
+    spans = personal_data.found(table(spark, sf_dir, "documents"), "text", "doc_id")
+    counts = [F.expr(f"CAST(size(filter(base, x -> x.kind = '{k}')) AS LONG)").alias(f"n_{k}") for k in personal_data.KINDS]
+    return spans.select(F.col("id").alias("doc_id"), *counts, F.sha2(personal_data._joined("base"), 256).alias("base_sha256"), personal_data._joined("concat(base, added)").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_context_tree, op3_url_rules, op7_simhash, op10_personal_data)}
