@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import context_tree, personal_data, simhash, url_rules
+from scholia.llm import context_tree, language_id, personal_data, simhash, templates, toxicity, url_rules
 from scholia.llm._spark import fold, table
 
 
@@ -27,6 +27,14 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; learns from ids whose crc32 modulo 5 is not 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(fold("doc_id", 5) != 0), "text", "lang")
+    predicted = language_id.predict(docs, "text", "doc_id", model)
+    return predicted.select(F.col("id").alias("doc_id"), F.coalesce(fold("id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 #: Host, path, verdict.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -37,6 +45,21 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url"), "url", rules).drop("url")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; learns from ids whose crc32 modulo 5 is not 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learning = fold("doc_id", 5) != 0
+    model = toxicity.fit(docs.where(learning), "text", "doc_id", table(spark, sf_dir, "labels").where(learning), "toxic")
+    scored = toxicity.score(docs, "text", "doc_id", model)
+    return scored.select(F.col("id").alias("doc_id"), F.coalesce(fold("id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak benchmark items, with the covered share of the item."""
+    found = templates.leaks(table(spark, sf_dir, "documents"), "text", "doc_id", table(spark, sf_dir, "benchmark"), "text", "item_id")
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint of every text, and the smallest doc_id that links at up to 4 bits reach."""
     groups = simhash.grouped(table(spark, sf_dir, "documents"), "text", "doc_id")
@@ -50,4 +73,4 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select(F.col("id").alias("doc_id"), *counts, F.sha2(personal_data._joined("base"), 256).alias("base_sha256"), personal_data._joined("concat(base, added)").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree, op3_url_rules, op7_simhash, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_context_tree, op2_language_id, op3_url_rules, op4_toxicity, op5_templates, op7_simhash, op10_personal_data)}
