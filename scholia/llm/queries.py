@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import context_tree, language_id, personal_data, simhash, templates, toxicity, url_rules
+from scholia.llm import context_tree, language_id, personal_data, piece_codec, simhash, templates, token_counts, toxicity, url_rules
 from scholia.llm._spark import fold, table
 
 
@@ -60,12 +60,28 @@ def op5_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to the same bytes (U+2581 read as a space)."""
+    encoded = piece_codec.encode(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return encoded.select(F.col("id").alias("doc_id"), F.col("ids").alias("token_ids"), "n_tokens", "exact")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint of every text, and the smallest doc_id that links at up to 4 bits reach."""
     groups = simhash.grouped(table(spark, sf_dir, "documents"), "text", "doc_id")
     return groups.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+#: Tokens of a context.
+LIMIT = 4096
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every text with the 32k vocabulary."""
+    counted = token_counts.counts(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every text: the base ones as a digest, and all of them."""
     spans = personal_data.found(table(spark, sf_dir, "documents"), "text", "doc_id")
@@ -73,4 +89,4 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select(F.col("id").alias("doc_id"), *counts, F.sha2(personal_data._joined("base"), 256).alias("base_sha256"), personal_data._joined("concat(base, added)").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree, op2_language_id, op3_url_rules, op4_toxicity, op5_templates, op7_simhash, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_context_tree, op2_language_id, op3_url_rules, op4_toxicity, op5_templates, op6_piece_codec, op7_simhash, op9_token_counts, op10_personal_data)}
