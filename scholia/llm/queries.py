@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import context_tree, language_id, personal_data, piece_codec, simhash, templates, token_counts, toxicity, url_rules
+from scholia.llm import context_tree, language_id, personal_data, piece_codec, pivot_search, simhash, templates, token_counts, toxicity, url_rules
 from scholia.llm._spark import fold, table
 
 
@@ -72,6 +72,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest inner products of every vector whose id is divisible by 50."""
+    return pivot_search.top(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", F.col("vec_id") % 50 == 0, 5)
+
+
 #: Tokens of a context.
 LIMIT = 4096
 
@@ -89,4 +94,4 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select(F.col("id").alias("doc_id"), *counts, F.sha2(personal_data._joined("base"), 256).alias("base_sha256"), personal_data._joined("concat(base, added)").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree, op2_language_id, op3_url_rules, op4_toxicity, op5_templates, op6_piece_codec, op7_simhash, op9_token_counts, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_context_tree, op2_language_id, op3_url_rules, op4_toxicity, op5_templates, op6_piece_codec, op7_simhash, op8_pivot_search, op9_token_counts, op10_personal_data)}
