@@ -154,7 +154,7 @@ class Values:
         heavy = np.argsort(weight)[-(1 << bits) // 2 :]  # the heaviest come last and stand where slots clash
         slot = (mix(keys[heavy]) >> np.uint64(64 - bits)).astype(np.int64)
         self.near_keys = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.near = np.zeros(1 << bits)
+        self.near = np.zeros(1 << bits, values.dtype)
         self.near_keys[slot] = keys[heavy]
         self.near[slot] = values[heavy]
 
@@ -167,7 +167,7 @@ class Values:
             ordered = np.argsort(found)
             at = np.empty(len(found), np.int64)
             at[ordered] = lookup(self.keys, found[ordered])
-            own = np.full(len(found), absent)
+            own = np.full(len(found), absent, self.values.dtype)
             own[at >= 0] = self.values[at[at >= 0]]
             out[rest] = own[number]
         return out

@@ -14,7 +14,7 @@ Counting (each distinct gram of depth + 1 bytes once a task), summing up the
 tree and mixing are distributed; grams of texts that are only scored are carried
 along with count 0, so that every gram met while scoring has its probability. The
 scoring pass reads the table of gram probabilities as a broadcast while it has at
-most `most_broadcast` rows, and else by an equi-join; both give the same sums.
+most `most_broadcast` rows (16 bytes each), and else by an equi-join; both give the same sums.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from scholia.llm._spark import written
 
 DEPTH = 5
 END = 0xFF
-#: Rows of a table that executors may hold whole (12 bytes each).
+#: Rows of a table that executors may hold whole (16 bytes each).
 MOST_BROADCAST = 12_000_000
 #: Distinct keys that a counting task holds before it hands them on.
 HOLD = 1_500_000
@@ -274,17 +274,16 @@ def _keys_of(low: np.ndarray, bounds: np.ndarray, depth: int):
     return keys, np.repeat(np.arange(len(bounds) - 1), np.diff(of)), T.span_hashes(low, starts, ends), owner
 
 
-_held: dict[int, tuple[T.Values, T.Values, T.Values]] = {}
+_held: dict[int, tuple[T.Values, T.Values]] = {}
 
 
-def _scored(depth: int, held, absent: float):
+def _scored(depth: int, held, smoothing: float, offset: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held.id not in _held:
             _held.clear()
-            kind, key, n, value = held.value
-            g, w = kind == GRAM, kind == WORD
-            _held[held.id] = (T.Values(key[g], value[g], n[g]), T.Values(key[w], value[w], n[w], 15), T.Values(key[w], n[w].astype(np.float64), n[w], 15))
-        of_gram, of_word, count = _held[held.id]
+            (gram, value, times), (word, n) = held.value
+            _held[held.id] = (T.Values(gram, value, times), T.Values(word, n, n, 15))
+        of_gram, count = _held[held.id]
         for b in batches:
             data, offsets = T.buffers(b.column("text"))
             n = len(offsets) - 1
@@ -292,8 +291,9 @@ def _scored(depth: int, held, absent: float):
             for i, j, part, bounds in T.runs(data, offsets):
                 keys, of, words, owner = _keys_of(T.lower_ascii(part), bounds, depth)
                 out["score"][i:j] = T.sums_by(of_gram.get(keys, 0.0), of, j - i)
-                out["base"][i:j] = T.sums_by(of_word.get(words, absent), owner, j - i)
-                out["known"][i:j] = T.sums_by(count.get(words, 0.0) > 0, owner, j - i)
+                n_of = count.get(words, 0.0)
+                out["base"][i:j] = T.sums_by(np.log10(n_of + smoothing) - offset, owner, j - i)
+                out["known"][i:j] = T.sums_by(n_of > 0, owner, j - i)
                 out["tokens"][i:j] = np.bincount(owner, minlength=j - i)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(offsets)), pa.array(out["tokens"].astype(np.int64)), pa.array(out["known"].astype(np.int64)), pa.array(out["base"]), pa.array(out["score"])], names=["id", "n_bytes", "words", "known", "base", "total"])
 
@@ -321,6 +321,13 @@ def _emitted(depth: int):
     return run
 
 
+def _columns(df: DataFrame) -> tuple[np.ndarray, ...]:
+    """Columns of a table of a checked size, the key first."""
+    rows = df.toArrow()
+    key, *others = (rows.column(c).to_numpy() for c in rows.column_names)
+    return key.view(np.uint64), *others
+
+
 def score(docs: DataFrame, text: str, row_id: str, model: Trained, *, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """id, n_bytes, words, known, base, total for each row: base is the unigram word score, total the context-tree score (log10).
 
@@ -331,10 +338,10 @@ def score(docs: DataFrame, text: str, row_id: str, model: Trained, *, most_broad
     kind_of_id = source.schema["id"].dataType.simpleString()
     schema = f"id {kind_of_id}, n_bytes long, words long, known long, base double, total double"
     if model.table.count() <= most_broadcast:
-        rows = model.table.toArrow()
-        kind, key, n, value = (rows.column(c).to_numpy() for c in ("kind", "key", "n", "value"))
-        held = spark.sparkContext.broadcast((kind, key.view(np.uint64), n, value))
-        scored = source.mapInArrow(_scored(model.depth, _Held(held), 0.0), schema)
+        gram = _columns(model.table.where(F.col("kind") == GRAM).select("key", F.col("value").cast("float"), F.col("n").cast("float")))
+        word = _columns(model.table.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", F.col("n").cast("double")))
+        held = spark.sparkContext.broadcast((gram, word))
+        scored = source.mapInArrow(_scored(model.depth, _Held(held), model.smoothing, model.offset), schema)
     else:
         numbered = source.withColumn("row", F.monotonically_increasing_id())
         numbered = written(numbered)
