@@ -184,7 +184,7 @@ def class_report(answers: DataFrame, *, weak: float = 0.6) -> DataFrame:
     joined = by.join(roster, "assessment")
     a = F.round(F.col("accuracy"), 9)
     minutes = F.when(a < 0.3, 45).when(a < 0.45, 30).when(a < 0.6, 20).otherwise(15).cast("long")
-    return joined.select("assessment", "concept", "accuracy", "students", "at_risk", F.round((1 - a) * F.col("at_risk") / F.col("roster"), 9).alias("priority"), minutes.alias("minutes"))
+    return joined.select("assessment", "concept", a.alias("accuracy"), "students", "at_risk", F.round((1 - a) * F.col("at_risk") / F.col("roster"), 9).alias("priority"), minutes.alias("minutes"))
 
 
 def shared_gaps(answers: DataFrame, n: int = 10) -> DataFrame:

@@ -76,7 +76,7 @@ def emotions(events: DataFrame) -> DataFrame:
     counts = tagged.groupBy("learner_id", "concept_id", "tag").agg(F.count("*").alias("n"))  # a row for each tag: what follows is small
     valence, arousal = scales.looked_up(F.col("tag"), scales.VALENCE, scales.DEFAULT_VALENCE), scales.looked_up(F.col("tag"), scales.AROUSAL, scales.DEFAULT_AROUSAL)
     levels = counts.withColumns({"v": valence, "a": arousal}).rollup("learner_id", "concept_id", "tag").agg(
-        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("valence"), (F.sum(F.col("n") * F.col("a")) / F.sum("n")).alias("arousal"),
+        F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("v")) / F.sum("n"), 9).alias("valence"), F.round(F.sum(F.col("n") * F.col("a")) / F.sum("n"), 9).alias("arousal"),
         (F.sum(F.when(F.col("v") >= scales.POSITIVE, F.col("n")).otherwise(0)) / F.sum("n")).alias("positive_ratio"), F.grouping_id().alias("g"),
     )
     whole = levels.where("g IN (1, 3)").drop("tag", "g")

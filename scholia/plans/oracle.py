@@ -94,7 +94,7 @@ ORACLE_SQL: dict[str, str] = {
     "overall_mastery": w(EVENTS, MASTERY) + " SELECT learner_id, avg(mastery) AS mastery, count(*) AS concepts FROM mastered GROUP BY ALL",
     "emotion_summary": w(EVENTS) + f""",
 e1 AS (SELECT learner_id, concept_id, nullif(trim(lower(affect)), '') AS tag, {VALENCE.format('affect')} AS v, {AROUSAL.format('affect')} AS a FROM ev),
-e2 AS (SELECT learner_id, concept_id, count(*) AS n, avg(v) AS valence, avg(a) AS arousal, avg((v >= 0.55)::INT) AS positive_ratio FROM e1 GROUP BY GROUPING SETS ((learner_id, concept_id), (learner_id))),
+e2 AS (SELECT learner_id, concept_id, count(*) AS n, round(avg(v), 9) AS valence, round(avg(a), 9) AS arousal, avg((v >= 0.55)::INT) AS positive_ratio FROM e1 GROUP BY GROUPING SETS ((learner_id, concept_id), (learner_id))),
 e3 AS (SELECT learner_id, concept_id, tag, count(*) AS c FROM e1 WHERE tag IS NOT NULL GROUP BY GROUPING SETS ((learner_id, concept_id, tag), (learner_id, tag))),
 e4 AS (SELECT learner_id, concept_id, arg_min(tag, (-c, tag)) AS tag, max(c) / sum(c) AS part FROM e3 GROUP BY ALL)
 SELECT e2.*, CASE WHEN part >= 0.6 THEN tag END AS dominant FROM e2 LEFT JOIN e4 ON e2.learner_id = e4.learner_id AND e2.concept_id IS NOT DISTINCT FROM e4.concept_id""",
@@ -149,7 +149,7 @@ SELECT a, b, i / (t - i) AS similarity FROM j WHERE i / (t - i) >= 0.75""",
     "exact_match": f"WITH p AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS other FROM benchmark) SELECT item_id, CAST({NORM.format('text')} = {NORM.format('other')} AS DOUBLE) AS same FROM p WHERE other IS NOT NULL",
     "groundedness": "WITH t AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS answer, max(text) AS evidence FROM conversations WHERE text IS NOT NULL GROUP BY conv_id), s AS (SELECT conv_id, list_filter(list_transform(regexp_split_to_array(lower(answer), '[.!?\\n]+'), lambda x: trim(x)), lambda x: length(x) > 4) AS ss, lower(evidence) AS e FROM t) SELECT conv_id, CASE WHEN len(ss) > 0 THEN len(list_filter(ss, lambda x: length(x) < 8 OR contains(e, x))) / len(ss) ELSE 0.0 END AS grounded FROM s",
     "evaluate_answers": "WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL), h AS (SELECT *, list_contains(regexp_extract_all(lower(text), '([a-z][a-z0-9-]+)', 1), 'the')::INT AS p1, contains(lower(text), 'of the')::INT AS p2 FROM t), c AS (SELECT *, p1 * 2 + p2 AS g, (p1 + p2) / 2 AS part, NOT regexp_matches(text, '[A-Za-z0-9]') OR lower(trim(regexp_replace(text, '[.! ]+$', ''))) IN ('not attempted', 'no answer', 'blank', 'skipped', 'n/a', 'na', '-', 'none') AS blank, length(trim(text)) < 8 AS short, regexp_matches(text, '(^|[^0-9A-Za-z_])[0-9]{5,}($|[^0-9A-Za-z_])') OR length(text) - length(replace(text, '?', '')) > 2 AS flag FROM h), d AS (SELECT *, greatest(0.05, least(0.95, 0.9 - 0.5 * (1 - abs(2 * part - 1)) - CASE WHEN length(text) < 25 THEN 0.1 ELSE 0 END - CASE WHEN flag THEN 0.25 ELSE 0 END)) AS sure FROM c) SELECT conv_id, turn, CAST(CASE WHEN blank OR short THEN 0 ELSE least(g, 3) END AS BIGINT) AS awarded, CASE WHEN blank THEN 'blank' WHEN short THEN 'noCredit' WHEN g >= 3 THEN 'fullCredit' WHEN g > 0 THEN 'partialCredit' ELSE 'noCredit' END AS verdict, CASE WHEN blank THEN 1.0 WHEN short THEN 0.3 ELSE sure END AS confidence, CASE WHEN blank THEN false WHEN short THEN true ELSE sure < 0.75 OR flag END AS needs_review FROM d",
-    "class_insights": w(ANSWERS) + ", p AS (SELECT assessment, concept, student, sum(awarded) / sum(max_marks) AS r FROM an GROUP BY ALL), o AS (SELECT assessment, count(DISTINCT student) AS roster FROM an GROUP BY ALL), c AS (SELECT assessment, concept, avg(r) AS accuracy, count(*) AS students, count(*) FILTER (r < 0.6) AS at_risk FROM p GROUP BY ALL) SELECT assessment, concept, accuracy, students, at_risk, round((1 - round(accuracy, 9)) * at_risk / roster, 9) AS priority, CAST(CASE WHEN round(accuracy, 9) < 0.3 THEN 45 WHEN round(accuracy, 9) < 0.45 THEN 30 WHEN round(accuracy, 9) < 0.6 THEN 20 ELSE 15 END AS BIGINT) AS minutes FROM c JOIN o USING (assessment)",
+    "class_insights": w(ANSWERS) + ", p AS (SELECT assessment, concept, student, sum(awarded) / sum(max_marks) AS r FROM an GROUP BY ALL), o AS (SELECT assessment, count(DISTINCT student) AS roster FROM an GROUP BY ALL), c AS (SELECT assessment, concept, avg(r) AS accuracy, count(*) AS students, count(*) FILTER (r < 0.6) AS at_risk FROM p GROUP BY ALL) SELECT assessment, concept, round(accuracy, 9) AS accuracy, students, at_risk, round((1 - round(accuracy, 9)) * at_risk / roster, 9) AS priority, CAST(CASE WHEN round(accuracy, 9) < 0.3 THEN 45 WHEN round(accuracy, 9) < 0.45 THEN 30 WHEN round(accuracy, 9) < 0.6 THEN 20 ELSE 15 END AS BIGINT) AS minutes FROM c JOIN o USING (assessment)",
     "at_risk": w(ANSWERS) + " SELECT student, sum(awarded) / sum(max_marks) AS ratio, count(*) AS answers, count(DISTINCT concept) AS concepts FROM an GROUP BY student HAVING sum(awarded) / sum(max_marks) < 0.5",
     "shared_gaps": w(ANSWERS) + ", o AS (SELECT assessment, count(DISTINCT student) AS roster FROM an GROUP BY ALL), g AS (SELECT assessment, gap, count(DISTINCT student) AS students FROM an WHERE awarded < max_marks / 2 GROUP BY ALL HAVING count(DISTINCT student) > 1) SELECT assessment, gap, students, 100.0 * students / roster AS percent, rank FROM (SELECT *, row_number() OVER (PARTITION BY assessment ORDER BY students DESC, gap) AS rank FROM g JOIN o USING (assessment)) WHERE rank <= 10",
     "school_rollup": w(ANSWERS) + ", p AS (SELECT n_name AS school, student, concept, sum(awarded) / sum(max_marks) AS r FROM an JOIN customer ON student = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), s AS (SELECT school, count(*) AS students, avg(m) AS mean FROM (SELECT school, student, avg(r) AS m FROM p GROUP BY ALL) GROUP BY ALL), c AS (SELECT school, count(*) AS concepts, arg_min(concept, (round(r, 9), concept)) AS weakest FROM (SELECT school, concept, avg(r) AS r FROM p GROUP BY ALL) GROUP BY ALL) SELECT * FROM s JOIN c USING (school)",
@@ -174,7 +174,7 @@ un AS (SELECT learner_id, unnest(['Realistic','Investigative','Artistic','Social
 cd AS (SELECT learner_id, string_agg(substr(d, 1, 1), '' ORDER BY r) AS holland_code FROM (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY round(s, 4) DESC, d) AS r FROM un) WHERE r <= 3 GROUP BY ALL)
 SELECT learner_id, t AS evidence, realistic / t AS realistic, investigative / t AS investigative, artistic / t AS artistic, social / t AS social, enterprising / t AS enterprising, conventional / t AS conventional, holland_code FROM tt JOIN cd USING (learner_id)""",
     "reward_policy": w(EVENTS, MASTERY) + """,
-rs AS (SELECT learner_id, concept_id, max_by(affect, seq) AS last_affect, max_by(outcome, seq) FILTER (outcome IS NOT NULL) AS last_outcome FROM ev GROUP BY ALL),
+rs AS (SELECT learner_id, concept_id, arg_max_null(affect, seq) AS last_affect, max_by(outcome, seq) FILTER (outcome IS NOT NULL) AS last_outcome FROM ev GROUP BY ALL),
 rw AS (SELECT m.*, coalesce(last_affect = 'frustrated', false) AS fr, coalesce(last_outcome >= 0.4 AND last_outcome < 0.5, false) AS near FROM mastered m JOIN rs USING (learner_id, concept_id))
 SELECT learner_id, concept_id, CASE WHEN attempts < 1 THEN 'none' WHEN fr OR near THEN 'encourage' WHEN mastery >= 0.85 THEN 'celebrate' WHEN round(0.6 * greatest(0.0, least(1.0, greatest(correct_runs / 3, attempts / 5))) + 0.4 * accuracy, 9) >= 0.8 AND correct_runs >= 1 THEN 'celebrate' WHEN accuracy < 0.2 THEN 'encourage' WHEN correct_runs >= 2 OR attempts >= 2 THEN 'acknowledge' ELSE 'none' END AS action
 FROM (SELECT *, round(accuracy * attempts) AS correct_runs FROM rw)""",
