@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm import _text as T
+from scholia.llm._spark import written
 
 BITS = 18
 PREFIX = 5
@@ -81,49 +82,68 @@ class Voters:
         return out
 
 
-def _entries(texts: pa.Array, toxic: np.ndarray) -> Voters:
-    data, offsets = T.buffers(texts)
-    hs, ks, ys, owners = [], [], [], []
-    for i, _j, part, bounds in T.runs(data, offsets):
-        h, kind, owner = features(part, bounds)
-        at, number, _ = T.distinct(h)
-        pair = np.unique(owner * len(at) + number)
-        kinds = np.zeros(len(at), np.int8)
-        kinds[number] = kind
-        hs.append(at[pair % len(at)] if len(at) else at)
-        ks.append(kinds[pair % len(at)] if len(at) else kinds)
-        owners.append(i + pair // max(1, len(at)))
-        ys.append(toxic[owners[-1]])
-    if not hs:
-        return Voters(np.zeros(0, np.uint64), np.zeros(0, np.int8))
-    h, kind, y = np.concatenate(hs), np.concatenate(ks), np.concatenate(ys)
-    at, number, n = T.distinct(h)
-    kinds = np.zeros(len(at), np.int8)
-    kinds[number] = kind
-    pos = np.bincount(number, weights=y, minlength=len(at))
-    neg = n - pos
-    total_pos, total_neg = toxic.sum(), len(toxic) - toxic.sum()
-    odds = np.log((pos + 0.5) / (total_pos + 1)) - np.log((neg + 0.5) / (total_neg + 1))
-    able = (pos >= LEAST) & (odds >= ODDS) & (pos >= PURITY * n)
-    # by falling count; an entry must find LEAST toxic texts that no entry before it finds, or copies of one text would bring in all its words
-    order = np.argsort(-pos, kind="stable")
-    rank = np.full(len(at), -1)
-    rank[order[able[order]]] = np.arange(able.sum())
-    text = np.concatenate(owners)
-    held = (rank[number] >= 0) & (y > 0)
-    held_rank, held_text = rank[number][held], text[held]
-    by_entry = np.argsort(held_rank, kind="stable")
-    held_rank, held_text = held_rank[by_entry], held_text[by_entry]
-    bounds = np.searchsorted(held_rank, np.arange(able.sum() + 1))
-    found = np.zeros(len(toxic), bool)
+def _odds_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each entry, the labelled texts that hold it, and the toxic ones; summed in the task."""
+    for b in batches:
+        data, offsets = T.buffers(b.column("text"))
+        toxic = b.column("y").to_numpy(zero_copy_only=False)
+        for i, _, part, bounds in T.runs(data, offsets):
+            h, kind, owner = features(part, bounds)
+            at, number, _ = T.distinct(h)
+            if len(at) == 0:
+                continue
+            kinds = np.zeros(len(at), np.int8)
+            kinds[number] = kind
+            pair = np.unique(owner * len(at) + number)
+            n = np.bincount(pair % len(at), minlength=len(at))
+            pos = np.bincount(pair % len(at), weights=toxic[i + pair // len(at)], minlength=len(at)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(kinds), pa.array(n), pa.array(pos)], names=["h", "kind", "n", "pos"])
+
+
+def _held_by(entries):
+    """Which of the entries each toxic text holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = T.buffers(b.column("text"))
+            rows = b.column("row").to_numpy()
+            for i, _, part, bounds in T.runs(data, offsets):
+                h, _, owner = features(part, bounds)
+                at = T.lookup(entries.value, h)
+                hit = np.flatnonzero(at >= 0)
+                pair = np.unique(owner[hit] * len(entries.value) + at[hit]) if len(hit) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[i + pair // max(1, len(entries.value))]), pa.array((pair % max(1, len(entries.value))).astype(np.int32))], names=["row", "entry"])
+
+    return run
+
+
+def _entries(labelled: DataFrame, total_pos: int, total: int) -> Voters:
+    """Lexicon and patterns of the labelled rows (row, text, y), chosen by falling count so that each finds LEAST toxic texts that none before it finds.
+
+    Without that, copies of one toxic text would bring in all its words. The driver holds the able entries and their toxic texts,
+    both bounded by the sample.
+    """
+    summed = labelled.mapInArrow(_odds_counted, "h long, kind byte, n long, pos long").groupBy("h").agg(F.max("kind").alias("kind"), F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    odds = F.log((F.col("pos") + 0.5) / (total_pos + 1)) - F.log((F.col("n") - F.col("pos") + 0.5) / (total - total_pos + 1))
+    able = summed.where((F.col("pos") >= LEAST) & (odds >= ODDS) & (F.col("pos") >= PURITY * F.col("n"))).toArrow()
+    h, kind, pos = able.column("h").to_numpy().view(np.uint64), able.column("kind").to_numpy(), able.column("pos").to_numpy()
+    order = np.argsort(h)
+    h, kind, pos = h[order], kind[order], pos[order]
+    shared = labelled.sparkSession.sparkContext.broadcast(h)
+    held = labelled.where("y > 0").select("row", "text").mapInArrow(_held_by(shared), "row long, entry int").toArrow()
+    entry, text = held.column("entry").to_numpy(), held.column("row").to_numpy()
+    _, text = np.unique(text, return_inverse=True)
+    by = np.argsort(entry, kind="stable")
+    entry, text = entry[by], text[by]
+    bounds = np.searchsorted(entry, np.arange(len(h) + 1))
+    found = np.zeros(int(text.max(initial=-1)) + 1, bool)
     chosen = []
-    for r, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        texts_of = held_text[a:b]
-        if (~found[texts_of]).sum() >= LEAST:
-            found[texts_of] = True
-            chosen.append(order[able[order]][r])
-    chosen = np.array(chosen, np.int64)
-    return Voters(at[chosen], kinds[chosen])
+    for e in np.lexsort((h, -pos)).tolist():
+        of = text[bounds[e] : bounds[e + 1]]
+        if (~found[of]).sum() >= LEAST:
+            found[of] = True
+            chosen.append(e)
+    return Voters(h[chosen], kind[chosen])
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 60) -> np.ndarray:
@@ -154,39 +174,67 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, rounds:
     return posterior
 
 
-def train_linear(texts: pa.Array, target: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights by bucket and intercept of a logistic regression on soft labels; only buckets that lean to a class keep a weight."""
-    data, offsets = T.buffers(texts)
-    rows, cols = [], []
-    for i, _, part, bounds in T.runs(data, offsets):
-        h, _, owner = features(part, bounds)
-        row, col = _pairs(h, owner)
-        rows.append(row + i)
-        cols.append(col)
+def _targets(data: np.ndarray, bounds: np.ndarray, voters: Voters, posterior: dict[int, float]):
+    h, _, owner = features(data, bounds)
+    n = len(bounds) - 1
+    return h, owner, np.array([posterior.get(v, 0.0) for v in voters.votes(h, owner, n).tolist()])
+
+
+def _leaning(shared):
+    """Of each bucket, the texts that hold it, and the sum of their posteriors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, pos = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for b in batches:
+            data, offsets = T.buffers(b.column("text"))
+            for _, _, part, bounds in T.runs(data, offsets):
+                h, owner, target = _targets(part, bounds, *shared.value)
+                row, col = _pairs(h, owner)
+                n += np.bincount(col, minlength=1 << BITS)
+                pos += np.bincount(col, weights=target[row], minlength=1 << BITS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(pos[at])], names=["bucket", "n", "pos"])
+
+    return run
+
+
+def _examples(shared, buckets):
+    """Posterior and chosen buckets of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = np.zeros(1 << BITS, bool)
+        use[buckets.value] = True
+        for b in batches:
+            data, offsets = T.buffers(b.column("text"))
+            for i, j, part, bounds in T.runs(data, offsets):
+                h, owner, target = _targets(part, bounds, *shared.value)
+                row, col = _pairs(h, owner)
+                row, col = row[use[col]], col[use[col]]
+                at = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(target), pa.ListArray.from_arrays(pa.array(at), pa.array(col.astype(np.int32)))], names=["target", "buckets"])
+
+    return run
+
+
+def train_linear(target: np.ndarray, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights by bucket and intercept of a logistic regression of soft labels on (row, bucket) pairs."""
     weights = np.zeros(1 << BITS)
-    if not rows:
+    if len(target) == 0:
         return weights, -3.0
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    pos = np.bincount(col, weights=target[row], minlength=1 << BITS)
-    n = np.bincount(col, minlength=1 << BITS)
     base = np.clip(target.mean(), 1e-3, 1 - 1e-3)
-    odds = np.log((pos + base) / (n - pos + (1 - base))) - np.log(base / (1 - base))
-    use = (pos >= LEAST) & (odds > ODDS) & (pos >= LEANS * n)
-    code = np.cumsum(use) - 1
-    keep = use[col]
-    row, col = row[keep], code[col[keep]]
-    w, b = np.zeros(int(use.sum())), float(np.log(base / (1 - base)))
+    used, code = np.unique(col, return_inverse=True)
+    w, b = np.zeros(len(used)), float(np.log(base / (1 - base)))
     g2w, g2b = np.full(len(w), 1e-6), 1e-6
     for _ in range(STEPS):  # full batches, Adagrad
-        z = b + np.bincount(row, weights=w[col], minlength=len(target))
+        z = b + np.bincount(row, weights=w[code], minlength=len(target))
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        gw = np.bincount(col, weights=error[row], minlength=len(w)) + RIDGE * w
+        gw = np.bincount(code, weights=error[row], minlength=len(w)) + RIDGE * w
         gb = error.sum()
         g2w += gw * gw
         g2b += gb * gb
         w -= 0.5 * gw / np.sqrt(g2w)
         b -= 0.5 * gb / np.sqrt(g2b)
-    weights[use] = w
+    weights[used] = w
     return weights, b
 
 
@@ -215,25 +263,35 @@ def fit(docs: DataFrame, text: str, row_id: str, labels: DataFrame, label: str,
     rows = docs.select(F.col(row_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(row_id).alias("id")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
     order = F.xxhash64(F.col("id"), F.lit(7))
-    # the ids of the sample first, then their texts: texts are not sorted
-    picked = rows.select("id").join(marks, "id").orderBy(order, "id").limit(sample)
-    labelled = rows.join(picked, "id").select("id", F.substring("text", 1, 1 << 20).alias("text"), "y").toArrow()
-    toxic = labelled.column("y").to_numpy()
-    voters = spark.sparkContext.broadcast(_entries(labelled.column("text").combine_chunks(), toxic))
-    counted = rows.select("text").mapInArrow(_voted(voters), "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n"))
-    counted = counted.toArrow()  # one row for each pattern of votes
-    patterns, counts = counted.column("votes").to_numpy(), counted.column("n").to_numpy().astype(float)
-    prior = float(toxic.mean()) if len(toxic) else 0.0
-    posterior = dict(zip(patterns.tolist(), label_model(patterns, counts, prior).tolist(), strict=True)) if len(patterns) and toxic.sum() else {}
-    others = rows.select("id").join(picked.select("id"), "id", "left_anti").orderBy(order, "id").limit(sample)
-    more = rows.join(others, "id").select(F.substring("text", 1, 1 << 20).alias("text")).toArrow()
-    texts = pa.concat_arrays([*labelled.column("text").chunks, *more.column("text").chunks]) if len(labelled) + len(more) else pa.array([], pa.string())
-    data, offsets = T.buffers(texts)
-    target = np.zeros(len(texts))
-    for i, j, part, bounds in T.runs(data, offsets):
-        h, _, owner = features(part, bounds)
-        target[i:j] = [posterior.get(v, 0.0) for v in voters.value.votes(h, owner, j - i).tolist()]
-    return Trained(*train_linear(texts, target))
+    # ids first, of which there are `sample` at most, then their texts
+    ids = rows.select("id").distinct()
+    labelled = ids.join(marks, "id").orderBy(order, "id").limit(sample)
+    others = ids.join(marks, "id", "left_anti").orderBy(order, "id").limit(sample).withColumn("y", F.lit(None).cast("double"))
+    picked = F.broadcast(labelled.unionByName(others))
+    chosen = written(rows.join(picked, "id").select(F.monotonically_increasing_id().alias("row"), "text", "y"))
+    known = chosen.where("y IS NOT NULL")
+    counted = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("pos")).first()
+    voters = _entries(known, int(counted.pos), counted.n)
+    shared = spark.sparkContext.broadcast(voters)
+    votes = rows.select("text").mapInArrow(_voted(shared), "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+    votes = votes.toArrow()  # one row for each pattern of votes, 2**16 at most
+    patterns, counts = votes.column("votes").to_numpy(), votes.column("n").to_numpy().astype(float)
+    prior = counted.pos / counted.n if counted.n else 0.0
+    posterior = dict(zip(patterns.tolist(), label_model(patterns, counts, prior).tolist(), strict=True)) if len(patterns) and counted.pos else {}
+    model = spark.sparkContext.broadcast((voters, posterior))
+    sums = chosen.select("text").mapInArrow(_leaning(model), "bucket int, n double, pos double").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    sums = sums.toArrow()  # 2**BITS rows at most
+    n, pos, bucket = (sums.column(c).to_numpy() for c in ("n", "pos", "bucket"))
+    total = chosen.count()
+    base = min(1 - 1e-3, max(1e-3, sum(posterior.get(p, 0.0) * c for p, c in zip(patterns.tolist(), counts.tolist(), strict=True)) / max(1.0, counts.sum())))
+    odds = np.log((pos + base) / (n - pos + (1 - base))) - np.log(base / (1 - base))
+    use = spark.sparkContext.broadcast(np.sort(bucket[(pos >= LEAST) & (odds > ODDS) & (pos >= LEANS * n)]))
+    examples = chosen.select("text").mapInArrow(_examples(model, use), "target double, buckets array<int>").toArrow() if total else None
+    if examples is None:
+        return Trained(np.zeros(1 << BITS), -3.0)
+    lists = examples.column("buckets").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    return Trained(*train_linear(examples.column("target").to_numpy(), np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy()))
 
 
 def _scored(model):
