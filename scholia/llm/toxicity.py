@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
 Voters. From a bounded sample of labelled rows come a lexicon (words) and patterns (word beginnings of
-PREFIX bytes) whose smoothed log odds for the toxic label reach ODDS,
+PREFIXES bytes) whose smoothed log odds for the toxic label reach ODDS,
 which stand almost only in toxic texts (PURITY) and find at least LEAST of them that no commoner entry finds. Entries are dealt by hash to
 VOTERS voters each; a voter votes toxic if the text holds one of its entries and abstains otherwise. The
 last voter votes clean when no other votes.
@@ -31,7 +31,7 @@ from scholia.llm import _text as T
 from scholia.llm._spark import written
 
 BITS = 18
-PREFIX = 5
+PREFIXES = (4, 5)
 VOTERS = 8
 SAMPLE = 20_000
 ODDS = 2.5
@@ -49,10 +49,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Hashes of each text's words (lower-cased letters) and word beginnings, their kinds, and their texts; repeats included."""
     low = T.lower_ascii(data)
     starts, ends, owner = T.tokens(_LETTER[low], offsets)
-    long = ends - starts >= PREFIX
-    words = T.span_hashes(low, starts, ends)
-    heads = T.mix(T.span_hashes(low, starts[long], starts[long] + PREFIX) + np.uint64(START))
-    return np.concatenate([words, heads]), np.repeat(np.array([WORD, START], np.int8), [len(words), len(heads)]), np.concatenate([owner, owner[long]])
+    hashes, owners = [T.span_hashes(low, starts, ends)], [owner]
+    for n in PREFIXES:
+        long = ends - starts >= n
+        hashes.append(T.mix(T.span_hashes(low, starts[long], starts[long] + n) + np.uint64(START)))
+        owners.append(owner[long])
+    kinds = np.repeat(np.array([WORD] + [START] * len(PREFIXES), np.int8), [len(h) for h in hashes])
+    return np.concatenate(hashes), kinds, np.concatenate(owners)
 
 
 def _pairs(h: np.ndarray, owner: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
