@@ -178,4 +178,10 @@ rs AS (SELECT learner_id, concept_id, arg_max_null(affect, seq) AS last_affect,
 rw AS (SELECT m.*, coalesce(last_affect = 'frustrated', false) AS fr, coalesce(last_outcome >= 0.4 AND last_outcome < 0.5, false) AS near FROM mastered m JOIN rs USING (learner_id, concept_id))
 SELECT learner_id, concept_id, CASE WHEN attempts < 1 THEN 'none' WHEN fr OR near THEN 'encourage' WHEN mastery >= 0.85 THEN 'celebrate' WHEN round(0.6 * greatest(0.0, least(1.0, greatest(correct_runs / 3, attempts / 5))) + 0.4 * accuracy, 9) >= 0.8 AND correct_runs >= 1 THEN 'celebrate' WHEN accuracy < 0.2 THEN 'encourage' WHEN correct_runs >= 2 OR attempts >= 2 THEN 'acknowledge' ELSE 'none' END AS action
 FROM (SELECT *, round(accuracy * attempts) AS correct_runs FROM rw)""",
+    "bank_mapping": """WITH r AS (SELECT p_partkey AS id, 1 + p_partkey % 39 AS q, CASE WHEN p_size % 4 = 0 THEN CAST(p_size AS DOUBLE) END AS m, CASE WHEN p_size % 3 = 0 THEN 'analyze' ELSE 'understand' END AS bloom, p_brand AS chapter, p_size / 50 AS confidence FROM part),
+k AS (SELECT *, CAST(CASE WHEN m >= 1 AND m < 11 THEN floor(m) WHEN q <= 20 THEN 1 WHEN q <= 26 THEN 2 WHEN q <= 33 THEN 3 WHEN q <= 36 THEN 5 ELSE 4 END AS BIGINT) AS marks FROM r),
+b AS (SELECT *, CASE WHEN marks <= 2 THEN 0 WHEN marks = 3 THEN 1 ELSE 2 END + CASE bloom WHEN 'analyze' THEN 1 ELSE 0 END AS band FROM k)
+SELECT id, chapter, marks, bloom, CASE WHEN band <= 0 THEN 'easy' WHEN band = 1 THEN 'medium' ELSE 'hard' END AS difficulty, CASE WHEN marks <= 1 THEN 'very_short_answer' WHEN marks = 2 THEN 'short_answer' WHEN marks <= 4 THEN 'long_answer' ELSE 'case_study' END AS type, greatest(1, marks * 2) AS minutes, round(0.6 + 0.3 * confidence, 2) AS quality FROM b""",
+    "practice_outcome": w(EVENTS, MASTERY) + ", old AS (SELECT * FROM ev WHERE ts < TIMESTAMP '2024-01-20 00:00:00')," + MASTERY.replace("FROM ev ", "FROM old ").replace("ms AS", "ms2 AS").replace("FROM ms)", "FROM ms2)").replace("mp AS", "mp2 AS").replace("FROM mp)", "FROM mp2)").replace("mastered AS", "mastered2 AS") + " SELECT a.learner_id, a.concept_id, coalesce(b.mastery, 0.0) AS before, a.mastery AS after, a.mastery - coalesce(b.mastery, 0.0) AS delta, CASE WHEN a.mastery >= 0.85 THEN 'advance' WHEN a.mastery > coalesce(b.mastery, 0.0) THEN 'continue' ELSE 'reteach' END AS action FROM mastered a LEFT JOIN mastered2 b USING (learner_id, concept_id)",
+    "extraction_accuracy": "SELECT count(*) AS n, count(*) FILTER (p_partkey % 7 <> 0 OR p_size IS NULL) AS right, count(*) FILTER (p_partkey % 7 <> 0 OR p_size IS NULL) / count(*) AS accuracy FROM part",
 }

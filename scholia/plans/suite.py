@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import text as X
-from scholia.operators import assessment, curriculum, graph, learners, memory, retrieval
+from scholia.operators import assessment, curriculum, graph, learners, memory, retrieval, workflow
 from scholia.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -507,3 +507,42 @@ def ledger_dedupe(spark, d):
     pages = views.table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("digest"))
     first = pages.groupBy("digest").agg(F.min("page_id").alias("first_id"))
     return pages.join(first, "digest").select("page_id", "first_id", (F.col("page_id") != F.col("first_id")).alias("duplicate"))
+
+
+@query
+def bank_mapping(spark, d):
+    part = views.table(spark, d, "part")
+    raw = part.select(F.col("p_partkey").alias("id"), (1 + F.col("p_partkey") % 39).cast("string").alias("q_no"), F.when(F.col("p_size") % 4 == 0, F.col("p_size").cast("double")).alias("marks"), F.when(F.col("p_size") % 3 == 0, "analyze").alias("bloom"), F.col("p_brand").alias("chapter"), (F.col("p_size") / 50).alias("confidence"), F.lit("X").alias("grade"))
+    return workflow.bank_rows(raw).drop("grade")
+
+
+@query
+def question_concepts(spark, d):
+    concepts = spark.createDataFrame([("onesen erblest hein",), ("eroundth thwhesou the rest",), ("eaea ndorea",)], "concept string")
+    asked = views.table(spark, d, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 60).alias("question"))
+    return workflow.concept_matches(asked, concepts, 0.01)
+
+
+@query
+def practice_outcome(spark, d):
+    events = views.sequenced(spark, d)
+    before = learners.mastery(events.where(F.col("ts") < F.expr("TIMESTAMP_NTZ'2024-01-20 00:00:00'")), views.now_us())
+    return workflow.practice_result(before, learners.mastery(events, views.now_us()))
+
+
+@query
+def study_plan(spark, d):
+    _checkpoints(spark)
+    kept = forgetting_exponential(spark, d).groupBy("concept_id").agg(F.avg("retention").alias("retention"))
+    return workflow.study_plan(graph.levels(_strong(spark, d)), kept)
+
+
+@query
+def extraction_accuracy(spark, d):
+    parts = views.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("marks"), F.col("p_brand").alias("q_no"))
+    return workflow.extraction_accuracy(parts, parts.withColumn("marks", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("marks"))), ("marks", "q_no"))
+
+
+@query
+def question_terms(spark, d):
+    return views.table(spark, d, "benchmark").where("text IS NOT NULL").select("item_id", F.array_join(workflow.terms(F.col("text"), 5), ",").alias("terms"))
