@@ -40,10 +40,13 @@ REFERENCES = 16
 SMALL = 24
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """The unsigned 64-bit fingerprint of each text: 0 if it has no words."""
+def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, tables: int = 1) -> np.ndarray:
+    """The unsigned 64-bit fingerprints of each text, a column a table: 0 if it has no words.
+
+    Table 0 is over the shingles' hashes, each other one over a bijective remix of them.
+    """
     n = len(offsets) - 1
-    out = np.zeros(n, np.uint64)
+    out = np.zeros((n, tables), np.uint64)
     low = T.lower_ascii(data)
     inside = T.is_word(low)
     starts, ends, owner = T.tokens(inside, offsets)
@@ -64,31 +67,35 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> n
     digest = xxhash.xxh64_digest
     hashes = b"".join([digest(text[a:b], SEED) for a, b in zip(at[i].tolist(), (at[j] - 1).tolist(), strict=True)])
     some = np.flatnonzero(shingles)
-    bits = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    for byte in range(8):
-        column = np.ascontiguousarray(bits[:, byte])
-        for bit in range(8):
-            ones = np.add.reduceat(((column >> (7 - bit)) & 1).astype(np.int32), begin[some])
-            out[some] |= (2 * ones > shingles[some]).astype(np.uint64) << np.uint64(63 - 8 * byte - bit)
+    plain = np.frombuffer(hashes, ">u8").astype(np.uint64)
+    for t in range(tables):
+        h = T.mix(plain ^ T.mix(np.full(1, t, np.uint64))) if t else plain
+        bits = h.astype(">u8").view(np.uint8).reshape(-1, 8)
+        for byte in range(8):
+            column = np.ascontiguousarray(bits[:, byte])
+            for bit in range(8):
+                ones = np.add.reduceat(((column >> (7 - bit)) & 1).astype(np.int32), begin[some])
+                out[some, t] |= (2 * ones > shingles[some]).astype(np.uint64) << np.uint64(63 - 8 * byte - bit)
     return out
 
 
-def _fingerprinted(words: int):
+def _fingerprinted(words: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = T.buffers(b.column("text"))
-            out = np.zeros(len(offsets) - 1, np.uint64)
+            out = np.zeros((len(offsets) - 1, tables), np.uint64)
             for i, j, part, bounds in T.runs(data, offsets):
-                out[i:j] = fingerprints(part, bounds, words)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out.view(np.int64))], names=["id", "fp"])
+                out[i:j] = fingerprints(part, bounds, words, tables)
+            columns = [pa.array(np.ascontiguousarray(out[:, t]).view(np.int64)) for t in range(tables)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *columns], names=["id", "fp", *(f"fp{t}" for t in range(1, tables))])
 
     return run
 
 
-def fingerprint(docs: DataFrame, text: str, row_id: str, *, words: int = WORDS) -> DataFrame:
-    """id, fp (the fingerprint as a signed long) of each row. Null and empty texts have fingerprint 0."""
+def fingerprint(docs: DataFrame, text: str, row_id: str, *, words: int = WORDS, tables: int = 1) -> DataFrame:
+    """id, fp (the fingerprint as a signed long) and fp1, ... of each row. Null and empty texts have fingerprint 0."""
     kind = docs.schema[row_id].dataType.simpleString()
-    return docs.select(F.col(row_id).alias("id"), F.col(text).alias("text")).mapInArrow(_fingerprinted(words), f"id {kind}, fp long")
+    return docs.select(F.col(row_id).alias("id"), F.col(text).alias("text")).mapInArrow(_fingerprinted(words, tables), f"id {kind}, fp long" + "".join(f", fp{t} long" for t in range(1, tables)))
 
 
 def blocks(distance: int) -> list[int]:
@@ -220,22 +227,36 @@ def components(edges: DataFrame) -> DataFrame:
     return rooted.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def grouped(docs: DataFrame, text: str, row_id: str, *, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+def _table_edges(marked: DataFrame, column: str, distance: int) -> DataFrame:
+    """Edges between values of fp from the links of another table: its fingerprints stand for their least fp."""
+    pairs = marked.select("fp", F.col(column).alias("own")).distinct()
+    stands = written(pairs.groupBy("own").agg(F.min("fp").alias("rep")))
+    same = pairs.join(stands, "own").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
+    near = links(stands.select(F.col("own").alias("fp")), distance=distance)
+    left, right = stands.toDF("a", "x"), stands.toDF("b", "y")
+    return same.unionByName(near.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))).where("a != b")
+
+
+def grouped(docs: DataFrame, text: str, row_id: str, *, words: int = WORDS, distance: int = DISTANCE, tables: int = 1) -> DataFrame:
     """id, fp, component of each row: component is the smallest id that links reach, the row's own included.
 
+    With more tables, a link in any of them counts: texts further apart than one fingerprint shows are found too.
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows stay; a null id is in no minimum.
     """
-    marked = written(fingerprint(docs, text, row_id, words=words))
+    marked = written(fingerprint(docs, text, row_id, words=words, tables=tables))
     fps = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(fps.select("fp"), distance=distance))
+    edges = links(fps.select("fp"), distance=distance)
+    for t in range(1, tables):
+        edges = edges.unionByName(_table_edges(marked, f"fp{t}", distance))
+    roots = components(edges.distinct())
     placed = written(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     return marked.join(named, "fp").select("id", "fp", "component")
 
 
-def kept(docs: DataFrame, text: str, row_id: str, *, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+def kept(docs: DataFrame, text: str, row_id: str, *, words: int = WORDS, distance: int = DISTANCE, tables: int = 1) -> DataFrame:
     """One row of each group, as it is: that of the smallest id. Rows without an id stay."""
-    groups = grouped(docs.where(F.col(row_id).isNotNull()), text, row_id, words=words, distance=distance)
+    groups = grouped(docs.where(F.col(row_id).isNotNull()), text, row_id, words=words, distance=distance, tables=tables)
     stay = groups.where("id = component").groupBy("id").agg(F.count("*").alias("__times"))
     stay = stay.withColumnRenamed("id", "__id")
     chosen = docs.join(stay, docs[row_id] == stay["__id"])
