@@ -24,7 +24,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 MOST_STATES = 60_000
 MOST_PAIRS = 300_000
-MOST_WORDS = 250_000
+MOST_COUNTS = 1_000_000
+MOST_WORDS = 600_000
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
 
@@ -52,8 +53,6 @@ class Vocabulary:
         for i, p in enumerate(model.pieces):
             if p.type == BYTE:
                 self.bytes[int(p.piece[3:5], 16)] = i
-        self.longest = max(map(len, self.ids))
-        self.growing = {piece[:k] for piece in self.ids for k in range(1, len(piece))}
         spaces = [p for p in self.ids if set(p) == {SPACE}]
         if any(SPACE in p[1:] for p in self.ids if set(p) != {SPACE}):
             raise ValueError("pieces with an inner space are not supported")
@@ -62,6 +61,13 @@ class Vocabulary:
         used = {c for p in self.ids for c in p}
         #: Bytes that are a character in no piece: each is its own byte piece, and a bound.
         self.apart = np.array([b < 128 and b != 32 and chr(b) not in used for b in range(256)])
+        #: Byte pairs between which a merge can happen; others always part. Bytes beyond ASCII may join with any.
+        self.joint = np.ones((256, 256), bool)
+        self.joint[:128, :128] = False
+        for p in self.ids:
+            for x, y in zip(p, p[1:], strict=False):
+                if ord(x) < 128 and ord(y) < 128:
+                    self.joint[ord(x), ord(y)] = True
         raw = [p.piece.replace(SPACE, " ").encode() if p.type in (NORMAL, USER) else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" for p in model.pieces]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_at = np.append(0, np.cumsum([len(x) for x in raw]))
@@ -82,85 +88,153 @@ class Vocabulary:
 
 
 class Automaton:
-    """The transducer of a vocabulary."""
+    """The transducer of a vocabulary. Pieces are ids; a character in no piece is minus its code point less one."""
 
     START = 0
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self._apart: dict[tuple[str, str], bool] = {}
+        # a trie over all pieces: children by node and character, the piece that ends in a node, whether a longer one goes on
+        self.child: dict[int, int] = {}
+        self.ends: list[int] = [-1]
+        self.grows: list[bool] = [True]
+        for piece, i in vocabulary.ids.items():
+            node = 0
+            for c in piece:
+                self.grows[node] = True
+                key = node << 21 | ord(c)
+                node = self.child.get(key, -1)
+                if node < 0:
+                    node = self.child[key] = len(self.ends)
+                    self.ends.append(-1)
+                    self.grows.append(False)
+            self.ends[node] = i
+        self._apart: dict[int, bool] = {}
+        self._edges: dict[int, tuple[list, list]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        # a state: starts as (text since, last piece before, its count or score less that of the whole prefix)
-        self.states: list[tuple] = [(("", None, 0),)]
+        # a state: the starts that can still grow, as (trie node since then, last piece before, its count or score less that of the whole prefix, characters since)
+        self.states: list[tuple] = [((0, -1, 0, 0),)]
         self.numbers: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, int, str]] = {}  # by state and code point: state, tokens emitted, piece that ends
+        self.moves: dict[int, tuple[int, int, int]] = {}  # by state and code point: state, tokens emitted, piece that ends
 
-    def _stay_apart(self, a: str, b: str) -> bool:
-        known = self._apart.get((a, b))
+    def _tree(self, piece: str) -> tuple[list, list]:
+        """The symbols at a piece's left and right edge while it is merged: text, when it forms, when it goes on into the next.
+
+        The time of a merge is the largest rank of the merges that it waits for; ranks are scores turned round.
+        """
+        v = self.v
+        parts = [(c, 0.0, None) for c in piece]
+        while len(parts) > 1:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                found = v.ids.get(parts[i][0] + parts[i + 1][0])
+                if found is not None and (best is None or v.scores[found] > best):
+                    best, at = v.scores[found], i
+            if at < 0:
+                return [], []  # merging never gets to this piece
+            left, right = parts[at], parts[at + 1]
+            parts[at : at + 2] = [(left[0] + right[0], max(-best, left[1], right[1]), (left, right))]
+        out = []
+        for side in (0, 1):
+            chain, node, until = [], parts[0], float("inf")
+            while node is not None:
+                chain.append((node[0], node[1], until))
+                until, node = node[1], node[2][side] if node[2] else None
+            out.append(chain)
+        return out[0], out[1]
+
+    def _chains(self, i: int) -> tuple[list, list]:
+        known = self._edges.get(i)
+        if known is None:
+            known = self._edges[i] = self._tree(self.v.texts[i])
+        return known
+
+    def _check(self, a: int, b: int) -> bool:
+        """Whether two pieces stay apart: no symbols at their bound meet while both are there and merge before either goes on."""
+        v = self.v
+        left, right = self._chains(a)[1], self._chains(b)[0]
+        if left and right:
+            sure = True
+            for x, formed_x, gone_x in left:
+                for y, formed_y, gone_y in right:
+                    if formed_x >= gone_y or formed_y >= gone_x:
+                        sure &= formed_x != gone_y and formed_y != gone_x
+                        continue
+                    found = v.ids.get(x + y)
+                    if found is not None:
+                        at = max(-v.scores[found], formed_x, formed_y)
+                        if at < gone_x and at < gone_y:
+                            return False
+                        sure &= at not in (gone_x, gone_y)
+            if sure:
+                return True
+        # two merges at one time: their order in the text decides
+        return v.merged(v.texts[a] + v.texts[b]) == [v.texts[a], v.texts[b]]
+
+    def _stay_apart(self, a: int, b: int) -> bool:
+        key = a << 20 | b
+        known = self._apart.get(key)
         if known is None:
             if len(self._apart) >= MOST_PAIRS:
                 self._apart.clear()
-            known = self._apart[a, b] = not self._touch(a, b) or self.v.merged(a + b) == [a, b]
+            known = self._apart[key] = self._check(a, b)
         return known
 
-    def _touch(self, a: str, b: str) -> bool:
-        """Whether any piece could form over the bound of two pieces."""
-        ids = self.v.ids
-        for i in range(len(a)):
-            tail = a[i:]
-            if tail + b[0] in ids or (tail in self.v.growing and any(tail + b[:k] in ids for k in range(2, len(b) + 1))):
-                return True
-        return False
-
-    def _move(self, state: int, c: str) -> tuple[int, int, str]:
-        v, starts, chosen = self.v, self.states[state], None
-        for since, last, count in starts:
-            piece = since + c
-            if piece in v.ids and (last is None or not v.bpe or self._stay_apart(last, piece)):
-                total = count + (1 if v.bpe else v.scores[v.ids[piece]])
-                if chosen is None or (not v.bpe and total > chosen[1]):
-                    chosen = piece, total
-                if v.bpe:
-                    break
-        if chosen is None:
+    def _move(self, state: int, c: int) -> tuple[int, int, int]:
+        bpe, scores, child, ends, grows = self.v.bpe, self.v.scores, self.child, self.ends, self.grows
+        piece, total, alive = -1, 0, []
+        for node, last, count, since in self.states[state]:
+            to = child.get(node << 21 | c, -1)
+            if to < 0:
+                continue
+            if grows[to]:
+                alive.append((to, last, count, since + 1))
+            i = ends[to]
+            if i >= 0 and (piece < 0 or not bpe) and (last < 0 or not bpe or self._stay_apart(last, i)):
+                new = count + (1 if bpe else scores[i])
+                if piece < 0 or new > total:
+                    piece, total = i, new
+        if piece < 0:
             # a character in no piece is a bound, and as many byte pieces as it has bytes
-            return 0, len(c.encode()), c
-        piece, total = chosen
-        after = tuple((since + c, last, count - total) for since, last, count in starts if since + c in v.growing) + ((("", piece if v.bpe else "", 0)),)
+            return 0, len(chr(c).encode()), -c - 1
+        after = (*((to, last, count - total, since) for to, last, count, since in alive), (0, piece if bpe else -1, 0, 0))
         number = self.numbers.get(after)
         if number is None:
             number = self.numbers[after] = len(self.states)
             self.states.append(after)
         return number, total, piece
 
-    def lasts(self, word: str) -> list[str]:
-        """The last piece of each prefix of a word; a character without a piece stands for itself and is a bound."""
-        if len(self.states) > MOST_STATES:
-            self._reset()
+    def _length(self, piece: int) -> int:
+        return len(self.v.texts[piece]) if piece >= 0 else 1
+
+    def lasts(self, word: str) -> list[int]:
+        """The last piece of each prefix of a word."""
+        self._tidy()
         state, out, moves = 0, [], self.moves
-        for c in word:
-            move = moves.get(state << 21 | ord(c))
+        for c in map(ord, word):
+            move = moves.get(state << 21 | c)
             if move is None:
-                move = self._move(state, c)
-                moves[state << 21 | ord(c)] = move
+                move = moves[state << 21 | c] = self._move(state, c)
             state = move[0]
             out.append(move[2])
         return out
 
+    def _tidy(self) -> None:
+        if len(self.states) > MOST_STATES or len(self.moves) > 4 * MOST_STATES:
+            self._reset()
+
     def count(self, word: str) -> int:
         """Tokens of a word, as the sum of what its transitions emit."""
         if not self.v.bpe:
             return len(self.encode(word))
-        if len(self.states) > MOST_STATES:
-            self._reset()
+        self._tidy()
         state, n, moves = 0, 0, self.moves
-        for c in word:
-            move = moves.get(state << 21 | ord(c))
+        for c in map(ord, word):
+            move = moves.get(state << 21 | c)
             if move is None:
-                move = self._move(state, c)
-                moves[state << 21 | ord(c)] = move
+                move = moves[state << 21 | c] = self._move(state, c)
             state = move[0]
             n += move[1]
         return n
@@ -170,9 +244,8 @@ class Automaton:
         stream = Stream(self)
         return stream.push(word) + stream.end()
 
-    def ids_of(self, piece: str) -> list[int]:
-        known = self.v.ids.get(piece)
-        return [known] if known is not None else [self.v.bytes[b] for b in piece.encode()]
+    def ids_of(self, piece: int) -> list[int]:
+        return [piece] if piece >= 0 else [self.v.bytes[b] for b in chr(-piece - 1).encode()]
 
 
 class Stream:
@@ -186,49 +259,51 @@ class Stream:
     STRIDE = 64
 
     def __init__(self, automaton: Automaton) -> None:
+        automaton._tidy()
         self.a = automaton
         self.state = Automaton.START
-        self.lasts: list[str] = []  # last piece of each prefix after the committed boundary
+        self.lasts: list[int] = []  # last piece of each prefix after the committed boundary
 
     def push(self, text: str) -> list[int]:
         a, out = self.a, []
-        if not self.lasts and self.state == 0 and len(a.states) > MOST_STATES:
-            a._reset()
         moves = a.moves
-        for c in text:
-            move = moves.get(self.state << 21 | ord(c))
+        for c in map(ord, text):
+            move = moves.get(self.state << 21 | c)
             if move is None:
-                move = a._move(self.state, c)
-                moves[self.state << 21 | ord(c)] = move
+                move = moves[self.state << 21 | c] = a._move(self.state, c)
             self.state = move[0]
             self.lasts.append(move[2])
             if len(self.lasts) % self.STRIDE == 0:
                 out += self._commit()
         return out
 
-    def _back(self, to: int) -> list[str]:
+    def _back(self, to: int) -> list[int]:
         pieces, at = [], to
         while at > 0:
             piece = self.lasts[at - 1]
             pieces.append(piece)
-            at -= len(piece)
+            at -= self.a._length(piece)
         return pieces[::-1]
 
+    def _ids(self, to: int) -> list[int]:
+        pieces = self._back(to)
+        return pieces if not pieces or min(pieces) >= 0 else [i for piece in pieces for i in self.a.ids_of(piece)]
+
     def _commit(self) -> list[int]:
         n = len(self.lasts)
-        alive = {n - len(since) for since, _, _ in self.a.states[self.state]} if self.state else {n}
+        alive = {n - since for _, _, _, since in self.a.states[self.state]}
         alive = {max(0, at) for at in alive}
         while len(alive) > 1:
             last = max(alive)
             alive.discard(last)
-            alive.add(last - len(self.lasts[last - 1]) if last else 0)
+            alive.add(last - self.a._length(self.lasts[last - 1]) if last else 0)
         at = alive.pop()
-        out = [i for piece in self._back(at) for i in self.a.ids_of(piece)]
+        out = self._ids(at)
         self.lasts = self.lasts[at:]
         return out
 
     def end(self) -> list[int]:
-        out = [i for piece in self._back(len(self.lasts)) for i in self.a.ids_of(piece)]
+        out = self._ids(len(self.lasts))
         self.state, self.lasts = Automaton.START, []
         return out
 
@@ -248,7 +323,7 @@ class Words:
         if k not in self._runs:
             long = max(len(p) for p in self.v.ids if set(p) == {SPACE})
             whole = max(0, k // long - 2)
-            self._runs[k] = [self.v.ids[SPACE * long]] * whole + [i for p in self.v.merged(SPACE * (k - whole * long)) for i in self.a.ids_of(p)] if self.v.bpe else self.a.encode(SPACE * k)
+            self._runs[k] = [self.v.ids[SPACE * long]] * whole + [i for p in self.v.merged(SPACE * (k - whole * long)) for i in [self.v.ids[p]]] if self.v.bpe else self.a.encode(SPACE * k)
         return self._runs[k]
 
     def items(self, data: np.ndarray, offsets: np.ndarray):
@@ -264,7 +339,16 @@ class Words:
             grown[full] = 1
             offsets = offsets + np.append(0, np.cumsum(grown))
         space, apart = data == 32, self.v.apart[data]
-        return data, offsets, T.tokens(~space & ~apart, offsets), T.tokens(space, offsets), np.flatnonzero(apart)
+        inside = ~space & ~apart
+        starts, ends, owner = T.tokens(inside, offsets)
+        if self.v.bpe and len(data) > 1:
+            cut = np.zeros(len(data) + 1, bool)
+            cut[1:-1] = inside[1:] & inside[:-1] & ~self.v.joint[data[:-1], data[1:]]
+            cut[offsets] = False
+            cuts = np.flatnonzero(cut)
+            starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+            owner = np.searchsorted(offsets, starts, side="right") - 1
+        return data, offsets, (starts, ends, owner), T.tokens(space, offsets), np.flatnonzero(apart)
 
     def _texts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, spaced: np.ndarray) -> list[str]:
         raw = data.tobytes()
@@ -293,8 +377,8 @@ class Words:
         total = np.bincount(np.searchsorted(offsets, apart, side="right") - 1, minlength=n).astype(np.int64)
         run = self._before(starts, owner, runs, offsets)
         keys, number, first = self._distinct(data, starts, ends, run >= 0)
-        known, missing = self.counts, []
-        if len(known) > MOST_WORDS:
+        known = self.counts
+        if len(known) > MOST_COUNTS:
             known.clear()
         missing = [i for i, k in enumerate(keys) if k not in known]
         at = first[missing] if missing else np.zeros(0, np.int64)
@@ -324,7 +408,7 @@ class Words:
             return False
         lasts, at = self.a.lasts(word), len(word)
         while at > 1:
-            at -= len(lasts[at - 1])
+            at -= self.a._length(lasts[at - 1])
         return at == 1
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
