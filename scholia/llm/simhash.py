@@ -37,7 +37,7 @@ SEED = 42
 WORDS = 4
 DISTANCE = 4
 REFERENCES = 16
-SMALL = 24
+SMALL = 96
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, tables: int = 1) -> np.ndarray:
@@ -104,14 +104,18 @@ def blocks(distance: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _band_masks(distance: int) -> list[np.uint64]:
+    return [np.uint64(a | b) for a, b in combinations(blocks(distance), 2)]
+
+
 def _keyed(distance: int):
-    masks = [a | b for a, b in combinations(blocks(distance), 2)]
+    masks = _band_masks(distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column("fp").to_numpy().view(np.uint64)
             for band, mask in enumerate(masks):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), band, np.int8)), pa.array((fp & np.uint64(mask)).view(np.int64)), pa.array(fp.view(np.int64))], names=["band", "key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), band, np.int8)), pa.array((fp & mask).view(np.int64)), pa.array(fp.view(np.int64))], names=["band", "key", "fp"])
 
     return run
 
@@ -156,6 +160,14 @@ def _searched(fp: np.ndarray, table: np.ndarray, distance: int) -> tuple[list[np
     return froms, tos
 
 
+def _first_band(differing: np.ndarray, distance: int) -> np.ndarray:
+    """Number of the first band whose two blocks hold none of the differing bits."""
+    out = np.full(len(differing), -1, np.int64)
+    for band, mask in reversed(list(enumerate(_band_masks(distance)))):
+        out[(differing & mask) == 0] = band
+    return out
+
+
 def group_links(band: np.ndarray, key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between the fingerprints of equal band and key."""
     order = np.lexsort((fp, key, band))
@@ -174,6 +186,8 @@ def group_links(band: np.ndarray, key: np.ndarray, fp: np.ndarray, distance: int
         if len(a) == 0:
             break
         x, y = _survive(table, a, a + shift, fp, distance)
+        mine = _first_band(fp[x] ^ fp[y], distance) == band[x]  # a pair meets in every band it agrees on and counts in the first
+        x, y = x[mine], y[mine]
         froms.append(x)
         tos.append(y)
     for start in np.flatnonzero(new & (size > SMALL)):
