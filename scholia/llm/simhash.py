@@ -40,18 +40,14 @@ REFERENCES = 16
 SMALL = 96
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, tables: int = 1) -> np.ndarray:
-    """The unsigned 64-bit fingerprints of each text, a column a table: 0 if it has no words.
-
-    Table 0 is over the shingles' hashes, each other one over a bijective remix of them.
-    """
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The XXH64 hashes of the texts' shingles, text after text, and where each text's begin. Fewer words are one shingle."""
     n = len(offsets) - 1
-    out = np.zeros((n, tables), np.uint64)
     low = T.lower_ascii(data)
     inside = T.is_word(low)
     starts, ends, owner = T.tokens(inside, offsets)
     if len(starts) == 0:
-        return out
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     lengths = ends - starts
     at = np.append(0, np.cumsum(lengths + 1))
     joined = np.full(at[-1], 32, np.uint8)
@@ -66,8 +62,20 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, tabl
     j = np.minimum(i + words, first[of + 1])
     digest = xxhash.xxh64_digest
     hashes = b"".join([digest(text[a:b], SEED) for a, b in zip(at[i].tolist(), (at[j] - 1).tolist(), strict=True)])
+    return np.frombuffer(hashes, ">u8").astype(np.uint64), begin
+
+
+def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, tables: int = 1) -> np.ndarray:
+    """The unsigned 64-bit fingerprints of each text, a column a table: 0 if it has no words.
+
+    Table 0 is over the shingles' hashes, each other one over a bijective remix of them.
+    """
+    plain, begin = shingle_hashes(data, offsets, words)
+    out = np.zeros((len(offsets) - 1, tables), np.uint64)
+    shingles = np.diff(begin)
     some = np.flatnonzero(shingles)
-    plain = np.frombuffer(hashes, ">u8").astype(np.uint64)
+    if len(some) == 0:
+        return out
     for t in range(tables):
         h = T.mix(plain ^ T.mix(np.full(1, t, np.uint64))) if t else plain
         bits = h.astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -270,7 +278,11 @@ def grouped(docs: DataFrame, text: str, row_id: str, *, words: int = WORDS, dist
 
 def kept(docs: DataFrame, text: str, row_id: str, *, words: int = WORDS, distance: int = DISTANCE, tables: int = 1) -> DataFrame:
     """One row of each group, as it is: that of the smallest id. Rows without an id stay."""
-    groups = grouped(docs.where(F.col(row_id).isNotNull()), text, row_id, words=words, distance=distance, tables=tables)
+    return firsts(docs, row_id, grouped(docs.where(F.col(row_id).isNotNull()), text, row_id, words=words, distance=distance, tables=tables))
+
+
+def firsts(docs: DataFrame, row_id: str, groups: DataFrame) -> DataFrame:
+    """The rows whose id is that of their component, one of each such id; rows without an id stay."""
     stay = groups.where("id = component").groupBy("id").agg(F.count("*").alias("__times"))
     stay = stay.withColumnRenamed("id", "__id")
     chosen = docs.join(stay, docs[row_id] == stay["__id"])
