@@ -8,8 +8,8 @@ Bootstrapping: the base spans are seeds. Every seed and every other word that ho
 an @ is an instance, by its surface; the words around it are lexical patterns (two words to the left; one to
 the left and one to the right). In each round a pattern's confidence for a kind is the
 confident share of its distinct instances, smoothed; an instance's is the noisy-or of its
-patterns that are confident and have enough distinct seeds. Instances at or over the
-threshold become spans. All of it is DataFrame functions.
+patterns that are confident and have enough distinct believed instances, found ones included.
+Instances at or over the threshold become spans and count in the next round, until no belief rises. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -36,7 +36,9 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: A word with a digit or an @.
 WORD = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 AROUND = 160
-SHARE, SEEDS, THRESHOLD, ROUNDS = 0.8, 3, 0.8, 2
+SHARE, SEEDS, THRESHOLD = 0.8, 3, 0.8
+#: None: until no belief rises.
+ROUNDS = None
 
 
 def _checked(kind: str, found: str) -> str:
@@ -88,7 +90,7 @@ def _spans(docs: DataFrame, text: str) -> DataFrame:
     return found.withColumn("instances", F.expr(f"IF(size(base) + size(others) > 0, {around}, NULL)")).drop(*(f"__{a}_{k}" for a in "ms" for k in (*KINDS, "word")), "others")
 
 
-def _bootstrapped(instances: DataFrame, share: float, seeds: int, threshold: float, rounds: int) -> DataFrame:
+def _bootstrapped(instances: DataFrame, share: float, seeds: int, threshold: float, rounds: int | None) -> DataFrame:
     """surface, kind of the words that confident patterns find. instances: kind ('word' for others), surface, two, one, next."""
     patterns = instances.select(
         F.sha2("surface", 256).alias("surface"), "kind",
@@ -96,20 +98,22 @@ def _bootstrapped(instances: DataFrame, share: float, seeds: int, threshold: flo
     ).where("pattern IS NOT NULL")
     # one row for each pattern, surface and kind, however often they meet
     edges = written(patterns.select(F.xxhash64("pattern").alias("pattern"), F.xxhash64("surface").alias("surface"), "kind").distinct())
-    # only patterns with enough seeds can ever count
-    able = edges.where("kind != 'word'").groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= seeds).select("pattern")
-    graph = written(edges.join(able, "pattern"))
-    belief = graph.where("kind != 'word'").select("surface", "kind", F.lit(1.0).alias("belief")).distinct()
-    sizes = graph.groupBy("pattern").agg(F.count_distinct("surface").alias("size"))
-    pairs = graph.select("pattern", "surface").distinct()
-    found = None
-    for _ in range(rounds):
-        rated = pairs.join(belief, "surface").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"), F.count("*").alias("n"))
-        trusted = rated.join(sizes, "pattern").withColumn("trust", F.col("mass") / (F.col("size") + 0.5)).where((F.col("trust") >= share) & (F.col("n") >= seeds))
+    # a pattern with fewer surfaces than that, of whatever kind, can't count in any round
+    sizes = written(edges.groupBy("pattern").agg(F.count_distinct("surface").alias("size")).where(F.col("size") >= seeds))
+    graph = written(edges.join(sizes, "pattern"))
+    seeded = graph.where("kind != 'word'").select("surface", "kind", F.lit(1.0).alias("belief")).distinct()
+    pairs = graph.select("pattern", "surface", "size").distinct()
+    found, state, done = seeded, None, 0
+    while rounds is None or done < rounds:
+        rated = pairs.join(found, "surface").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"), F.count("*").alias("n"), F.first("size").alias("size"))
+        trusted = rated.withColumn("trust", F.col("mass") / (F.col("size") + 0.5)).where((F.col("trust") >= share) & (F.col("n") >= seeds))
         score = pairs.join(trusted.select("pattern", "kind", "trust"), "pattern").groupBy("surface", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999)))))).alias("belief"))
-        seeded = graph.where("kind != 'word'").select("surface", "kind", F.lit(1.0).alias("belief"))
         found = written(score.where(F.col("belief") >= threshold).unionByName(seeded).groupBy("surface", "kind").agg(F.max("belief").alias("belief")))
-        belief = found
+        done += 1
+        # beliefs only rise; the steps are bounded, so this ends
+        before, state = state, found.agg(F.count("*"), F.coalesce(F.sum(F.floor(F.col("belief") * 1_000_000)), F.lit(0))).first()
+        if before is not None and state[0] <= before[0] and state[1] <= before[1]:
+            break
     return found
 
 
@@ -119,7 +123,7 @@ def _joined(spans: str) -> Column:
     return F.expr(f"array_join(transform({ordered}, x -> concat(x.kind, ':', x.start, ':', x.stop)), ',')")
 
 
-def found(docs: DataFrame, text: str, row_id: str, *, share: float = SHARE, seeds: int = SEEDS, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+def found(docs: DataFrame, text: str, row_id: str, *, share: float = SHARE, seeds: int = SEEDS, threshold: float = THRESHOLD, rounds: int | None = ROUNDS) -> DataFrame:
     """id, base, added for each row: arrays of (start, stop, kind, surface); base by the patterns, added by context.
 
     A null or empty text has none. Rows are kept as they are, also repeated ones and null ids.

@@ -180,6 +180,21 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert masked[100] == "please send all mail to <email> for help" and masked[3] == "please send all mail to <email> for help" and masked[101] == rows[13][1]
 
 
+def test_bootstrapping_goes_on_from_found_identifiers(spark):
+    first = "please send all mail to {} for help"
+    second = "archive copies always reach {} after lunch today"
+    third = "old people still prefer {} over anything else"
+    rows = [first.format(f"user{i}@example.com") for i in range(40)]
+    hop = [f"joe{i}(at)example" for i in range(12)]
+    far = [f"ann{i}(at)sample" for i in range(12)]
+    rows += [first.format(x) for x in hop] + [second.format(x) for x in hop]  # second: no base seed at all
+    rows += [second.format(far[0]), third.format("eve7(at)sample"), "version 99 of the thing"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = lambda **kw: {x.surface for r in personal_data.found(docs, "text", "doc_id", share=0.6, **kw).collect() for x in r.added}
+    assert found(rounds=1) == set(hop)
+    assert found() == {*hop, far[0]}
+
+
 def test_pipeline(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
