@@ -32,14 +32,26 @@ def exact_duplicates(rows: DataFrame, text: str, order: str) -> DataFrame:
     return keyed.join(first, "__key").drop("__key")
 
 
+def _word_sets(rows: DataFrame, text: str, row_id: str) -> DataFrame:
+    return rows.select(F.col(row_id).alias("id"), F.array_sort(X.words(F.coalesce(F.col(text), F.lit("")))).alias("words"))
+
+
+def near_classes(rows: DataFrame, text: str, row_id: str) -> DataFrame:
+    """id, class of every row: the smallest id of the rows of equal content words; a row of under 4 words is its own class."""
+    sets = _word_sets(rows, text, row_id)
+    keyed = sets.where(F.size("words") >= 4).select("id", F.sha2(F.array_join("words", " "), 256).alias("key"))
+    least = keyed.groupBy("key").agg(F.min("id").alias("class"))
+    return keyed.join(least, "key").select("id", "class").unionByName(sets.where(F.size("words") < 4).select("id", F.col("id").alias("class")))
+
+
 def near_pairs(rows: DataFrame, text: str, row_id: str, threshold: float = NEAR) -> DataFrame:
     """a, b, similarity of rows (a < b) whose content words have at least the threshold in common.
 
     Rows of equal words are one class, so that copies cost nothing and large groups of them no pairs: a class is
-    its smallest id. Prefix filtering: sorted by rarity, two sets within the threshold share a word among the first
-    n - ceil(threshold * n) + 1; the equi-join is on these words. Rows of under 4 words have no part.
+    its smallest id, and near_classes has the class of every row. Prefix filtering: sorted by rarity, two sets within the threshold
+    share a word among the first n - ceil(threshold * n) + 1; the equi-join is on these words. Rows of under 4 words have no part.
     """
-    sets = rows.select(F.col(row_id).alias("id"), F.array_sort(X.words(F.col(text))).alias("words")).where(F.size("words") >= 4)
+    sets = _word_sets(rows, text, row_id).where(F.size("words") >= 4)
     classes = sets.groupBy("words").agg(F.min("id").alias("id"))
     listed = classes.select("id", F.explode("words").alias("w"))
     df = listed.groupBy("w").agg(F.count("*").alias("df"))
@@ -71,6 +83,15 @@ def greedy(pairs: DataFrame, rounds: int = 64) -> DataFrame:
     return nodes.select("id", (F.col("state") == 1).alias("accepted"))
 
 
+def near_accepted(rows: DataFrame, text: str, row_id: str, threshold: float = NEAR) -> DataFrame:
+    """id, class, accepted of every row: what one pass in the order of ids keeps of all rows.
+
+    Of a class only its smallest id can be kept: the others equal it, or fall to the row that it fell to.
+    """
+    kept = greedy(near_pairs(rows, text, row_id, threshold).checkpoint()).select(F.col("id").alias("class"), F.col("accepted").alias("__kept"))
+    return near_classes(rows, text, row_id).join(kept, "class", "left").select("id", "class", ((F.col("id") == F.col("class")) & F.coalesce("__kept", F.lit(True))).alias("accepted"))
+
+
 def search(bank: DataFrame, *, chapters: list[str] | None = None, marks: int | None = None, difficulty: str | None = None, bloom: str | None = None, keyword: str | None = None, least_quality: float | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
     """Questions that meet every filter given, by falling quality, then id."""
     kept = bank

@@ -325,7 +325,12 @@ def near_dup_pairs(spark, d):
 @query
 def near_dup_greedy(spark, d):
     _checkpoints(spark)
-    return assessment.greedy(near_dup_pairs(spark, d).checkpoint())
+    return assessment.near_accepted(views.table(spark, d, "documents"), "text", "doc_id")
+
+
+@query
+def near_dup_classes(spark, d):
+    return assessment.near_classes(views.table(spark, d, "documents"), "text", "doc_id")
 
 
 @query

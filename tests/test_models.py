@@ -1,12 +1,14 @@
 """Hand-computed values and properties."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from scholia.functions import text as X
 from scholia.operators import assessment, curriculum, graph, learners, memory, retrieval
+from scholia.plans import suite
 
 NOW = datetime.datetime(2026, 1, 31)
 DAY = 86_400_000_000
@@ -111,6 +113,29 @@ def test_near_duplicates(spark):
     assert {r.id: r.accepted for r in assessment.greedy(pairs).collect()} == {1: True, 2: False}
 
 
+def test_every_row_is_accepted_or_not(spark):
+    words = "alpha bravo charlie delta echo foxtrot golf hotel".split()
+    texts = [" ".join(words), " ".join(reversed(words)), " ".join([*words[:7], "india"]), " ".join(["india", *words[:7]]), "quite different words stand here", "Quite different: words stand here!", "two words", "two words", None]
+    rows = spark.createDataFrame(list(enumerate(texts, 1)), "id int, text string")
+    assert sorted(map(tuple, assessment.near_accepted(rows, "text", "id").collect())) == [(1, 1, True), (2, 1, False), (3, 3, False), (4, 3, False), (5, 5, True), (6, 5, False), (7, 7, True), (8, 8, True), (9, 9, True)]
+
+
+def test_near_dup_greedy_is_the_pass_over_all_documents(spark):
+    d = "/root/testdata/sf0.001"
+    taken, want, classes = [], {}, {}
+    for r in sorted(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()):
+        mine = frozenset(re.findall(r"[a-z][a-z0-9-]+", (r.text or "").lower())) - set(X.CONTENT_STOP)
+        small = len(mine) < 4
+        want[r.doc_id] = small or not any(len(mine & x) >= 0.75 * len(mine | x) for x in taken)
+        taken += [mine] if want[r.doc_id] and not small else []
+        classes[r.doc_id] = r.doc_id if small else classes.get(mine, r.doc_id)
+        classes.setdefault(mine, r.doc_id)
+    classes = {k: v for k, v in classes.items() if not isinstance(k, frozenset)}
+    got = suite.QUERIES["near_dup_greedy"](spark, d).collect()
+    assert len(got) == len(want) and {r.id: r.accepted for r in got} == want and {r.id: r["class"] for r in got} == classes
+    assert {r.id: r["class"] for r in suite.QUERIES["near_dup_classes"](spark, d).collect()} == classes
+
+
 def test_greedy_is_one_pass(spark):
     pairs = [(1, 2), (2, 3), (3, 4), (1, 5), (4, 6), (2, 6)]
     kept = []
