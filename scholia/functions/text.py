@@ -12,6 +12,9 @@ QUERY_STOP = ("the", "a", "an", "of", "in", "for", "on", "what", "how", "why", "
 FIGURE = ("shown in option", "in the given figure", "in the figure given", "given diagram", "following diagram", "figure shown", "in the diagram", "shown in the graph", "given circuit", "following circuit diagram", "in the given map", "given table", "following table", "shown below")
 # Phrases that stand for a blank answer.
 BLANK = ("not attempted", "no answer", "blank", "skipped", "n/a", "na", "-", "none")
+# What Python splits words and lines at.
+SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LINE_END = r"\r\n|[\x0A-\x0D\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def tokens(text: Column) -> Column:
@@ -56,10 +59,18 @@ def truncated(text: Column) -> Column:
 
 
 def broken_options(text: Column) -> Column:
-    """An option letter without all the letters before it."""
+    """An option letter without all the letters before it; or of two or more, one with nothing behind it."""
     low = F.lower(text)
     has = [F.contains(low, F.lit(f"({c})")) for c in "abcd"]
-    return (has[3] & ~(has[0] & has[1] & has[2])) | (has[2] & ~(has[0] & has[1])) | (has[1] & ~has[0])
+    bodies = F.split(text, "[(][a-dA-D][)]")
+    empty = (F.size(bodies) > 2) & F.exists(F.slice(bodies, 2, F.greatest(F.size(bodies), F.lit(1))), lambda x: F.length(F.btrim(x, F.lit(" .:;"))) < 2)
+    return (has[3] & ~(has[0] & has[1] & has[2])) | (has[2] & ~(has[0] & has[1])) | (has[1] & ~has[0]) | empty
+
+
+def broken_fractions(raw: Column) -> Column:
+    """Options, and two or more lines of a bare number: numerators and denominators without their bars."""
+    bare = F.filter(F.split(raw, LINE_END), lambda x: x.rlike(rf"^{SPACE}*\p{{Nd}}{{1,3}}{SPACE}*\z"))
+    return F.contains(F.lower(raw), F.lit("(a)")) & (F.size(bare) >= 2)
 
 
 def share(text: Column, pattern: str) -> Column:
@@ -69,14 +80,27 @@ def share(text: Column, pattern: str) -> Column:
 
 
 def mangled(text: Column) -> Column:
-    """A text in a legacy font: too much noise or too many sigils in its first 600 characters; or none at all."""
+    """A text in a legacy font: too much noise, too many sigils or words with $ { } | in its first 600 characters; or none at all."""
     head = F.substring(text, 1, 600)
-    return (F.length(text) == 0) | (share(head, "[^A-Za-z0-9 .,;:'\"()\\[\\]/\\-–—+=%°?!*&#\\n\\t→×÷±≤≥√∞²³]") > 0.15) | (share(head, "[${}|~^\\\\`©¡«»¥¤§¨ª¬¯µ¶·¸¹º½¾]") > 0.03)
+    parts = F.filter(F.split(head, f"{SPACE}+"), lambda x: x != "")
+    odd = F.size(F.filter(parts, lambda x: x.rlike("[${}|]"))) > 0.08 * F.size(parts)
+    return (F.length(text) == 0) | (share(head, "[^A-Za-z0-9 .,;:'\"()\\[\\]/\\-–—+=%°?!*&#\\n\\t→×÷±≤≥√∞²³]") > 0.15) | (share(head, "[${}|~^\\\\`©¡«»¥¤§¨ª¬¯µ¶·¸¹º½¾]") > 0.03) | odd
+
+
+def non_latin(text: Column) -> Column:
+    """More than 30 % of the letters above U+02FF."""
+    return share(F.regexp_replace(text, r"\P{L}", ""), r"[^\x{0}-\x{2FF}]") > 0.3
+
+
+def clean_label(label: Column) -> Column:
+    """Two or more of A-Z, a-z, 0-9, space, point and hyphen, not digits and marks only."""
+    ascii = label.rlike(r"^[A-Za-z0-9 .-]+\z") & ~label.rlike(r"^[0-9. -]+\z")
+    return F.coalesce((F.length(F.trim(label)) >= 2) & ascii, F.lit(False))
 
 
 def ocr_flags(text: Column) -> Column:
     """What points to a wrong transcription."""
-    return F.array_compact(F.array(F.when(text.rlike("(^|[^0-9A-Za-z_])[0-9]{5,}($|[^0-9A-Za-z_])"), "fused_number"), F.when(F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit(""))) > 2, "unresolved")))
+    return F.array_compact(F.array(F.when(text.rlike("(^|[^0-9A-Za-z_])[0-9]{5,}($|[^0-9A-Za-z_])"), "fused_number"), F.when(F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit(""))) > 2, "unresolved"), F.when(non_latin(text), "mixed_script")))
 
 
 def cleaned(text: Column) -> Column:

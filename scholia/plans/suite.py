@@ -343,7 +343,7 @@ def text_quality_flags(spark, d):
 @query
 def encoding_flags(spark, d):
     text = F.coalesce("text", F.lit(""))
-    return views.table(spark, d, "documents").select("doc_id", X.mangled(text).alias("mangled"), X.needs_figure(text).alias("needs_figure"), X.broken_options(text).alias("broken_options"))
+    return views.table(spark, d, "documents").select("doc_id", X.mangled(text).alias("mangled"), X.needs_figure(text).alias("needs_figure"), X.broken_options(text).alias("broken_options"), X.broken_fractions(text).alias("broken_fractions"), X.non_latin(text).alias("non_latin"))
 
 
 @query

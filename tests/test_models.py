@@ -146,6 +146,39 @@ def test_greedy_is_one_pass(spark):
     assert sorted(r.id for r in got) == kept
 
 
+HINDI = "\u092a\u094d\u0930\u0915\u093e\u0936 \u0915\u093e"
+
+FLAGS = [
+    # text, mangled, broken_options, broken_fractions, non_latin; by hand from the reference's rules
+    ("The plain question of ten words stands here without any", False, False, False, False),
+    ("a fine long word after another word then some $igil stands", True, False, False, False),  # 1 sigil of 58, 1 token of 11
+    ("a fine long word after another word then some more words and then $igil stands", False, False, False, False),  # 1 token of 15
+    (HINDI, True, False, False, True),
+    ("what is called light here in this text of mine " + HINDI, False, False, False, False),  # 5 letters of 43
+    ("light " + HINDI, True, False, False, True),
+    ("one of (A) first (B) second (C) third (D) .", False, True, False, False),
+    ("one of (A) first (B) ; (C) third", False, True, False, False),
+    ("one of (A) first (B) second (C) third (D) x2", False, False, False, False),
+    ("(a) first OR", False, False, False, False),
+    ("(a)", False, False, False, False),
+    ("one (a)\n50\n 3 \n(b) 20", False, False, True, False),
+    ("one (a)\r\n50\r\n3000\n(b) 20", False, False, False, False),
+    ("one\n50\n3\n", False, False, False, False),
+]
+
+
+def test_encoding_flags(spark, tmp_path):
+    spark.createDataFrame([(i, r[0]) for i, r in enumerate(FLAGS)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suite.QUERIES["encoding_flags"](spark, str(tmp_path)).collect()}
+    for i, r in enumerate(FLAGS):
+        assert (r[0], got[i].mangled, got[i].broken_options, got[i].broken_fractions, got[i].non_latin) == r
+    texts = spark.createDataFrame([("light " + HINDI,), ("light ???",), ("light",)], "t string")
+    assert [r[0] for r in texts.select(X.ocr_flags(F.col("t"))).collect()] == [["mixed_script"], ["unresolved"], []]
+    labels = ["Ohm", "cm", "m", " m ", "sun's", "12.5", "caf\u00e9", "9 V", "x\n", "", None]
+    got = spark.createDataFrame([(x,) for x in labels], "t string").select("t", X.clean_label(F.col("t")).alias("ok")).collect()
+    assert [r.t for r in got if r.ok] == ["Ohm", "cm", "9 V"]
+
+
 def test_graph(spark):
     chain = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1)], "source string, target string, occurrences int")
     start = spark.createDataFrame([("a",)], "id string")
