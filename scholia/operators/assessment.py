@@ -66,21 +66,20 @@ def near_pairs(rows: DataFrame, text: str, row_id: str, threshold: float = NEAR)
     return both.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
-def greedy(pairs: DataFrame, rounds: int = 64) -> DataFrame:
+def greedy(pairs: DataFrame) -> DataFrame:
     """id, accepted: what one pass in the order of ids keeps when each row is compared with the kept ones only.
 
     The same as the first maximal independent set by order: in each round, rows whose smaller neighbours are all rejected are
-    kept and their neighbours rejected.
+    kept and their neighbours rejected. Each round decides at least the smallest open row; the rounds go on until none is open.
     """
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("state", F.lit(0))
-    for _ in range(rounds):
+    while True:
         smaller = pairs.join(nodes.select(F.col("id").alias("a"), F.col("state").alias("s")), "a").groupBy("b").agg(F.max("s").alias("most"), F.min("s").alias("least"), F.count_if(F.col("s") == 0).alias("open"))
         joined = nodes.join(smaller, nodes.id == smaller.b, "left")
         state = F.when(F.col("state") != 0, F.col("state")).when(F.col("most") == 1, -1).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
         nodes = joined.select("id", state.alias("state")).checkpoint()
         if nodes.where("state = 0").isEmpty():
-            break
-    return nodes.select("id", (F.col("state") == 1).alias("accepted"))
+            return nodes.select("id", (F.col("state") == 1).alias("accepted"))
 
 
 def near_accepted(rows: DataFrame, text: str, row_id: str, threshold: float = NEAR) -> DataFrame:

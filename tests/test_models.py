@@ -146,6 +146,11 @@ def test_greedy_is_one_pass(spark):
     assert sorted(r.id for r in got) == kept
 
 
+def test_greedy_decides_long_chains(spark):
+    chain = spark.range(70).selectExpr("id AS a", "id + 1 AS b").coalesce(1)
+    assert {r.id: r.accepted for r in assessment.greedy(chain).collect()} == {i: i % 2 == 0 for i in range(71)}
+
+
 HINDI = "\u092a\u094d\u0930\u0915\u093e\u0936 \u0915\u093e"
 
 FLAGS = [
