@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,13 +58,13 @@ def closure(prerequisites: DataFrame, least: float = 0.28) -> DataFrame:
     return prerequisites.select("concept", "prerequisite", "score").unionByName(two).groupBy("concept", "prerequisite").agg(F.max("score").alias("score"))
 
 
-def levels(edges: DataFrame, most: int = 64) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """id, level: the longest way from a node without incoming edges; nodes on or behind a cycle are left out."""
     step = edges.select("source", "target").distinct().checkpoint()
     nodes = step.select(F.col("source").alias("id")).union(step.select("target")).distinct()
     placed = None
     left, rest = nodes, step
-    for level in range(most):
+    for level in itertools.count():
         free = left.join(rest.select(F.col("target").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level).cast("long")).checkpoint()
         if free.isEmpty():
             break

@@ -151,6 +151,11 @@ def test_greedy_decides_long_chains(spark):
     assert {r.id: r.accepted for r in assessment.greedy(chain).collect()} == {i: i % 2 == 0 for i in range(71)}
 
 
+def test_levels_of_a_long_chain(spark):
+    chain = spark.range(66).selectExpr("string(id) AS source", "string(id + 1) AS target").coalesce(1)
+    assert {r.id: r.level for r in graph.levels(chain).collect()} == {str(i): i for i in range(67)}
+
+
 HINDI = "\u092a\u094d\u0930\u0915\u093e\u0936 \u0915\u093e"
 
 FLAGS = [
