@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in runs of about so many bytes, which bounds a worker's memory.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
@@ -151,12 +151,23 @@ class Values:
     def __init__(self, keys: np.ndarray, values: np.ndarray, weight: np.ndarray, bits: int = 17) -> None:
         order = np.argsort(keys)
         self.keys, self.values, self.bits = keys[order], values[order], bits
-        heavy = np.argsort(weight)[-(1 << bits) // 2 :]  # the heaviest come last and stand where slots clash
-        slot = (mix(keys[heavy]) >> np.uint64(64 - bits)).astype(np.int64)
-        self.near_keys = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.near = np.zeros(1 << bits, values.dtype)
-        self.near_keys[slot] = keys[heavy]
-        self.near[slot] = values[heavy]
+        heavy = np.argsort(weight)[-(1 << bits) // 2 :]
+        self._place(keys[heavy], values[heavy])
+
+    @classmethod
+    def sorted(cls, whole: pa.Table, heavy: pa.Table, bits: int) -> Values:
+        """From a table (key, value) in the order of the keys, and its rows of most weight, the heaviest first."""
+        self = cls.__new__(cls)
+        self.keys, self.values, self.bits = whole.column("key").to_numpy().view(np.uint64), whole.column("value").to_numpy(), bits
+        self._place(heavy.column("key").to_numpy().view(np.uint64)[::-1], heavy.column("value").to_numpy()[::-1])
+        return self
+
+    def _place(self, keys: np.ndarray, values: np.ndarray) -> None:
+        slot = (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)  # the heaviest come last and stand where slots clash
+        self.near_keys = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.near = np.zeros(1 << self.bits, values.dtype)
+        self.near_keys[slot] = keys
+        self.near[slot] = values
 
     def get(self, keys: np.ndarray, absent: float) -> np.ndarray:
         slot = (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)

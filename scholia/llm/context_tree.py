@@ -11,10 +11,13 @@ UTF-8 never uses; before its start stand `depth` end marks. Its score is the sum
 of log10 of the byte probabilities, its code length -score / log10(2) bits.
 
 Counting (each distinct gram of depth + 1 bytes once a task), summing up the
-tree and mixing are distributed; grams of texts that are only scored are carried
-along with count 0, so that every gram met while scoring has its probability. The
-scoring pass reads the table of gram probabilities as a broadcast while it has at
-most `most_broadcast` rows (16 bytes each), and else by an equi-join; both give the same sums.
+tree and mixing are distributed. Scoring asks for the probability of every gram
+of its texts, met in training or not: the asked grams join the counted ones with
+count 0, and the tree is mixed for all of them. A task holds whole subtrees below
+three context bytes, one run of them after another; the levels above are sums
+over nodes of two context bytes, whose number is bounded whatever the corpus. The probabilities reach the texts as
+a broadcast while they are at most `most_broadcast` rows (12 bytes each), and else by an
+equi-join with the distinct grams of blocks of texts; both give the same sums.
 """
 
 from __future__ import annotations
@@ -31,8 +34,12 @@ from scholia.llm._spark import written
 
 DEPTH = 5
 END = 0xFF
-#: Rows of a table that executors may hold whole (16 bytes each).
-MOST_BROADCAST = 12_000_000
+#: Rows of a table that executors may hold whole (12 bytes each).
+MOST_BROADCAST = 8_000_000
+#: Bytes of the texts whose distinct grams are joined together beyond that.
+BLOCK_BYTES = 32 << 20
+#: Grams whose subtrees a task mixes at once, unless one subtree has more.
+RUN_GRAMS = 400_000
 #: Distinct keys that a counting task holds before it hands them on.
 HOLD = 1_500_000
 LN2 = float(np.log(2.0))
@@ -127,26 +134,33 @@ def summaries(keys: np.ndarray, counts: np.ndarray, depth: int, top: int) -> lis
     return [(level[0], level[2], level[3], level[5]) for level in (_levels(keys, counts, depth, top, bit)[-1] for bit in range(8))]
 
 
-def roots(nodes: list[tuple[np.ndarray, ...]], top: int) -> list[list[tuple[np.ndarray, ...]]]:
-    """From the summaries at level `top` of the whole tree: for each bit, for levels top-1 to 0, node keys, stop weight and KT probability of a one."""
+def sums(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of nodes by their parents: key, zeros, ones, log of the product of the children's Pw."""
+    parents, number, _ = T.distinct(((node >> np.uint64(16)) << np.uint64(8)) | (node & np.uint64(255)))  # the oldest context byte goes
+    return parents, *(T.sums_by(x, number, len(parents)) for x in (zeros, ones, weighted))
+
+
+def levels_above(nodes: list[tuple[np.ndarray, ...]], top: int) -> list[list[tuple[np.ndarray, ...]]]:
+    """From the sums at level `top` - 1 of the whole tree: for each bit, for levels top-1 to 0, node keys, stop weight and KT probability of a one."""
     out = []
-    for keys, _, _, weighted in nodes:
-        _, zeros, ones, _ = nodes[len(out)]
+    for at in nodes:
         levels = []
         for d in range(top - 1, -1, -1):
-            up = ((keys >> np.uint64(16)) << np.uint64(8)) | (keys & np.uint64(255))  # the oldest context byte goes
-            parents, number, _ = T.distinct(up)
-            n = len(parents)
-            z, o = T.sums_by(zeros, number, n), T.sums_by(ones, number, n)
+            keys, z, o, below = at
             own = log_kt(z, o)
-            w = np.logaddexp(own, T.sums_by(weighted, number, n)) - LN2
-            order = np.argsort(parents)
-            levels.append((parents[order], np.exp(own - LN2 - w)[order], ((o + 0.5) / (z + o + 1.0))[order]))
-            keys, zeros, ones, weighted = parents, z, o, w
+            w = np.logaddexp(own, below) - LN2
+            order = np.argsort(keys)
+            levels.append((keys[order], np.exp(own - LN2 - w)[order], ((o + 0.5) / (z + o + 1.0))[order]))
+            at = sums(keys, z, o, w)
         out.append(levels)
     return out
 
 
+def roots(nodes: list[tuple[np.ndarray, ...]], top: int) -> list[list[tuple[np.ndarray, ...]]]:
+    """`levels_above` from the summaries at level `top`."""
+    return levels_above([sums(*x) for x in nodes], top)
+
+
 def log10_probabilities(keys: np.ndarray, counts: np.ndarray, depth: int, top: int, above: list[list[tuple[np.ndarray, ...]]]) -> np.ndarray:
     """log10 of each gram's byte probability; the grams hold whole subtrees below level `top`, `above` the levels over it."""
     total = np.zeros(len(keys))
@@ -203,39 +217,48 @@ def _counted(depth: int):
     return run
 
 
-TOP = 2
+TOP = 3
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    some = [(b.column("key").to_numpy().view(np.uint64), b.column("n").to_numpy()) for b in batches]
-    return (np.concatenate([k for k, _ in some]), np.concatenate([n for _, n in some])) if some else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def _subtrees(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of runs of whole subtrees, from batches in the order of their keys."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for b in batches:
+        keys = np.append(keys, b.column("key").to_numpy().view(np.uint64))
+        counts = np.append(counts, b.column("n").to_numpy())
+        if len(keys) > RUN_GRAMS:
+            bound = int(np.searchsorted(keys >> np.uint64(shift), keys[-1] >> np.uint64(shift)))
+            if bound:
+                yield keys[:bound], counts[:bound]
+                keys, counts = keys[bound:], counts[bound:]
+    if len(keys):
+        yield keys, counts
 
 
-def _summed(depth: int):
+def _summed(depth: int, top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = _whole(batches)
-        if len(keys):
-            for bit, (nodes, zeros, ones, weighted) in enumerate(summaries(keys, counts, depth, TOP)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), bit, np.int8)), pa.array(nodes.view(np.int64)), pa.array(zeros), pa.array(ones), pa.array(weighted)], names=["bit", "node", "zeros", "ones", "weighted"])
+        for keys, counts in _subtrees(batches, 8 * (depth - top + 1)):
+            for bit, nodes in enumerate(summaries(keys, counts, depth, top)):
+                parents, *values = sums(*nodes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parents), bit, np.int8)), pa.array(parents.view(np.int64)), *(pa.array(x) for x in values)], names=["bit", "node", "zeros", "ones", "below"])
 
     return run
 
 
-def _mixed(depth: int, above):
+def _mixed(depth: int, top: int, above):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = _whole(batches)
-        if len(keys):
-            value = log10_probabilities(keys, counts, depth, TOP, above.value)
+        for keys, counts in _subtrees(batches, 8 * (depth - top + 1)):
+            value = log10_probabilities(keys, counts, depth, top, above.value)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), GRAM, np.int8)), pa.array(keys.view(np.int64)), pa.array(counts), pa.array(value)], names=["kind", "key", "n", "value"])
 
     return run
 
 
 class Trained:
-    """A model: `table` (kind, key, n, value) with log10 probabilities of grams and base probabilities of words, and its totals."""
+    """A model: `counts` (kind, key, n) of grams and words, also of those only met in rows given to `fit` that are not for training (n = 0), and totals."""
 
-    def __init__(self, table: DataFrame, depth: int, tokens: int, distinct: int, ends: int, smoothing: float) -> None:
-        self.table, self.depth, self.tokens, self.distinct, self.ends = table, depth, tokens, distinct, ends
+    def __init__(self, counts: DataFrame, depth: int, tokens: int, distinct: int, ends: int, smoothing: float) -> None:
+        self.counts, self.depth, self.tokens, self.distinct, self.ends = counts, depth, tokens, distinct, ends
         self.offset = float(np.log10(tokens + smoothing * (distinct + 1)))
         self.smoothing = smoothing
 
@@ -243,29 +266,35 @@ class Trained:
     def end_value(self) -> float:
         return float(np.log10(self.ends + self.smoothing)) - self.offset
 
+    @property
+    def top(self) -> int:
+        return min(TOP, self.depth)
+
 
 def fit(docs: DataFrame, text: str, training: Column, *, depth: int = DEPTH, smoothing: float = 0.1) -> Trained:
-    """Learns from the rows for which `training` holds; the other rows' grams and words get their values too."""
-    spark = docs.sparkSession
+    """Counts the rows for which `training` holds (null: not); grams and words of the others are noted with count 0. Null texts are empty."""
     source = docs.select(F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    counted = source.mapInArrow(_counted(depth), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = written(counted)
+    counts = written(source.mapInArrow(_counted(depth), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     total = counts.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     ends = source.where("training").count()
-    model = Trained(counts, depth, total.n + ends, total.v + (ends > 0), ends, smoothing)
+    return Trained(counts, depth, total.n + ends, total.v + (ends > 0), ends, smoothing)
+
 
-    # a partition holds whole subtrees: all grams with the same two bytes before the coded one
-    tree = counts.where(F.col("kind") == GRAM).repartition(F.shiftrightunsigned("key", 8 * (depth - TOP + 1)))
-    rows = tree.mapInArrow(_summed(depth), "bit byte, node long, zeros double, ones double, weighted double").toArrow()
+def _values(model: Trained, counts: DataFrame) -> DataFrame:
+    """kind, key, n, value of all rows of counts, written: log10 probabilities of grams, base probabilities of words."""
+    spark, depth, top = counts.sparkSession, model.depth, model.top
+    # rows with the same `top` bytes before the coded one are a subtree: in one partition, and next to each other
+    shift = 8 * (depth - top + 1)
+    tree = counts.where(F.col("kind") == GRAM).select("key", "n").repartition(F.shiftrightunsigned("key", shift)).sortWithinPartitions(F.shiftrightunsigned("key", 1), "key")
+    nodes = tree.mapInArrow(_summed(depth, top), "bit byte, node long, zeros double, ones double, below double")
     # at most 65,536 contexts of two bytes, 255 nodes each, whatever the corpus
+    rows = nodes.groupBy("bit", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toArrow()
     bits = rows.column("bit").to_numpy()
-    nodes = [tuple((c.view(np.uint64) if name == "node" else c)[bits == b] for name in ("node", "zeros", "ones", "weighted") for c in [rows.column(name).to_numpy()]) for b in range(8)]
-    above = spark.sparkContext.broadcast(roots(nodes, TOP))
-    schema = "kind byte, key long, n long, value double"
-    gram_values = tree.mapInArrow(_mixed(depth, above), schema)
-    word_values = counts.where(F.col("kind") == WORD).withColumn("value", F.log10(F.col("n") + smoothing) - model.offset)
-    model.table = written(gram_values.unionByName(word_values))
-    return model
+    at = [tuple((c.view(np.uint64) if name == "node" else c)[bits == b] for name in ("node", "zeros", "ones", "below") for c in [rows.column(name).to_numpy()]) for b in range(8)]
+    above = spark.sparkContext.broadcast(levels_above(at, top))
+    gram_values = tree.mapInArrow(_mixed(depth, top, above), "kind byte, key long, n long, value double")
+    word_values = counts.where(F.col("kind") == WORD).withColumn("value", F.log10(F.col("n") + model.smoothing) - model.offset)
+    return written(gram_values.unionByName(word_values))
 
 
 def _keys_of(low: np.ndarray, bounds: np.ndarray, depth: int):
@@ -274,100 +303,104 @@ def _keys_of(low: np.ndarray, bounds: np.ndarray, depth: int):
     return keys, np.repeat(np.arange(len(bounds) - 1), np.diff(of)), T.span_hashes(low, starts, ends), owner
 
 
-_held: dict[int, tuple[T.Values, T.Values]] = {}
+def _summed_up(part: np.ndarray, bounds: np.ndarray, model: tuple[int, float, float], value_of, count_of) -> tuple[np.ndarray, ...]:
+    """Words, known words, base and total of each text; value_of and count_of look up grams and words."""
+    depth, smoothing, offset = model
+    n = len(bounds) - 1
+    keys, of, words, owner = _keys_of(T.lower_ascii(part), bounds, depth)
+    values, counts = value_of(keys), count_of(words)
+    if np.isnan(values).any():
+        raise ValueError("a text holds a gram that was not asked for: score it with covered=False")
+    return np.bincount(owner, minlength=n), T.sums_by(counts > 0, owner, n).astype(np.int64), T.sums_by(np.log10(counts + smoothing) - offset, owner, n), T.sums_by(values, of, n)
+
+
+def _results(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, model, value_of, count_of) -> pa.RecordBatch:
+    n = len(offsets) - 1
+    out = [np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)]
+    for i, j, part, bounds in T.runs(data, offsets):
+        for whole, some in zip(out, _summed_up(part, bounds, model, value_of, count_of), strict=True):
+            whole[i:j] = some
+    return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets)), *(pa.array(x) for x in out)], names=["id", "n_bytes", "words", "known", "base", "total"])
 
 
-def _scored(depth: int, held, smoothing: float, offset: float):
+def _scored(model: tuple[int, float, float], held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if held.id not in _held:
-            _held.clear()
-            (gram, value, times), (word, n) = held.value
-            _held[held.id] = (T.Values(gram, value, times), T.Values(word, n, n, 15))
-        of_gram, count = _held[held.id]
+        gram, word = held.value
         for b in batches:
             data, offsets = T.buffers(b.column("text"))
-            n = len(offsets) - 1
-            out = {k: np.zeros(n) for k in ("tokens", "known", "base", "score")}
-            for i, j, part, bounds in T.runs(data, offsets):
-                keys, of, words, owner = _keys_of(T.lower_ascii(part), bounds, depth)
-                out["score"][i:j] = T.sums_by(of_gram.get(keys, 0.0), of, j - i)
-                n_of = count.get(words, 0.0)
-                out["base"][i:j] = T.sums_by(np.log10(n_of + smoothing) - offset, owner, j - i)
-                out["known"][i:j] = T.sums_by(n_of > 0, owner, j - i)
-                out["tokens"][i:j] = np.bincount(owner, minlength=j - i)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(offsets)), pa.array(out["tokens"].astype(np.int64)), pa.array(out["known"].astype(np.int64)), pa.array(out["base"]), pa.array(out["score"])], names=["id", "n_bytes", "words", "known", "base", "total"])
+            yield _results(b.column("id"), data, offsets, model, lambda k: gram.get(k, np.nan), lambda k: word.get(k, 0.0))
 
     return run
 
 
-def _emitted(depth: int):
-    """Distinct keys of each text with their counts, for the join."""
+def _asked(depth: int):
+    """Distinct grams and words of a block of texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = T.buffers(b.column("text"))
-            ids = b.column("id")
-            for i, j, part, bounds in T.runs(data, offsets):
-                keys, of, words, owner = _keys_of(T.lower_ascii(part), bounds, depth)
-                for kind, got, own in ((GRAM, keys, of), (WORD, words, owner)):
-                    _, number, _ = T.distinct(got)
-                    pair, n = np.unique(own * (number.max(initial=0) + 1) + number, return_counts=True)
-                    at = np.zeros(number.max(initial=0) + 1, np.uint64)
-                    at[number] = got
-                    doc = pair // (number.max(initial=0) + 1)
-                    key = at[pair % (number.max(initial=0) + 1)]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + doc)), pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n)], names=["id", "kind", "key", "tf"])
+    def run(texts: pa.Table) -> pa.Table:
+        data, offsets = T.buffers(texts.column("text"))
+        found: dict[int, list] = {GRAM: [], WORD: []}
+        for _, _, part, bounds in T.runs(data, offsets):
+            keys, _, words, _ = _keys_of(T.lower_ascii(part), bounds, depth)
+            for kind, got in ((GRAM, keys), (WORD, words)):
+                found[kind].append(T.distinct(got)[0])
+        keys = [T.distinct(np.concatenate([np.zeros(0, np.uint64), *found[kind]]))[0] for kind in (GRAM, WORD)]
+        block = np.full(len(keys[0]) + len(keys[1]), texts.column("block")[0].as_py(), np.int32)
+        return pa.table({"block": block, "kind": np.repeat(np.array([GRAM, WORD], np.int8), [len(k) for k in keys]), "key": np.concatenate(keys).view(np.int64)})
 
     return run
 
 
-def _columns(df: DataFrame) -> tuple[np.ndarray, ...]:
-    """Columns of a table of a checked size, the key first."""
-    rows = df.toArrow()
-    key, *others = (rows.column(c).to_numpy() for c in rows.column_names)
-    return key.view(np.uint64), *others
+def _block_scored(model: tuple[int, float, float], schema: pa.Schema):
+    def run(texts: pa.Table, values: pa.Table) -> pa.Table:
+        kind, key, value, n = (values.column(c).to_numpy() for c in ("kind", "key", "value", "n"))
+        gram, word = (T.Values(key[kind == k].view(np.uint64), x[kind == k].astype(np.float64), n[kind == k]) for k, x in ((GRAM, value), (WORD, n)))
+        data, offsets = T.buffers(texts.column("text"))
+        ids = texts.column("id").combine_chunks()
+        return pa.Table.from_batches([_results(ids, data, offsets, model, lambda k: gram.get(k, np.nan), lambda k: word.get(k, 0.0))]).cast(schema)
+
+    return run
 
 
-def score(docs: DataFrame, text: str, row_id: str, model: Trained, *, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def _near(values: DataFrame, value: str, bits: int) -> tuple[pa.Table, pa.Table]:
+    """key and value of a table of a checked size, in the order of the keys as unsigned numbers, and the rows of largest count."""
+    slim = values.select("key", F.col(value).cast("float").alias("value"), "n")
+    return slim.select("key", "value").orderBy(F.col("key") < 0, "key").toArrow(), slim.orderBy(F.desc("n"), "key").limit(1 << bits >> 1).toArrow()
+
+
+def score(docs: DataFrame, text: str, row_id: str, model: Trained, *, covered: bool = False, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """id, n_bytes, words, known, base, total for each row: base is the unigram word score, total the context-tree score (log10).
 
+    Every gram of the texts gets its probability in the tree, met in training or not. `covered`: all rows were given to `fit`
+    (for training or not), so that their grams are noted already and need no pass of their own; a gram that is not raises an error.
     A null text counts as empty; an empty text has the score of its end mark. Rows are kept as they are, also repeated ones.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
     kind_of_id = source.schema["id"].dataType.simpleString()
     schema = f"id {kind_of_id}, n_bytes long, words long, known long, base double, total double"
-    if model.table.count() <= most_broadcast:
-        gram = _columns(model.table.where(F.col("kind") == GRAM).select("key", F.col("value").cast("float"), F.col("n").cast("float")))
-        word = _columns(model.table.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", F.col("n").cast("double")))
-        held = spark.sparkContext.broadcast((gram, word))
-        scored = source.mapInArrow(_scored(model.depth, _Held(held), model.smoothing, model.offset), schema)
+    counts = model.counts
+    if not covered:
+        asked = source.select("text", F.lit(False).alias("training")).mapInArrow(_counted(model.depth), "kind byte, key long, n long")
+        counts = written(counts.unionByName(asked).groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    values = _values(model, counts)
+    settings = model.depth, model.smoothing, model.offset
+    if values.count() <= most_broadcast:
+        gram = T.Values.sorted(*_near(values.where(F.col("kind") == GRAM), "value", 17), 17)
+        word = T.Values.sorted(*_near(values.where((F.col("kind") == WORD) & (F.col("n") > 0)), "n", 15), 15)
+        scored = source.mapInArrow(_scored(settings, spark.sparkContext.broadcast((gram, word))), schema)
     else:
-        numbered = source.withColumn("row", F.monotonically_increasing_id())
-        numbered = written(numbered)
-        pairs = numbered.select(F.col("row").alias("id"), "text").mapInArrow(_emitted(model.depth), "id long, kind byte, key long, tf long")
-        sums = pairs.join(model.table, ["kind", "key"]).groupBy("id").agg(
-            F.sum(F.when(F.col("kind") == WORD, F.col("tf")).otherwise(0)).alias("words"),
-            F.sum(F.when((F.col("kind") == WORD) & (F.col("n") > 0), F.col("tf")).otherwise(0)).alias("known"),
-            F.sum(F.when(F.col("kind") == WORD, F.col("tf") * F.col("value")).otherwise(0.0)).alias("base"),
-            F.sum(F.when(F.col("kind") == GRAM, F.col("tf") * F.col("value")).otherwise(0.0)).alias("total"),
-        )
-        scored = numbered.join(sums.withColumnRenamed("id", "row"), "row").select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "words", "known", "base", "total")
+        bytes_of = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+        numbered = written(source.withColumn("row", F.monotonically_increasing_id()))
+        blocks = 1 + (numbered.agg(F.sum(bytes_of)).first()[0] or 0) // BLOCK_BYTES
+        dealt = numbered.select("id", "text", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"))
+        asked = dealt.groupBy("block").applyInArrow(_asked(model.depth), "block int, kind byte, key long")
+        held = asked.join(values, ["kind", "key"]).select("block", "kind", "key", "value", "n")
+        fields = pa.schema([("id", _arrow_kind(source)), ("n_bytes", pa.int64()), ("words", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("total", pa.float64())])
+        scored = dealt.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(_block_scored(settings, fields), schema)
     return scored.withColumn("words", F.col("words") + 1).withColumn("known", F.col("known") + int(model.ends > 0)).withColumn("base", F.col("base") + model.end_value)
 
 
-class _Held:
-    """A broadcast with a name that is the same in every task."""
-
-    def __init__(self, broadcast) -> None:
-        self.broadcast, self.id = broadcast, broadcast._jbroadcast.id()
+def _arrow_kind(source: DataFrame) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    def __getstate__(self):
-        return self.broadcast, self.id
-
-    def __setstate__(self, state):
-        self.broadcast, self.id = state
-
-    @property
-    def value(self):
-        return self.broadcast.value
+    return to_arrow_type(source.schema["id"].dataType)

@@ -14,7 +14,7 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold("doc_id", 10) == 0, F.lit(False))
     model = context_tree.fit(docs, "text", ~held_out)
-    scored = context_tree.score(docs, "text", "doc_id", model)
+    scored = context_tree.score(docs, "text", "doc_id", model, covered=True)
     return scored.select(
         F.col("id").alias("doc_id"),
         F.coalesce(fold("id", 10) == 0, F.lit(False)).alias("held_out"),

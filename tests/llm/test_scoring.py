@@ -77,7 +77,7 @@ def test_context_tree_against_brute_force(spark, most):
     rows = [(i, t, zlib.crc32(str(i).encode()) % 10 != 0) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, training boolean")
     model = context_tree.fit(docs, "text", F.col("training"), depth=DEPTH)
-    got = {r.id: r for r in context_tree.score(docs, "text", "doc_id", model, most_broadcast=most).collect()}
+    got = {r.id: r for r in context_tree.score(docs, "text", "doc_id", model, covered=True, most_broadcast=most).collect()}
     want = brute_scores([(t, training) for _, t, training in rows], DEPTH)
     low = [[w.lower() for w in t.split()] for t in texts]
     counts = Counter(w for (_, _, training), ws in zip(rows, low) if training for w in ws)
@@ -91,6 +91,37 @@ def test_context_tree_against_brute_force(spark, most):
         assert (got[i].words, got[i].known) == (len(ws) + 1, sum(counts[w] > 0 for w in ws) + 1)
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_texts_that_were_not_fitted(spark, most):
+    """Grams and contexts that training never met have their tree's probability, one by broadcast and by join."""
+    fitted = [(i, "the then of théâtre " * (i + 1), True) for i in range(6)]
+    others = [(10, "zzqxv jjkkw qqqq", False), (11, "the then zz", False), (12, "", False), (13, None, False), (14, "日本", False)]
+    model = context_tree.fit(spark.createDataFrame(fitted, "doc_id long, text string, training boolean"), "text", F.col("training"), depth=DEPTH)
+    docs = spark.createDataFrame(others, "doc_id long, text string, training boolean")
+    got = {r.id: r.total for r in context_tree.score(docs, "text", "doc_id", model, most_broadcast=most).collect()}
+    want = brute_scores([(t or "", training) for _, t, training in fitted + others], DEPTH)[len(fitted):]
+    assert [got[i] for i, _, _ in others] == pytest.approx(want, abs=1e-4) and got[10] < -20
+    with pytest.raises(Exception, match="covered=False"):
+        context_tree.score(docs, "text", "doc_id", model, covered=True, most_broadcast=10**6).collect()
+
+
+def test_subtrees_in_runs(spark, monkeypatch):
+    """Runs of whole subtrees give what one run gives."""
+    rng = np.random.default_rng(7)
+    keys = np.unique(rng.integers(0, 1 << 32, 3000).astype(np.uint64) >> np.uint64(7) << np.uint64(3))
+    counts = rng.integers(0, 5, len(keys))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100].view(np.int64)), pa.array(counts[i : i + 100])], names=["key", "n"]) for i in range(0, len(keys), 100)]
+    whole = context_tree.summaries(keys, counts, 3, 2)
+    monkeypatch.setattr(context_tree, "RUN_GRAMS", 250)
+    runs = list(context_tree._subtrees(iter(batches), 16))
+    assert len(runs) > 5 and np.array_equal(np.concatenate([k for k, _ in runs]), keys)
+    parts = [context_tree.summaries(k, c, 3, 2) for k, c in runs]
+    for bit in range(8):
+        want = dict(zip(whole[bit][0].tolist(), whole[bit][3].tolist()))
+        got = {k: v for p in parts for k, v in zip(p[bit][0].tolist(), p[bit][3].tolist())}
+        assert got == pytest.approx(want)
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 101, 400).astype(np.uint8)
