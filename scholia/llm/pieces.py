@@ -23,9 +23,10 @@ from scholia.llm import _text as T
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 MOST_STATES = 60_000
+MOST_MOVES = 240_000
 MOST_PAIRS = 300_000
-MOST_COUNTS = 1_000_000
-MOST_WORDS = 600_000
+#: Bytes of the words that a worker keeps, and of an entry besides its ids.
+MOST_KEPT, ENTRY = 64 << 20, 150
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
 
@@ -200,11 +201,15 @@ class Automaton:
             # a character in no piece is a bound, and as many byte pieces as it has bytes
             return 0, len(chr(c).encode()), -c - 1
         after = (*((to, last, count - total, since) for to, last, count, since in alive), (0, piece if bpe else -1, 0, 0))
-        number = self.numbers.get(after)
+        return self.number(after), total, piece
+
+    def number(self, state: tuple) -> int:
+        """The number of a state, a new one if it has none."""
+        number = self.numbers.get(state)
         if number is None:
-            number = self.numbers[after] = len(self.states)
-            self.states.append(after)
-        return number, total, piece
+            number = self.numbers[state] = len(self.states)
+            self.states.append(state)
+        return number
 
     def _length(self, piece: int) -> int:
         return len(self.v.texts[piece]) if piece >= 0 else 1
@@ -222,23 +227,9 @@ class Automaton:
         return out
 
     def _tidy(self) -> None:
-        if len(self.states) > MOST_STATES or len(self.moves) > 4 * MOST_STATES:
+        if len(self.states) > MOST_STATES or len(self.moves) > MOST_MOVES:
             self._reset()
 
-    def count(self, word: str) -> int:
-        """Tokens of a word, as the sum of what its transitions emit."""
-        if not self.v.bpe:
-            return len(self.encode(word))
-        self._tidy()
-        state, n, moves = 0, 0, self.moves
-        for c in map(ord, word):
-            move = moves.get(state << 21 | c)
-            if move is None:
-                move = moves[state << 21 | c] = self._move(state, c)
-            state = move[0]
-            n += move[1]
-        return n
-
     def encode(self, word: str) -> list[int]:
         """Ids of a word: the streaming search of `Stream`, in one go."""
         stream = Stream(self)
@@ -309,13 +300,13 @@ class Stream:
 
 
 class Words:
-    """A worker's automaton and the words it has segmented, both bounded; over whole texts, in batches."""
+    """A worker's automaton and the words it has segmented, bounded by their bytes; over whole texts, in batches."""
 
     def __init__(self, path: str) -> None:
         self.v = Vocabulary(path)
         self.a = Automaton(self.v)
-        self.known: dict[int, tuple[int, ...]] = {}
-        self.counts: dict[int, int] = {}
+        self.known: dict[int, bytes] = {}  # ids of words, four bytes each
+        self.kept = 0
         self._runs: dict[int, list[int]] = {}
 
     def spaces(self, k: int) -> list[int]:
@@ -370,47 +361,6 @@ class Words:
         at[at == len(runs[1])] = 0
         return np.where((runs[1][at] == starts) & (starts > offsets[owner]), at, -1)
 
-    def count_tokens(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Token count of each text."""
-        n = len(offsets) - 1
-        data, offsets, (starts, ends, owner), runs, apart = self.items(data, offsets)
-        total = np.bincount(np.searchsorted(offsets, apart, side="right") - 1, minlength=n).astype(np.int64)
-        run = self._before(starts, owner, runs, offsets)
-        keys, number, first = self._distinct(data, starts, ends, run >= 0)
-        known = self.counts
-        if len(known) > MOST_COUNTS:
-            known.clear()
-        missing = [i for i, k in enumerate(keys) if k not in known]
-        at = first[missing] if missing else np.zeros(0, np.int64)
-        for i, word in zip(missing, self._texts(data, starts[at], ends[at], run[at] >= 0), strict=True):
-            known[keys[i]] = self.a.count(word)
-        if keys:
-            total += T.sums_by(np.array([known[k] for k in keys], np.int64)[number], owner, n).astype(np.int64)
-        if len(runs[0]):
-            # a word holds the last space before it; where that space stays a piece of its own, it merges with the run's others
-            length = runs[1] - runs[0]
-            spaced = np.flatnonzero(run >= 0)
-            many = spaced[length[run[spaced]] > 1]
-            length[run[spaced]] -= 1
-            if len(many):
-                distinct, back = np.unique(number[many], return_inverse=True)
-                of = first[distinct]
-                alone = np.array([self._lone(x) for x in self._texts(data, starts[of], ends[of], np.ones(len(of), bool))])[back]
-                length[run[many[alone]]] += 1
-                total -= np.bincount(owner[many[alone]], minlength=n)
-            distinct, back = np.unique(length, return_inverse=True)
-            total += T.sums_by(np.array([len(self.spaces(k)) if k else 0 for k in distinct.tolist()])[back], runs[2], n).astype(np.int64)
-        return total
-
-    def _lone(self, word: str) -> bool:
-        """Whether the space before a word stays a piece of its own."""
-        if len(word) < 2:
-            return False
-        lasts, at = self.a.lasts(word), len(word)
-        while at > 1:
-            at -= self.a._length(lasts[at - 1])
-        return at == 1
-
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the texts' offsets in them."""
         n = len(offsets) - 1
@@ -418,22 +368,28 @@ class Words:
         run = self._before(starts, owner, runs, offsets)
         keys, number, first = self._distinct(data, starts, ends, run >= 0)
         known = self.known
-        if len(known) > MOST_WORDS:
+        if self.kept > MOST_KEPT:
             known.clear()
+            self.kept = 0
         missing = [i for i, k in enumerate(keys) if k not in known]
         at = first[missing] if missing else np.zeros(0, np.int64)
         for i, word in zip(missing, self._texts(data, starts[at], ends[at], run[at] >= 0), strict=True):
-            known[keys[i]] = tuple(self.a.encode(word))
+            known[keys[i]] = np.array(self.a.encode(word), "<i4").tobytes()
+            self.kept += len(known[keys[i]]) + ENTRY
         lists = [known[k] for k in keys]
+        word_ids, word_sizes = np.frombuffer(b"".join(lists), "<i4"), np.array([len(x) >> 2 for x in lists], np.int64)
         lone_id = self.v.ids.get(SPACE, -1)
-        lone = np.array([len(x) > 1 and x[0] == lone_id for x in lists], bool)[number] & (run >= 0) if lists else np.zeros(0, bool)
+        if lists:
+            lone = ((word_sizes > 1) & (word_ids[np.append(0, np.cumsum(word_sizes))[:-1]] == lone_id))[number] & (run >= 0)
+        else:
+            lone = np.zeros(0, bool)
         length = runs[1] - runs[0]
         taken = run[(run >= 0) & ~lone]
         length[taken] -= 1
         some, back = np.unique(length, return_inverse=True) if len(length) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         run_lists = [self.spaces(k) if k else [] for k in some.tolist()]
-        flat = np.array([i for x in lists for i in x] + [i for x in run_lists for i in x] + self.v.bytes, np.int32)
-        sizes = np.array([len(x) for x in lists] + [len(x) for x in run_lists] + [1] * 256, np.int64)
+        flat = np.concatenate([word_ids, np.array([i for x in run_lists for i in x] + self.v.bytes, np.int32)])
+        sizes = np.concatenate([word_sizes, np.array([len(x) for x in run_lists] + [1] * 256, np.int64)])
         begin = np.append(0, np.cumsum(sizes))[:-1]
         place = np.concatenate([starts, runs[0], apart])
         item = np.concatenate([number, len(lists) + back, len(lists) + len(run_lists) + data[apart].astype(np.int64)]) if len(place) else np.zeros(0, np.int64)

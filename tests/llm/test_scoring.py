@@ -168,7 +168,7 @@ def test_pieces_against_library():
     data, offsets = T.buffers(pieces.plain(pa.array(texts)))
     ids, at = w.encode(data, offsets)
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
-    assert w.count_tokens(data, offsets).tolist() == [len(x) for x in want]
+    assert token_counts.counter(path).count(data, offsets).tolist() == [len(x) for x in want]
     back, bounds = w.decode(ids, at)
     assert [back[a:b].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:])] == [t.replace("▁", " ") for t in texts]
 
@@ -184,18 +184,44 @@ def test_stream_commits_early():
     assert out == a.encode(word) and widest < 200
 
 
-def test_chunks_compose():
-    text = "The quick brown foxes  jumped over\nthe lazy dogs, again and again. " * 5
-    want = token_counts._of(" " + text)
-    for size in (7, 31, 200):
-        parts = [token_counts.chunk((" " + text)[i : i + size]) for i in range(0, len(text) + 1, size)]
-        left = parts[0]
-        for p in parts[1:]:
-            left = left + p
-        right = parts[-1]
-        for p in parts[-2::-1]:
-            right = p + right
-        assert left.total() == right.total() == want
+@pytest.mark.parametrize(("chunk", "window"), [(128, 1 << 19), (16, 1000), (3, 50), (1, 7)])
+def test_chunks_compose(chunk, window):
+    """Counts of the library whatever the cuts into chunks and windows, on texts with and without bounds."""
+    path = pieces.default_path()
+    rng = random.Random(12)
+    kana = "".join(chr(rng.randrange(0x3040, 0x30FF)) for _ in range(700))
+    texts = ["The quick brown foxes  jumped over\nthe lazy dogs, again and again. " * 5, "", "a" * 900, "the" * 300, "internationalisation" * 60, kana, "日本語" * 300, "".join(rng.choice("abcdeinort") for _ in range(2000)), " " * 77, "x" + " " * 50 + "y", "".join(rng.choice(" \nae日é▁0") for _ in range(1500))]
+    want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
+    data, offsets = T.buffers(pieces.plain(pa.array(texts)))
+    counter = token_counts.Counter(pieces.Automaton(pieces.Vocabulary(path)), chunk, window)
+    assert counter.count(data, offsets).tolist() == want
+    assert counter.count(data, offsets).tolist() == want
+
+
+def test_prefix_scan_of_state_maps():
+    rng = np.random.default_rng(1)
+    sizes = [1, 2, 3, 7, 1, 64, 33]
+    depth = np.concatenate([np.arange(n) for n in sizes])
+    to, n = rng.integers(0, 3, (len(depth), 3)), rng.integers(0, 9, (len(depth), 3))
+    want_to, want_n = to.copy(), n.copy()
+    for i in range(len(depth)):
+        if depth[i]:
+            want_n[i] = want_n[i - 1] + n[i][want_to[i - 1]]
+            want_to[i] = to[i][want_to[i - 1]]
+    got_to, got_n = token_counts.scanned(to.copy(), n.copy(), depth)
+    assert np.array_equal(got_to, want_to) and np.array_equal(got_n, want_n)
+
+
+def test_kept_transitions_and_counts_are_bounded(monkeypatch):
+    path = pieces.default_path()
+    rng = random.Random(3)
+    monkeypatch.setattr(pieces, "MOST_STATES", 300)
+    monkeypatch.setattr(token_counts, "MOST_COUNTS", 200)
+    texts = ["".join(rng.choice("abcdefghijk 日本") for _ in range(300)) for _ in range(60)]
+    want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
+    counter = token_counts.Counter(pieces.Automaton(pieces.Vocabulary(path)), 16, 600)
+    data, offsets = T.buffers(pa.array(texts))
+    assert counter.count(data, offsets).tolist() == want and len(counter.a.states) < 1500 and len(counter.known) < 800
 
 
 def test_languages(spark):
