@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -172,6 +173,32 @@ def test_personal_data_against_brute_force(spark, hard, empty):
     assert masked.columns == hard.columns and masked.count() == hard.count()
 
 
+def test_personal_data_in_long_texts_and_clashing_columns(spark):
+    """Time in proportion to the length, whatever the number of matches; contexts of any length; columns of any name."""
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "a1 " * n)], "doc_id long, text string")
+        start = time.time()
+        assert personal_data.found(docs, "text", "doc_id").selectExpr("size(base) + size(added) AS n").first().n == 0
+        return time.time() - start
+
+    seconds(10)
+    seconds(350_000)  # one megabyte
+    once, twice = seconds(350_000), seconds(700_000)
+    assert once < 60 and twice < 3.5 * once
+    many = " ".join(f"x{i}@mail.example +1 555 010 {1000 + i}" for i in range(20_000))
+    long_word = "w" * 400
+    rows = [(i, f"{long_word}{long_word} {long_word} user{i}@example.com", "r") for i in range(12)] + [(50, f"{long_word}{long_word} {long_word} joe(at)example99", "r"), (60, many, "r"), (None, "mail a@b.cd", "r"), (70, None, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").selectExpr("*", "row AS __row", "row AS __id", "row AS __spans", "row AS doc", "row AS spans", "row AS cut", "row AS id", "row AS part", "row AS words")
+    masked = personal_data.masked(docs, "text", "doc_id")
+    assert masked.columns == docs.columns
+    got = {r.doc_id: r for r in masked.collect()}
+    assert got[50].text == f"{long_word}{long_word} {long_word} <email>" and got[50].spans == "r" and got[50]["__row"] == "r"
+    assert got[60].text == " ".join(["<email> <phone>"] * 20_000) and got[None].text == "mail <email>" and got[70].text is None
+    wide = "日本" * 1500 + " é@ü a@b.cd " + "x" * 999 + " 10.0.0.1 b@c.de"
+    out = personal_data.masked(spark.createDataFrame([(1, wide)], "doc_id long, text string"), "text", "doc_id").first().text
+    assert out == "日本" * 1500 + " é@ü <email> " + "x" * 999 + " <ip> <email>"
+
+
 def test_bootstrapping_finds_unseen_identifiers(spark):
     rows = [(i, f"please send all mail to user{i}@example.com for help") for i in range(12)]
     rows += [(100, "please send all mail to joe(at)example99 for help"), (101, "version 99 of the thing"), (102, "clean words only")]
