@@ -56,31 +56,99 @@ def order_votes(found: DataFrame) -> DataFrame:
     return both.groupBy(F.col("x.label").alias("a"), F.col("y.label").alias("b")).agg(F.count_if(F.col("x.page") < F.col("y.page")).alias("ahead"), F.count_if(F.col("x.page") >= F.col("y.page")).alias("behind"))
 
 
-def votes(found: DataFrame, links: DataFrame | None = None, *, least_together: int = 2, least_criteria: int = 2, theta: float = THETA) -> DataFrame:
-    """prerequisite, concept, score, weight of the pairs that enough criteria decide: order (TemO), links (IOLR), spread over headings (BERTropy).
+# Verbs that make the object of a triple a prerequisite of its subject, and the weaker ones that don't count in a text's span.
+PREREQUISITE_VERBS = (
+    "require", "requires", "needs", "need", "depend", "depends", "depend_on", "depends_on", "necessary", "essential", "use", "uses", "contain", "contains", "include", "includes", "involve", "involves", "help", "helps",
+    "enable", "enables", "allow", "allows", "based", "based_on", "derived", "derived_from", "made_of", "consist", "consists", "composed",
+)
+WEAK_VERBS = ("use", "uses", "help", "helps", "allow", "allows")
 
-    links: id, in_degree, out_degree, optional. The score is the weighed margin; a strong criterion must back the winner where one voted.
+
+def _requires(edges: DataFrame) -> DataFrame:
+    return edges.where((F.col("type") == "RELATED_TO") & F.exists("predicates", lambda p: F.trim(F.lower(p)).isin(*PREREQUISITE_VERBS)))
+
+
+def link_stats(edges: DataFrame, any_predicate: bool = False) -> DataFrame:
+    """id, in_degree, out_degree over edges (source, target, type, predicates) with a prerequisite verb, or all that are RELATED_TO."""
+    used = edges.where(F.col("type") == "RELATED_TO") if any_predicate else _requires(edges)
+    ends = used.select(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(used.select(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    return ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+
+
+def text_prerequisites(edges: DataFrame) -> DataFrame:
+    """concept, prerequisite of edges (source, target, type, predicates, span) that say so: a verb among the predicates, or a strong one of over three letters in the span."""
+    strong = [v for v in PREREQUISITE_VERBS if v not in WEAK_VERBS and len(v) > 3]
+    spoken = F.arrays_overlap(F.split(F.lower(F.coalesce("span", F.lit(""))), r"\s+"), F.array(*(F.lit(v) for v in strong)))
+    said = F.exists(F.coalesce("predicates", F.array().cast("array<string>")), lambda p: F.trim(F.lower(p)).isin(*PREREQUISITE_VERBS))
+    return edges.where((F.col("type") == "RELATED_TO") & (said | spoken)).select(F.col("source").alias("concept"), F.col("target").alias("prerequisite")).distinct()
+
+
+def _one_way(pairs: DataFrame, earlier: str, later: str, name: str) -> DataFrame:
+    """a, b (a < b) and 1 where only a is the earlier of the two, -1 where only b is."""
+    way = F.when(F.col(earlier) < F.col(later), 1).otherwise(-1)
+    return pairs.where(F.col(earlier) != F.col(later)).select(F.least(earlier, later).alias("a"), F.greatest(earlier, later).alias("b"), way.alias(name)).distinct().groupBy("a", "b").agg(F.sum(name).cast("int").alias(name)).where(F.col(name) != 0)
+
+
+def votes(
+    found: DataFrame, links: DataFrame | None = None, *, grades: DataFrame | None = None, required: DataFrame | None = None, pages: DataFrame | None = None, front_matter: int = 0, least_degree: int = 0, pair_evidence: bool = False,
+    least_together: int = 2, least_criteria: int = 2, theta: float = THETA,
+) -> DataFrame:
+    """prerequisite, concept, score, weight, against of the pairs that enough criteria decide.
+
+    Criteria: order in shared documents (TemO), spread over headings (BERTropy); and where given, grades (document_id, grade) of the documents (CMH: the
+    earlier one), links (id, in_degree, out_degree; IOLR, from `least_degree` on), required (concept, prerequisite; Text) and pages (source, target: source's page links to target; HL-A). A pair takes
+    part if it occurs together in enough chunks or one page alone links to the other. Pages before `front_matter` don't count.
+    The score is the weighed margin; a strong criterion must back the winner where one is active, with `pair_evidence` also one about the pair.
     """
-    pairs = cooccurrence(found).where(F.col("n") >= least_together).join(order_votes(found), ["a", "b"])
-    spread = entropy(found).select("label", "entropy")
+    told = found.where(F.col("page") >= front_matter) if front_matter else found
+    pairs = cooccurrence(told).where(F.col("n") >= least_together).select("a", "b")
+    present = told.select("label").distinct()
+    if pages is not None:
+        # the target is linked within the source: it is the source's prerequisite
+        contained = _one_way(pages.select(F.col("target").alias("x"), F.col("source").alias("y")), "x", "y", "hl")
+        for side in "ab":
+            contained = contained.join(present.select(F.col("label").alias(side)), side, "left_semi")
+        pairs = pairs.unionByName(contained.select("a", "b")).distinct().join(contained, ["a", "b"], "left")
+    pairs = pairs.join(order_votes(told), ["a", "b"], "left" if pages is not None else "inner")
+    if required is not None:
+        pairs = pairs.join(_one_way(required, "prerequisite", "concept", "tx"), ["a", "b"], "left")
+    spread = entropy(told).select("label", "entropy")
+    first = None if grades is None else told.select("label", "document_id").distinct().join(grades, "document_id").groupBy("label").agg(F.min("grade").alias("grade"))
     for side in "ab":
         pairs = pairs.join(spread.withColumnsRenamed({"label": side, "entropy": f"e{side}"}), side, "left")
         if links is not None:
-            rate = links.select(F.col("id").alias(side), ((F.col("in_degree") + 1) / (F.col("in_degree") + F.col("out_degree") + 1)).alias(f"r{side}"))
+            rate = links.where(F.col("in_degree") + F.col("out_degree") >= least_degree).select(F.col("id").alias(side), ((F.col("in_degree") + 1) / (F.col("in_degree") + F.col("out_degree") + 1)).alias(f"r{side}"))
             pairs = pairs.join(rate, side, "left")
+        if first is not None:
+            pairs = pairs.join(first.withColumnsRenamed({"label": side, "grade": f"g{side}"}), side, "left")
     sign = lambda x: F.when(x > 1e-9, 1).when(x < -1e-9, -1).otherwise(0)
     cast = {"TemO": sign((F.col("ahead") - F.col("behind")).cast("double")), "BERTropy": sign(F.col("ea") - F.col("eb"))}
     if links is not None:
-        cast["IOLR"] = F.coalesce(sign(F.col("ra") - F.col("rb")), F.lit(0))
-    voted = pairs.withColumns({f"v_{k.lower()}": v for k, v in cast.items()})
-    of = {k: F.col(f"v_{k.lower()}") for k in cast}
+        cast["IOLR"] = sign(F.col("ra") - F.col("rb"))
+    if first is not None:
+        cast["CMH"] = sign((F.col("gb") - F.col("ga")).cast("double"))
+    if required is not None:
+        cast["Text"] = F.coalesce("tx", F.lit(0))
+    if pages is not None:
+        cast["HL-A"] = F.coalesce("hl", F.lit(0))
+    of = {k: F.col("v_" + k.lower().replace("-", "")) for k in cast}
+    voted = pairs.withColumns({"v_" + k.lower().replace("-", ""): v for k, v in cast.items()})
     va = sum((F.when(v > 0, WEIGHTS[k]).otherwise(0) for k, v in of.items()), F.lit(0))
     vb = sum((F.when(v < 0, WEIGHTS[k]).otherwise(0) for k, v in of.items()), F.lit(0))
     n = sum((F.abs(v) for v in of.values()), F.lit(0))
     decided = voted.withColumns({"va": va, "vb": vb, "n_votes": n}).where(F.col("n_votes") >= least_criteria).withColumn("s", (F.col("va") - F.col("vb")) / (F.col("va") + F.col("vb"))).where(F.abs("s") >= theta)
-    strong = [F.col(f"v_{k.lower()}") * F.signum("s") > 0 for k in cast if k in STRONG]
-    if strong:
-        decided = decided.where(strong[0])
+
+    def backed(criteria: tuple[str, ...]) -> Column:
+        out = F.lit(False)
+        for k in criteria:
+            if k in of:
+                out = out | (of[k] * F.signum("s") > 0)
+        return out
+
+    if any(k in STRONG for k in cast):
+        decided = decided.where(backed(STRONG))
+    if pair_evidence:
+        decided = decided.where(backed(("TemO", "Text", "HL-A")))
     a_first = F.col("s") > 0
     return decided.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("prerequisite"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("concept"), F.abs("s").alias("score"), F.greatest("va", "vb").cast("long").alias("weight"), F.least("va", "vb").cast("long").alias("against"))
 

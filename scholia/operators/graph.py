@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,79 @@ def paths(edges: DataFrame, start: str, end: str, depth: int) -> DataFrame:
     return done.select(F.array_join("nodes", ">").alias("path"), (F.size("nodes") - 1).cast("long").alias("hops"))
 
 
+def reached(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """start, id, depth, edge, type of each node within `depth` links of a start (column id), either way: the least edge id of those that reach it at its least depth.
+
+    edges: id, source, target, type.
+    """
+    both = edges.select("id", "type", F.col("source").alias("from"), F.col("target").alias("to")).union(edges.select("id", "type", "target", "source"))
+    both = both.where(F.col("from") != F.col("to")).checkpoint()
+    front = start.select(F.col("id").alias("start"), "id").distinct().withColumns({"depth": F.lit(0).cast("long"), "edge": F.lit(None).cast("string"), "type": F.lit(None).cast("string")})
+    seen = front
+    for d in range(1, depth + 1):
+        step = both.select(F.col("id").alias("edge"), "type", "from", "to")
+        met = front.select("start", F.col("id").alias("from")).join(step, "from").groupBy("start", F.col("to").alias("id")).agg(F.min(F.struct("edge", "type")).alias("e"))
+        front = met.join(seen, ["start", "id"], "left_anti").select("start", "id", F.lit(d).cast("long").alias("depth"), F.col("e.edge").alias("edge"), F.col("e.type").alias("type")).checkpoint()
+        seen = seen.unionByName(front)
+    return seen.where("depth > 0")
+
+
+def chain(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """What two links around a concept hold, by the type of the edge that reaches it: prerequisites, and what is related or supports."""
+    around = reached(edges, start, 2)
+    part = F.when(F.col("type") == "PREREQUISITE_OF", "prerequisite").when(F.col("type").isin("RELATED_TO", "SUPPORTED_BY"), "related")
+    return around.withColumn("part", part).where("part IS NOT NULL").select("start", "id", "depth", "part")
+
+
+def evidence_chain(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """All nodes within three links of a node, whatever the edges' types."""
+    return reached(edges, start, 3)
+
+
+def exam_pattern(nodes: DataFrame, subject: str, year: str) -> DataFrame:
+    """Blueprints, papers and schemes (id, type, label, academic_year) whose label holds the subject; those with a year must hold it."""
+    kinds = F.col("type").isin("ASSESSMENT_BLUEPRINT", "QUESTION_PAPER", "ANSWER_SCHEME")
+    dated = F.col("academic_year").isNull() | F.contains("academic_year", F.lit(year))
+    return nodes.where(kinds & F.contains(F.lower("label"), F.lit(subject.lower())) & dated)
+
+
+def reasoning_paths(edges: DataFrame, start: str, end: str, depth: int = 4) -> DataFrame:
+    """path, types of each simple directed path of up to `depth` edges: its nodes, and the types of its edges."""
+    step = edges.select("source", "target", "type").distinct().checkpoint()
+    front = step.where(F.col("source") == start).select(F.array("source", "target").alias("nodes"), F.array("type").alias("types"), F.col("target").alias("at"))
+    done = front.where(F.col("at") == end)
+    for _ in range(1, depth):
+        open_ = front.where(F.col("at") != end)
+        front = open_.join(step, open_["at"] == step["source"]).where(~F.array_contains("nodes", F.col("target"))).select(F.concat("nodes", F.array("target")).alias("nodes"), F.concat("types", F.array("type")).alias("types"), F.col("target").alias("at"))
+        done = done.unionByName(front.where(F.col("at") == end))
+    return done.select(F.array_join("nodes", ">").alias("path"), F.array_join("types", ">").alias("types"))
+
+
+def anchored(nodes: DataFrame, queries: DataFrame, words: Column, kind: str = "CONCEPT", most_words: int = 3, most_nodes: int = 3) -> DataFrame:
+    """query_id, id of the concept nodes whose label has one of a query's first words (by an equi-join on words): at most `most_nodes` a word, by id."""
+    asked = queries.select("query_id", F.explode(F.slice(words, 1, most_words)).alias("word")).select("query_id", F.lower("word").alias("word")).distinct()
+    listed = nodes.where(F.col("type") == kind).select("id", F.explode(F.array_distinct(F.split(F.lower("label"), "[^a-z0-9]+"))).alias("word")).where("word <> ''")
+    order = Window.partitionBy("query_id", "word").orderBy("id")
+    return asked.join(listed, "word").withColumn("r", F.row_number().over(order)).where(F.col("r") <= most_nodes).select("query_id", "id").distinct()
+
+
+def subgraph(edges: DataFrame, anchors: DataFrame, depth: int = 2) -> DataFrame:
+    """query_id, id, depth: the union of the neighbourhoods of each query's anchors (query_id, id), each node at its least depth."""
+    around = reached(edges, anchors.select("id").distinct(), depth)
+    return anchors.withColumnRenamed("id", "start").join(around, "start").groupBy("query_id", "id").agg(F.min("depth").alias("depth"))
+
+
+def objects(questions: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, type, label) and edges (source, target, type) of papers, their questions and the questions' parts."""
+    paper = F.concat(F.lit("paper:"), "document_id")
+    question = F.concat(F.lit("q:"), "document_id", F.lit(":"), "number")
+    part = F.concat(question, F.lit(":"), "part")
+    nodes = questions.select(paper.alias("id"), F.lit("QUESTION_PAPER").alias("type"), paper.alias("label")).distinct()
+    nodes = nodes.unionByName(questions.select(question.alias("id"), F.lit("QUESTION").alias("type"), F.col("title").alias("label"))).unionByName(parts.select(part.alias("id"), F.lit("QUESTION_PART").alias("type"), F.concat(F.lit("Q"), "q_no", F.lit("("), "part", F.lit(")")).alias("label")).distinct())
+    edges = questions.select(paper.alias("source"), question.alias("target"), F.lit("CONTAINS").alias("type")).unionByName(parts.select(question.alias("source"), part.alias("target"), F.lit("CONTAINS").alias("type")).distinct())
+    return nodes, edges
+
+
 def closure(prerequisites: DataFrame, least: float = 0.28) -> DataFrame:
     """Two-hop closure of (concept, prerequisite, score): scores multiply, the best stays, at least `least`."""
     a, b = prerequisites.alias("a"), prerequisites.alias("b")

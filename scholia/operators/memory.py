@@ -58,6 +58,12 @@ def _reviewed(s: Column, g: Column, t: Column) -> tuple[Column, Column]:
     return F.round(F.when(fresh, _first_difficulty(g)).otherwise(difficulty), 8), F.round(F.when(fresh, _first_stability(g)).otherwise(F.when(g == 1, lapse).otherwise(recalled)), 8)
 
 
+def same_day(stability: Column, g: Column) -> Column:
+    """Stability after a repeat on the same day; no part of the cards' reviews."""
+    gain = F.pow(stability, F.lit(-W[19])) * F.exp(W[17] * (g - 3 + W[18]))
+    return _between(stability * F.when(g >= 2, F.greatest(gain, F.lit(1.0))).otherwise(gain), S_MIN, S_MAX)
+
+
 def cards(events: DataFrame) -> DataFrame:
     """FSRS-6 card of each (learner, concept), folded over its events in the order of time.
 

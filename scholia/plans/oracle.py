@@ -185,3 +185,7 @@ SELECT id, chapter, marks, bloom, CASE WHEN band <= 0 THEN 'easy' WHEN band = 1
     "practice_outcome": w(EVENTS, MASTERY) + ", old AS (SELECT * FROM ev WHERE ts < TIMESTAMP '2024-01-20 00:00:00')," + MASTERY.replace("FROM ev ", "FROM old ").replace("ms AS", "ms2 AS").replace("FROM ms)", "FROM ms2)").replace("mp AS", "mp2 AS").replace("FROM mp)", "FROM mp2)").replace("mastered AS", "mastered2 AS") + " SELECT a.learner_id, a.concept_id, coalesce(b.mastery, 0.0) AS before, a.mastery AS after, a.mastery - coalesce(b.mastery, 0.0) AS delta, CASE WHEN a.mastery >= 0.85 THEN 'advance' WHEN a.mastery > coalesce(b.mastery, 0.0) THEN 'continue' ELSE 'reteach' END AS action FROM mastered a LEFT JOIN mastered2 b USING (learner_id, concept_id)",
     "extraction_accuracy": "SELECT count(*) AS n, count(*) FILTER (p_partkey % 7 <> 0 OR p_size IS NULL) AS right, count(*) FILTER (p_partkey % 7 <> 0 OR p_size IS NULL) / count(*) AS accuracy FROM part",
 }
+
+from scholia.plans import stored_oracle  # noqa: E402  it uses the parts above
+
+ORACLE_SQL |= stored_oracle.SQL

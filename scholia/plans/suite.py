@@ -551,3 +551,6 @@ def extraction_accuracy(spark, d):
 @query
 def question_terms(spark, d):
     return views.table(spark, d, "benchmark").where("text IS NOT NULL").select("item_id", F.array_join(workflow.terms(F.col("text"), 5), ",").alias("terms"))
+
+
+from scholia.plans import stored  # noqa: E402,F401  it adds its queries
