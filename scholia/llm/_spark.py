@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, a local session gets a temporary one; a cluster must set it."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="scholia-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/scholia/{uuid.uuid4().hex}"
@@ -32,3 +36,14 @@ def fold(key: str, n: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def matched(docs: DataFrame, row_id: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose id is (left_anti: is not) one of ids (column id), as they are, whatever their columns are named."""
+    other = ids.select(F.col("id").alias(_unused(docs)))
+    return docs.join(other, docs[row_id] == other[0], how)
+
+
+def _unused(docs: DataFrame) -> str:
+    """A name that no column has."""
+    return "_" * (1 + max((len(c) for c in docs.columns), default=0)) + "id"

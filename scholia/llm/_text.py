@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ import pyarrow as pa
 #: Texts are worked on in runs of about so many bytes, which bounds a worker's memory.
 RUN_BYTES = 1 << 19
 
+T = TypeVar("T")
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -28,6 +30,22 @@ def _pow_table(name: str, base: int, n: int) -> np.ndarray:
     return table
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What a worker keeps between tasks: one thing at a time, by name; another one takes its place. Its own bounds are its maker's."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget() -> None:
+    """Lets go of what the worker keeps: a task that has no use for it calls this first."""
+    _kept.clear()
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n+1 offsets of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -193,6 +193,7 @@ def _counted(depth: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["kind", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         held: dict[int, list] = {GRAM: [], WORD: []}
         for b in batches:
             data, offsets = T.buffers(b.column("text"))
@@ -325,6 +326,7 @@ def _results(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, model, value_
 
 def _scored(model: tuple[int, float, float], held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         gram, word = held.value
         for b in batches:
             data, offsets = T.buffers(b.column("text"))

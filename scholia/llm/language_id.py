@@ -79,6 +79,7 @@ def hashed(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[list[tuple
 
 def _counted(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             data, offsets = T.buffers(b.column("text"))
@@ -120,6 +121,7 @@ def fit(docs: DataFrame, text: str, lang: str, *, bits: int = BITS, smoothing: f
 
 def _predicted(model, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         held: Trained = model.value
         for b in batches:
             data, offsets = T.buffers(b.column("text"))

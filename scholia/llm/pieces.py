@@ -11,8 +11,6 @@ emptied. A vocabulary of scored pieces (unigram) is segmented by the best sum of
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -416,10 +414,9 @@ class Words:
         return data, out
 
 
-@lru_cache(maxsize=2)
 def words(path: str) -> Words:
     """This worker's words for a vocabulary file."""
-    return Words(path)
+    return T.kept(f"words {path}", lambda: Words(path))
 
 
 def plain(column: pa.Array) -> pa.Array:

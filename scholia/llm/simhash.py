@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm import _text as T
-from scholia.llm._spark import written
+from scholia.llm._spark import matched, written
 
 SEED = 42
 WORDS = 4
@@ -89,6 +89,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, tabl
 
 def _fingerprinted(words: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         for b in batches:
             data, offsets = T.buffers(b.column("text"))
             out = np.zeros((len(offsets) - 1, tables), np.uint64)
@@ -282,10 +283,8 @@ def kept(docs: DataFrame, text: str, row_id: str, *, words: int = WORDS, distanc
 
 
 def firsts(docs: DataFrame, row_id: str, groups: DataFrame) -> DataFrame:
-    """The rows whose id is that of their component, one of each such id; rows without an id stay."""
-    stay = groups.where("id = component").groupBy("id").agg(F.count("*").alias("__times"))
-    stay = stay.withColumnRenamed("id", "__id")
-    chosen = docs.join(stay, docs[row_id] == stay["__id"])
-    once = chosen.where("__times = 1").select(docs.columns)
-    again = chosen.where("__times > 1").dropDuplicates([row_id]).select(docs.columns)
-    return once.unionByName(again).unionByName(docs.where(F.col(row_id).isNull()))
+    """The rows whose id is that of their component, one of each such id; rows without an id stay. Columns may have any names."""
+    stay = groups.where("id = component").groupBy("id").agg(F.count("*").alias("times"))
+    once = matched(docs, row_id, stay.where("times = 1"))
+    again = matched(docs, row_id, stay.where("times > 1")).dropDuplicates([row_id])
+    return once.unionByName(again).unionByName(docs.where(docs[row_id].isNull()))

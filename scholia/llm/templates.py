@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm import _text as T
+from scholia.llm._spark import matched
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -104,6 +105,7 @@ def _windowed(sizes: list[int], passing, whole_short: bool):
     bits = None if passing is None else passing.value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         for b in batches:
             data, offsets = T.buffers(b.column("text"))
             ids = b.column("id")
@@ -165,5 +167,4 @@ def leaks(docs: DataFrame, text: str, row_id: str, items: DataFrame, item_text:
 
 def clean(docs: DataFrame, text: str, row_id: str, items: DataFrame, item_text: str, item_id: str, **options) -> DataFrame:
     """The rows that leak no item, as they are; rows without an id stay."""
-    found = leaks(docs, text, row_id, items, item_text, item_id, **options).select(F.col("id").alias("__leak")).distinct()
-    return docs.join(found, docs[row_id] == found["__leak"], "left_anti")
+    return matched(docs, row_id, leaks(docs, text, row_id, items, item_text, item_id, **options).select("id").distinct(), "left_anti")

@@ -277,21 +277,16 @@ class Counter:
         return out
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
     """This worker's counter for a vocabulary file; its transitions are bounded."""
-    if path not in _counters:
-        _counters.clear()
-        _counters[path] = Counter(pieces.Automaton(pieces.words(path).v))
-    return _counters[path]
+    return T.kept(f"counter {path}", lambda: Counter(pieces.Automaton(pieces.Vocabulary(path))))
 
 
 def _counted(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = pieces.words(path or pieces.default_path())
-        count = counter(path or pieces.default_path()).count if w.v.bpe else lambda data, offsets: np.diff(w.encode(data, offsets)[1])
+        held = counter(path or pieces.default_path())
+        # a vocabulary of scored pieces has no counts on its transitions
+        count = held.count if held.a.v.bpe else lambda data, offsets: np.diff(pieces.words(path or pieces.default_path()).encode(data, offsets)[1])
         for b in batches:
             _, sizes = T.buffers(b.column("text"))
             data, offsets = T.buffers(pieces.plain(b.column("text")))

@@ -1,9 +1,10 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
-Voters. From a bounded sample of labelled rows come a lexicon (words) and patterns (word beginnings of
-PREFIXES bytes) whose smoothed log odds for the toxic label reach ODDS,
-which stand almost only in toxic texts (PURITY) and find at least LEAST of them that no commoner entry finds. Entries are dealt by hash to
-VOTERS voters each; a voter votes toxic if the text holds one of its entries and abstains otherwise. The
+Voters. From all labelled rows come a lexicon (words) and patterns (word beginnings of
+PREFIXES bytes) whose smoothed log odds for the toxic label reach ODDS
+and which stand almost only in toxic texts (PURITY), LEAST or more; the ENTRIES of most texts at most. Of these an entry stays that finds its share of
+toxic texts that no commoner entry finds, as far as a sample of toxic labelled texts shows, so that copies of a text don't bring in all its words. Entries
+are dealt by hash to VOTERS voters each; a voter votes toxic if the text holds one of its entries and abstains otherwise. The
 last voter votes clean when no other votes.
 
 Label model. The votes of all learning rows, labelled or not, are counted by pattern of votes. Expectation
@@ -12,10 +13,10 @@ Then correlations: for each pair of voters, the joint rate under a class beyond
 a voter's evidence is divided by one plus the sum of its correlations to others, and the rates
 are estimated again with it. Every pattern of votes has a posterior.
 
-Classifier. Logistic regression on hashed words and word beginnings of a bounded sample of rows, on posterior
-labels, scores texts; what the voters have seen is only its training label, so the classifier can weigh words
-which no voter has. The samples are the rows of least hash, up to SAMPLE labelled ones and
-SAMPLE others; all else covers all rows.
+Classifier. What hashed words and word beginnings say of the posterior labels is counted over all learning rows, labelled or not; those that lean to
+toxic (LEANS) are the features. A logistic regression on posterior labels is fitted on a bounded sample of labelled rows, those of least hash, SAMPLE at
+most; a feature that the sample lacks has its log odds over all rows as weight. It scores texts: what the voters have seen is only
+its training label, so the classifier can weigh words which no voter has.
 """
 
 from __future__ import annotations
@@ -33,7 +34,12 @@ from scholia.llm._spark import written
 BITS = 18
 PREFIXES = (4, 5)
 VOTERS = 8
+#: Labelled rows that the classifier is fitted on.
 SAMPLE = 20_000
+#: Entries of the lexicon and patterns at most.
+ENTRIES = 20_000
+#: Distinct entries that a counting task holds before it hands them on.
+HOLD = 1_000_000
 ODDS = 2.5
 PURITY = 0.9
 LEAST = 5
@@ -87,6 +93,19 @@ class Voters:
 
 def _odds_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each entry, the labelled texts that hold it, and the toxic ones; summed in the task."""
+    T.forget()
+
+    def summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        h, kind, n, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        at, number, _ = T.distinct(h)
+        kinds = np.zeros(len(at), np.int8)
+        kinds[number] = kind
+        return at, kinds, T.sums_by(n, number, len(at)).astype(np.int64), T.sums_by(pos, number, len(at)).astype(np.int64)
+
+    def batch(at: np.ndarray, kinds: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(kinds), pa.array(n), pa.array(pos)], names=["h", "kind", "n", "pos"])
+
+    held: list[tuple[np.ndarray, ...]] = []
     for b in batches:
         data, offsets = T.buffers(b.column("text"))
         toxic = b.column("y").to_numpy(zero_copy_only=False)
@@ -99,14 +118,20 @@ def _odds_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             kinds[number] = kind
             pair = np.unique(owner * len(at) + number)
             n = np.bincount(pair % len(at), minlength=len(at))
-            pos = np.bincount(pair % len(at), weights=toxic[i + pair // len(at)], minlength=len(at)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(kinds), pa.array(n), pa.array(pos)], names=["h", "kind", "n", "pos"])
+            held.append((at, kinds, n, np.bincount(pair % len(at), weights=toxic[i + pair // len(at)], minlength=len(at)).astype(np.int64)))
+            if sum(len(x[0]) for x in held) > HOLD:
+                held = [summed(held)]
+                if len(held[0][0]) > HOLD // 2:
+                    yield batch(*held.pop())
+    if held:
+        yield batch(*summed(held))
 
 
 def _held_by(entries):
     """Which of the entries each toxic text holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         for b in batches:
             data, offsets = T.buffers(b.column("text"))
             rows = b.column("row").to_numpy()
@@ -120,30 +145,31 @@ def _held_by(entries):
     return run
 
 
-def _entries(labelled: DataFrame, total_pos: int, total: int) -> Voters:
-    """Lexicon and patterns of the labelled rows (row, text, y), chosen by falling count so that each finds LEAST toxic texts that none before it finds.
+def _entries(labelled: DataFrame, sampled: DataFrame, total_pos: int, total: int, share: float) -> Voters:
+    """Lexicon and patterns of the labelled rows (text, y), chosen by falling count so that each finds toxic texts that none before it finds.
 
-    Without that, copies of one toxic text would bring in all its words. The driver holds the able entries and their toxic texts,
-    both bounded by the sample.
+    sampled (row, text): toxic labelled rows, that share of them all, which show what an entry finds; one that they don't show stays. The
+    driver holds ENTRIES entries and the sample's pairs with them, both bounded.
     """
     summed = labelled.mapInArrow(_odds_counted, "h long, kind byte, n long, pos long").groupBy("h").agg(F.max("kind").alias("kind"), F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     odds = F.log((F.col("pos") + 0.5) / (total_pos + 1)) - F.log((F.col("n") - F.col("pos") + 0.5) / (total - total_pos + 1))
-    able = summed.where((F.col("pos") >= LEAST) & (odds >= ODDS) & (F.col("pos") >= PURITY * F.col("n"))).toArrow()
+    able = summed.where((F.col("pos") >= LEAST) & (odds >= ODDS) & (F.col("pos") >= PURITY * F.col("n"))).orderBy(F.desc("pos"), "h").limit(ENTRIES).toArrow()
     h, kind, pos = able.column("h").to_numpy().view(np.uint64), able.column("kind").to_numpy(), able.column("pos").to_numpy()
     order = np.argsort(h)
     h, kind, pos = h[order], kind[order], pos[order]
     shared = labelled.sparkSession.sparkContext.broadcast(h)
-    held = labelled.where("y > 0").select("row", "text").mapInArrow(_held_by(shared), "row long, entry int").toArrow()
+    held = sampled.mapInArrow(_held_by(shared), "row long, entry int").toArrow()
     entry, text = held.column("entry").to_numpy(), held.column("row").to_numpy()
     _, text = np.unique(text, return_inverse=True)
     by = np.argsort(entry, kind="stable")
     entry, text = entry[by], text[by]
     bounds = np.searchsorted(entry, np.arange(len(h) + 1))
     found = np.zeros(int(text.max(initial=-1)) + 1, bool)
+    least = max(1, int(np.ceil(LEAST * share)))
     chosen = []
     for e in np.lexsort((h, -pos)).tolist():
         of = text[bounds[e] : bounds[e + 1]]
-        if (~found[of]).sum() >= LEAST:
+        if len(of) == 0 or (~found[of]).sum() >= least:
             found[of] = True
             chosen.append(e)
     return Voters(h[chosen], kind[chosen])
@@ -187,6 +213,7 @@ def _leaning(shared):
     """Of each bucket, the texts that hold it, and the sum of their posteriors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         n, pos = np.zeros(1 << BITS), np.zeros(1 << BITS)
         for b in batches:
             data, offsets = T.buffers(b.column("text"))
@@ -205,6 +232,7 @@ def _examples(shared, buckets):
     """Posterior and chosen buckets of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         use = np.zeros(1 << BITS, bool)
         use[buckets.value] = True
         for b in batches:
@@ -219,9 +247,9 @@ def _examples(shared, buckets):
     return run
 
 
-def train_linear(target: np.ndarray, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights by bucket and intercept of a logistic regression of soft labels on (row, bucket) pairs."""
-    weights = np.zeros(1 << BITS)
+def train_linear(target: np.ndarray, row: np.ndarray, col: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights by bucket and intercept of a logistic regression of soft labels on (row, bucket) pairs; buckets without a pair keep the weights given."""
+    weights = others.copy()
     if len(target) == 0:
         return weights, -3.0
     base = np.clip(target.mean(), 1e-3, 1 - 1e-3)
@@ -248,6 +276,7 @@ class Trained:
 
 def _voted(voters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         for b in batches:
             data, offsets = T.buffers(b.column("text"))
             votes = np.zeros(len(offsets) - 1, np.int64)
@@ -261,20 +290,19 @@ def _voted(voters):
 
 
 def fit(docs: DataFrame, text: str, row_id: str, labels: DataFrame, label: str, *, sample: int = SAMPLE) -> Trained:
-    """Learns from the rows given: texts of all, labels (0 or 1, by the same id) of some. Without any toxic label nothing is toxic."""
+    """Learns from the rows given: texts of all, labels (0 or 1, by the same id) of some. Without any toxic label nothing is toxic.
+
+    Null texts are empty; rows without an id have no label; labels of one id that differ are outvoted (a tie is toxic); repeated rows count as often as they are there.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(row_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(row_id).alias("id")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
-    order = F.xxhash64(F.col("id"), F.lit(7))
-    # ids first, of which there are `sample` at most, then their texts
-    ids = rows.select("id").distinct()
-    labelled = ids.join(marks, "id").orderBy(order, "id").limit(sample)
-    others = ids.join(marks, "id", "left_anti").orderBy(order, "id").limit(sample).withColumn("y", F.lit(None).cast("double"))
-    picked = F.broadcast(labelled.unionByName(others))
-    chosen = written(rows.join(picked, "id").select(F.monotonically_increasing_id().alias("row"), "text", "y"))
-    known = chosen.where("y IS NOT NULL")
+    marks = labels.where(F.col(label).isNotNull() & F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("id")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
+    known = written(rows.join(marks, "id").select("id", "text", "y"))
+    order = F.xxhash64("id", F.lit(7))
+    chosen = written(known.orderBy(order, "id").limit(sample).select(F.monotonically_increasing_id().alias("row"), "text", "y"))
     counted = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("pos")).first()
-    voters = _entries(known, int(counted.pos), counted.n)
+    share = min(1.0, sample / max(1, counted.n))
+    voters = _entries(known.select("text", "y"), chosen.where("y > 0").select("row", "text"), int(counted.pos), counted.n, share)
     shared = spark.sparkContext.broadcast(voters)
     votes = rows.select("text").mapInArrow(_voted(shared), "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n"))
     votes = votes.toArrow()  # one row for each pattern of votes, 2**16 at most
@@ -282,23 +310,26 @@ def fit(docs: DataFrame, text: str, row_id: str, labels: DataFrame, label: str,
     prior = counted.pos / counted.n if counted.n else 0.0
     posterior = dict(zip(patterns.tolist(), label_model(patterns, counts, prior).tolist(), strict=True)) if len(patterns) and counted.pos else {}
     model = spark.sparkContext.broadcast((voters, posterior))
-    sums = chosen.select("text").mapInArrow(_leaning(model), "bucket int, n double, pos double").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    sums = rows.select("text").mapInArrow(_leaning(model), "bucket int, n double, pos double").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     sums = sums.toArrow()  # 2**BITS rows at most
     n, pos, bucket = (sums.column(c).to_numpy() for c in ("n", "pos", "bucket"))
-    total = chosen.count()
     base = min(1 - 1e-3, max(1e-3, sum(posterior.get(p, 0.0) * c for p, c in zip(patterns.tolist(), counts.tolist(), strict=True)) / max(1.0, counts.sum())))
     odds = np.log((pos + base) / (n - pos + (1 - base))) - np.log(base / (1 - base))
-    use = spark.sparkContext.broadcast(np.sort(bucket[(pos >= LEAST) & (odds > ODDS) & (pos >= LEANS * n)]))
-    examples = chosen.select("text").mapInArrow(_examples(model, use), "target double, buckets array<int>").toArrow() if total else None
-    if examples is None:
-        return Trained(np.zeros(1 << BITS), -3.0)
+    leans = (pos >= LEAST) & (odds > ODDS) & (pos >= LEANS * n)
+    start = np.zeros(1 << BITS)
+    start[bucket[leans]] = odds[leans]
+    use = spark.sparkContext.broadcast(np.sort(bucket[leans]))
+    examples = chosen.select("text").mapInArrow(_examples(model, use), "target double, buckets array<int>").toArrow()  # the sample's
+    if examples.num_rows == 0:
+        return Trained(start, -3.0)
     lists = examples.column("buckets").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
-    return Trained(*train_linear(examples.column("target").to_numpy(), np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy()))
+    return Trained(*train_linear(examples.column("target").to_numpy(), np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(), start))
 
 
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         held: Trained = model.value
         for b in batches:
             data, offsets = T.buffers(b.column("text"))
@@ -321,7 +352,10 @@ def score(docs: DataFrame, text: str, row_id: str, model: Trained) -> DataFrame:
 
 
 def clean(docs: DataFrame, text: str, model: Trained, *, threshold: float = 0.5) -> DataFrame:
-    """The rows that score below the threshold, as they are."""
+    """The rows that score below the threshold, as they are: also repeated ones, null ids, and columns of any name.
+
+    Null and empty texts have the score of no evidence, and stay unless that is over the threshold; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     run = _scored(shared)
 

@@ -260,3 +260,18 @@ def test_queries_have_contract_columns(spark):
         assert columns <= set(queries.QUERIES[name](spark, d).columns)
     none = queries.QUERIES["op10_personal_data"](spark, d).where("spans = ''").first()
     assert none.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_pipeline_on_hard_and_empty_tables(spark, hard, empty):
+    """Every stage on nulls, empty and long texts, ties, repeated rows, no rows, and columns of any name."""
+    d = "/root/testdata/sf0.001"
+    names = ["__id", "__row", "__leak", "__times", "spans", "text_", "key", "class"]
+    for table in (hard, empty):
+        wide = table.selectExpr("*", *(f"row AS `{n}`" for n in names))
+        docs = wide
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, d)
+            assert docs.columns == wide.columns and docs.count() <= wide.count()
+        encoded = corpus_pipeline.STAGES[-1][1](spark, docs, d)
+        assert encoded.count() == docs.count()
+        assert table is empty or {None, 43, 44} <= {r.doc_id for r in docs.select("doc_id").collect()}
