@@ -36,6 +36,8 @@ PREFIXES = (4, 5)
 VOTERS = 8
 #: Labelled rows that the classifier is fitted on.
 SAMPLE = 20_000
+#: Labelled ids that executors may hold whole.
+MOST_BROADCAST = 1_000_000
 #: Entries of the lexicon and patterns at most.
 ENTRIES = 20_000
 #: Distinct entries that a counting task holds before it hands them on.
@@ -297,10 +299,15 @@ def fit(docs: DataFrame, text: str, row_id: str, labels: DataFrame, label: str,
     spark = docs.sparkSession
     rows = docs.select(F.col(row_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marks = labels.where(F.col(label).isNotNull() & F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("id")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
-    known = written(rows.join(marks, "id").select("id", "text", "y"))
+    # ids and labels are joined where the texts are, while they are few enough; texts are shuffled for them only beyond that
+    marks = written(marks)
+    few = marks.count() <= MOST_BROADCAST
+    known = rows.join(F.broadcast(marks) if few else marks, "id")
+    counted = known.select("y").agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("pos")).first()
     order = F.xxhash64("id", F.lit(7))
-    chosen = written(known.orderBy(order, "id").limit(sample).select(F.monotonically_increasing_id().alias("row"), "text", "y"))
-    counted = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("pos")).first()
+    # ids first, of which there are `sample` at most, then their texts
+    picked = rows.select("id").distinct().join(F.broadcast(marks) if few else marks, "id").orderBy(order, "id").limit(sample)
+    chosen = written(rows.join(F.broadcast(picked), "id").select(F.monotonically_increasing_id().alias("row"), "text", "y"))
     share = min(1.0, sample / max(1, counted.n))
     voters = _entries(known.select("text", "y"), chosen.where("y > 0").select("row", "text"), int(counted.pos), counted.n, share)
     shared = spark.sparkContext.broadcast(voters)
