@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Valence and arousal of affect tags, defaults of untagged events.
@@ -37,3 +37,13 @@ def looked_up(key: Column, table: dict[str, float], default: float) -> Column:
     """The key's value in a small fixed table, as a literal map."""
     pairs = F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
     return F.coalesce(F.try_element_at(pairs, key), F.lit(default))
+
+#: Rows of a table that is laid beside every learner, as a curriculum is.
+MOST_FEW = 100_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """The rows, if they are MOST_FEW at most; an error otherwise."""
+    if rows.limit(MOST_FEW + 1).count() > MOST_FEW:
+        raise ValueError(f"a table of more than {MOST_FEW} rows can't be laid beside every learner")
+    return rows

@@ -206,7 +206,7 @@ def triples(rows: DataFrame, text: str) -> DataFrame:
 
 
 def heading_windows(chunks: DataFrame, most: int = 4000) -> DataFrame:
-    """Packs of lines up to `most` characters under one heading: document_id, pack, lines, characters; a line never splits."""
-    order = Window.partitionBy("document_id").orderBy(F.split("id", ":")[1].cast("long"))
+    """Packs of a document's lines under one heading: document_id, heading, pack, lines, characters. A line goes to the pack in which it ends when all are laid end to end in `most` characters each; it never splits."""
+    order = Window.partitionBy("document_id", "heading").orderBy(F.split("id", ":")[1].cast("long"))
     ends = chunks.withColumn("end", F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return ends.groupBy("document_id", F.floor((F.col("end") - 1) / most).cast("long").alias("pack")).agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("characters"))
+    return ends.groupBy("document_id", "heading", F.floor((F.col("end") - 1) / most).cast("long").alias("pack")).agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("characters"))

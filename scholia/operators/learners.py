@@ -211,11 +211,12 @@ def self_efficacy(events: DataFrame, now: Column) -> DataFrame:
 def curiosity(mastered: DataFrame, momentum: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
     """Each learner's n most curious concepts: novelty, difficulty near 0.65, other domains, recent success; mastered ones are left out.
 
-    candidates: concept_id, difficulty (0 to 1), domain; few, as a curriculum's. momentum: learner_id, concept_id, momentum. The current domain is the learner's concept of most attempts.
+    candidates: concept_id, difficulty (0 to 1), domain; a curriculum's, scales.MOST_FEW at most. momentum: learner_id, concept_id, momentum. The current domain is the learner's concept of most attempts.
     """
     learners = mastered.groupBy("learner_id").agg(F.max_by("concept_id", F.struct("attempts", "concept_id")).alias("current"))
-    here = learners.join(F.broadcast(candidates.select(F.col("concept_id").alias("current"), F.col("domain").alias("own_domain"))), "current", "left")
-    pairs = here.join(F.broadcast(candidates))
+    here = learners.join(candidates.select(F.col("concept_id").alias("current"), F.col("domain").alias("own_domain")), "current", "left")
+    listed = scales.few(candidates).agg(F.collect_list(F.struct("concept_id", "difficulty", "domain")).alias("candidates"))
+    pairs = here.crossJoin(F.broadcast(listed)).select("learner_id", "current", "own_domain", F.explode("candidates").alias("x")).select("learner_id", "current", "own_domain", "x.*")  # one row
     state = mastered.select("learner_id", "concept_id", "mastery").join(momentum, ["learner_id", "concept_id"], "left")
     rows = pairs.join(state, ["learner_id", "concept_id"], "left").where("mastery IS NULL OR mastery < 0.8")
     novel = F.col("mastery").isNull()

@@ -109,12 +109,17 @@ def practice_result(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def study_plan(steps: DataFrame, retention: DataFrame, capacity: int = 120, each: int = 20) -> DataFrame:
-    """Steps of a plan (id, level) in order, with what to do and whether they fit today: learn, retrieve under 0.6, skip above."""
-    joined = steps.join(retention.select(F.col("concept_id").alias("id"), "retention"), "id", "left")
+    """Each learner's steps of a plan (id, level) in order, with what to do and whether they fit today: learn, retrieve under 0.6, skip above.
+
+    steps: a curriculum's, scales.MOST_FEW at most. retention: learner_id, concept_id, retention; its learners are the plan's.
+    """
+    listed = scales.few(steps).agg(F.collect_list(F.struct("level", "id")).alias("steps"))
+    learners = retention.select("learner_id").distinct().crossJoin(F.broadcast(listed)).select("learner_id", F.explode("steps").alias("x")).select("learner_id", "x.*")  # one row
+    joined = learners.join(retention.select("learner_id", F.col("concept_id").alias("id"), "retention"), ["learner_id", "id"], "left")
     action = F.when(F.col("retention").isNull(), "learn").when(F.col("retention") < 0.6, "retrieve").otherwise("skip")
     minutes = F.when(F.col("action") == "skip", 0).otherwise(each)
-    order = Window.orderBy("level", "id").rowsBetween(Window.unboundedPreceding, 0)  # one plan's steps
-    return joined.withColumn("action", action).withColumn("minutes", minutes).withColumn("used", F.sum("minutes").over(order)).select("id", "level", "action", F.col("minutes").cast("long").alias("minutes"), (F.col("used") <= capacity).alias("today"))
+    order = Window.partitionBy("learner_id").orderBy("level", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumn("action", action).withColumn("minutes", minutes).withColumn("used", F.sum("minutes").over(order)).select("learner_id", "id", "level", "action", F.col("minutes").cast("long").alias("minutes"), (F.col("used") <= capacity).alias("today"))
 
 
 def top_evidence(rows: DataFrame, key: str, n: int = 5) -> DataFrame:

@@ -117,8 +117,8 @@ SELECT learner_id, day, event_id, minutes, hazard, attention, CASE WHEN attentio
     "session_windows": w(EVENTS) + ", g AS (SELECT *, CASE WHEN t_us - lag(t_us) OVER (PARTITION BY learner_id ORDER BY t_us, event_id) < 7200000000 THEN 0 ELSE 1 END AS new FROM ev), s AS (SELECT *, sum(new) OVER (PARTITION BY learner_id ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT learner_id, min(t_us) AS start_us, max(t_us) + 7200000000 AS end_us, count(*) AS events FROM s GROUP BY learner_id, k",
     "graph_degree": w(EVENTS, EDGES) + " SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM (SELECT target AS id, 1 AS i, 0 AS o, occurrences FROM ed UNION ALL SELECT source, 0, 1, occurrences FROM ed) GROUP BY ALL",
     "concept_spine": w(EVENTS, EDGES) + ", l AS (SELECT id, other, sum(occurrences) AS n FROM (SELECT source AS id, target AS other, occurrences FROM ed UNION ALL SELECT target, source, occurrences FROM ed) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, other) AS r FROM l) SELECT id, count(*) AS degree, CAST(sum(n) AS BIGINT) AS occurrences, string_agg(other, ',' ORDER BY r) FILTER (r <= 5) AS neighbours FROM r GROUP BY id ORDER BY degree DESC, occurrences DESC, id LIMIT 10",
-    "bfs_neighbors": w(EVENTS, EDGES, FORWARD) + ", nx AS (SELECT source, target FROM fw WHERE occurrences >= (SELECT quantile_disc(occurrences, 0.7) FROM fw)), b AS (SELECT source AS f, target AS t FROM nx UNION SELECT target, source FROM nx), r(start, id, depth) AS (SELECT 'c0', 'c0', 0 UNION SELECT r.start, b.t, r.depth + 1 FROM r JOIN b ON r.id = b.f WHERE r.depth < 3) SELECT start, id, CAST(min(depth) AS BIGINT) AS depth FROM r WHERE id <> 'c0' GROUP BY start, id",
-    "graph_paths": w(EVENTS, EDGES, FORWARD) + ", nx AS (SELECT source, target FROM fw WHERE occurrences >= (SELECT quantile_disc(occurrences, 0.7) FROM fw)), r(path, cur, hops, nodes) AS (SELECT source || '>' || target, target, 1, [source, target] FROM nx WHERE source = 'c0' UNION ALL SELECT path || '>' || target, target, hops + 1, list_append(nodes, target) FROM r JOIN nx ON r.cur = nx.source WHERE hops < 4 AND cur <> 'c19' AND NOT list_contains(nodes, target)) SELECT path, CAST(hops AS BIGINT) AS hops FROM r WHERE cur = 'c19'",
+    "bfs_neighbors": w(EVENTS, EDGES, FORWARD) + ", nx AS (SELECT source, target FROM fw), b AS (SELECT source AS f, target AS t FROM nx UNION SELECT target, source FROM nx), r(start, id, depth) AS (SELECT 'c0', 'c0', 0 UNION SELECT r.start, b.t, r.depth + 1 FROM r JOIN b ON r.id = b.f WHERE r.depth < 3) SELECT start, id, CAST(min(depth) AS BIGINT) AS depth FROM r WHERE id <> 'c0' GROUP BY start, id",
+    "graph_paths": w(EVENTS, EDGES, FORWARD) + ", nx AS (SELECT source, target FROM fw), r(path, cur, hops, nodes) AS (SELECT source || '>' || target, target, 1, [source, target] FROM nx WHERE source = 'c0' UNION ALL SELECT path || '>' || target, target, hops + 1, list_append(nodes, target) FROM r JOIN nx ON r.cur = nx.source WHERE hops < 4 AND cur <> 'c19' AND NOT list_contains(nodes, target)) SELECT path, CAST(hops AS BIGINT) AS hops FROM r WHERE cur = 'c19'",
     "prereq_closure": w(EVENTS, EDGES, FORWARD) + ", p AS (SELECT target AS concept, source AS prerequisite, occurrences / max(occurrences) OVER () AS score FROM fw), u AS (SELECT * FROM p UNION ALL SELECT a.concept, b.prerequisite, a.score * b.score FROM p a JOIN p b ON a.prerequisite = b.concept WHERE a.concept <> b.prerequisite AND a.score * b.score >= 0.28) SELECT concept, prerequisite, max(score) AS score FROM u GROUP BY ALL",
     "topo_levels": w(EVENTS, EDGES, FORWARD) + ", r(id, level) AS (SELECT DISTINCT source, 0 FROM fw WHERE source NOT IN (SELECT target FROM fw) UNION SELECT target, level + 1 FROM r JOIN fw ON r.id = fw.source) SELECT id, CAST(max(level) AS BIGINT) AS level FROM r GROUP BY id",
     "bm25_search": w(CHUNKS, POST, bm25(20)) + " SELECT query_id, id, score, rank FROM bm",
@@ -186,6 +186,6 @@ SELECT id, chapter, marks, bloom, CASE WHEN band <= 0 THEN 'easy' WHEN band = 1
     "extraction_accuracy": "SELECT count(*) AS n, count(*) FILTER (p_partkey % 7 <> 0 OR p_size IS NULL) AS right, count(*) FILTER (p_partkey % 7 <> 0 OR p_size IS NULL) / count(*) AS accuracy FROM part",
 }
 
-from scholia.plans import stored_oracle  # noqa: E402  it uses the parts above
+from scholia.plans import folds_oracle, stored_oracle  # noqa: E402  they use the parts above
 
-ORACLE_SQL |= stored_oracle.SQL
+ORACLE_SQL |= stored_oracle.SQL | folds_oracle.SQL

@@ -23,12 +23,14 @@ def query(f: Query) -> Query:
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """Iterative operators cut their lineage in the shared folder; one of our own only where none is set."""
+    """Iterative operators cut their lineage in the shared folder; a local session without one gets its own, a cluster must set it."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         top = spark.conf.get("spark.checkpoint.dir", None)
         if not top:
             import tempfile
 
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             top = tempfile.mkdtemp(prefix="scholia-")
         spark.sparkContext.setCheckpointDir(top)
 
@@ -49,13 +51,6 @@ def _forward(spark: SparkSession, d: str) -> DataFrame:
     return graph.ordered(views.edges(spark, d))
 
 
-def _strong(spark: SparkSession, d: str) -> DataFrame:
-    """The edges of the upper three tenths by occurrences."""
-    edges = _forward(spark, d)
-    cut = edges.agg(F.expr("percentile_disc(0.7) WITHIN GROUP (ORDER BY occurrences)").alias("cut"))
-    return edges.crossJoin(F.broadcast(cut)).where("occurrences >= cut").select("source", "target", "occurrences")  # one row
-
-
 def _prerequisites(spark: SparkSession, d: str) -> DataFrame:
     edges = _forward(spark, d)
     most = edges.agg(F.max("occurrences").alias("most"))
@@ -213,13 +208,13 @@ def concept_spine(spark, d):
 @query
 def bfs_neighbors(spark, d):
     _checkpoints(spark)
-    return graph.neighbours(_strong(spark, d), spark.createDataFrame([("c0",)], "id string"), 3).where("id <> 'c0'")
+    return graph.neighbours(_forward(spark, d), spark.createDataFrame([("c0",)], "id string"), 3).where("id <> 'c0'")
 
 
 @query
 def graph_paths(spark, d):
     _checkpoints(spark)
-    return graph.paths(_strong(spark, d).checkpoint(), "c0", "c19", 4)
+    return graph.paths(_forward(spark, d).checkpoint(), "c0", "c19", 4)
 
 
 @query
@@ -237,7 +232,7 @@ def topo_levels(spark, d):
 def prereq_plan(spark, d):
     _checkpoints(spark)
     learnt = _mastered(spark, d).groupBy("concept_id").agg(F.avg("mastery").alias("m")).where("m >= 0.5").checkpoint()
-    return graph.prerequisite_plan(_strong(spark, d), "c19", learnt)
+    return graph.prerequisite_plan(_forward(spark, d), "c19", learnt)
 
 
 @query
@@ -374,7 +369,7 @@ def evaluate_answers(spark, d):
 
 @query
 def evaluate_objective(spark, d):
-    turns = views.table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.concat(F.lit("("), F.substring(F.lit("ABCD"), 1 + F.col("turn").cast("int") % 4, 1), F.lit(") "), F.substring("text", 1, 12)).alias("answer"))
+    turns = views.table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.concat(F.lit("("), F.substring(F.lit("ABCD"), 1 + F.col("turn").cast("int") % 4, 1), F.lit(") "), "text").alias("answer"))
     return assessment.objective(turns, "answer", F.lit("B")).drop("answer")
 
 
@@ -386,7 +381,7 @@ def answer_segments(spark, d):
 
 @query
 def ocr_vote(spark, d):
-    return assessment.vote(views.table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.substring("text", 1, 3).alias("text")), "conv_id", "turn", "text")
+    return assessment.vote(views.table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "text"), "conv_id", "turn", "text")
 
 
 @query
@@ -524,7 +519,7 @@ def bank_mapping(spark, d):
 @query
 def question_concepts(spark, d):
     concepts = spark.createDataFrame([("onesen erblest hein",), ("eroundth thwhesou the rest",), ("eaea ndorea",)], "concept string")
-    asked = views.table(spark, d, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 60).alias("question"))
+    asked = views.table(spark, d, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     return workflow.concept_matches(asked, concepts, 0.01)
 
 
@@ -538,8 +533,7 @@ def practice_outcome(spark, d):
 @query
 def study_plan(spark, d):
     _checkpoints(spark)
-    kept = forgetting_exponential(spark, d).groupBy("concept_id").agg(F.avg("retention").alias("retention"))
-    return workflow.study_plan(graph.levels(_strong(spark, d)), kept)
+    return workflow.study_plan(graph.levels(_forward(spark, d)), forgetting_exponential(spark, d).select("learner_id", "concept_id", "retention"))
 
 
 @query

@@ -24,11 +24,22 @@ def once(events: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 
 def replayed(events: DataFrame) -> DataFrame:
-    """attempts, correct and last_seen of each (learner, concept), for update or complete mode."""
+    """attempts, correct and last_seen of each (learner, concept), for update or complete mode.
+
+    Its state is a row for each (learner, concept) of the log, for as long as the log runs: that is its result, and nothing expires. Chain `once`
+    before it where a source repeats events; `recent` keeps state for a bounded time.
+    """
     right = (F.col("kind") == "answer") & (F.col("outcome") >= 0.5)
     return events.groupBy("learner_id", "concept_id").agg(F.count("*").alias("attempts"), F.count_if(right).alias("correct"), F.max("ts").alias("last_seen"))
 
 
+def recent(events: DataFrame, width: str = "30 days", lateness: str = "1 day") -> DataFrame:
+    """The same by spans of `width`, each event once: a span's state goes when the watermark passes its end (append mode). Spans add up to the whole."""
+    right = (F.col("kind") == "answer") & (F.col("outcome") >= 0.5)
+    out = once(events, lateness).groupBy("learner_id", "concept_id", F.window("ts", width).alias("w")).agg(F.count("*").alias("attempts"), F.count_if(right).alias("correct"), F.max("ts").alias("last_seen"))
+    return out.select("learner_id", "concept_id", F.col("w.start").alias("start"), "attempts", "correct", "last_seen")
+
+
 def sessions(events: DataFrame, gap: str = "2 hours", lateness: str = "1 day") -> DataFrame:
     """Sessions of each learner that end after a gap; final ones only (append mode)."""
     out = events.withWatermark("ts", lateness).groupBy("learner_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"))

@@ -1,4 +1,4 @@
-"""Every query against its SQL on the smallest tables; those without SQL run and have rows."""
+"""Every query against its SQL on the smallest tables. Those without are held against plain Python elsewhere: heading_chunks and fsrs_fit in test_extraction."""
 
 import datetime
 import glob
@@ -41,9 +41,8 @@ def test_equal_to_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(suite.QUERIES) - set(oracle.ORACLE_SQL)))
-def test_has_rows(spark, name):
-    assert suite.QUERIES[name](spark, SF).count() >= 0
+def test_all_but_two_have_sql():
+    assert set(suite.QUERIES) - set(oracle.ORACLE_SQL) == {"heading_chunks", "fsrs_fit"}
 
 
 def test_sql_has_queries():
