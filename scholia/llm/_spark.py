@@ -47,3 +47,18 @@ def matched(docs: DataFrame, row_id: str, ids: DataFrame, how: str = "left_semi"
 def _unused(docs: DataFrame) -> str:
     """A name that no column has."""
     return "_" * (1 + max((len(c) for c in docs.columns), default=0)) + "id"
+
+
+#: A key counts as frequent from one in so many rows on: there can be no more frequent keys than that.
+FREQUENT = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, times: str) -> DataFrame:
+    """The rows with the columns of a table of one row a key, in which `times` says how many rows have it; keys that it lacks go.
+
+    Rows of frequent keys, FREQUENT at most, meet a broadcast of these; the others are shuffled by their keys, of which none is large.
+    """
+    total = table.agg(F.coalesce(F.sum(times), F.lit(0))).first()[0]
+    often = F.col(times) * FREQUENT > total
+    hot = F.broadcast(table.where(often).drop(times))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.where(~often).drop(times), key))

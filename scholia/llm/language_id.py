@@ -3,7 +3,7 @@
 A text is its code points, lower-cased; every stretch of other code points than letters is one space.
 All n-grams of 1 to 3 of these code points are hashed into a fixed number of buckets. Counts by
 language and bucket are summed over all learning rows; the matrix of log probabilities
-(buckets x languages, bounded by both) is broadcast; a batch of texts is scored as a sparse
+(buckets x languages: 2**BITS buckets for up to MOST languages, fewer beyond, so that its size is bounded) is broadcast; a batch of texts is scored as a sparse
 product: of each text its buckets' rows, summed.
 """
 
@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 from scholia.llm import _text as T
 
 BITS = 16
+#: Languages with 2**BITS buckets each; twice as many halve the buckets.
+MOST = 256
 ORDERS = 3
 SMOOTHING = 0.5
+#: Counts by language and bucket that a counting task holds before it hands them on.
+HOLD = 1_000_000
 UNKNOWN = "und"
 _table: list[np.ndarray] = []
 
@@ -80,46 +84,56 @@ def hashed(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[list[tuple
 def _counted(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.forget()
-        sums: dict[str, np.ndarray] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        names: dict[str, int] = {}
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            found, number = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return found, T.sums_by(np.concatenate([n for _, n in held]), number, len(found)).astype(np.int64)
+
+        def batch(found: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            listed = pa.array(list(names), pa.string())
+            return pa.RecordBatch.from_arrays([listed.take(pa.array(found >> bits)), pa.array((found & ((1 << bits) - 1)).astype(np.int32)), pa.array(n)], names=["lang", "bucket", "n"])
+
         for b in batches:
             data, offsets = T.buffers(b.column("text"))
-            langs = np.array(b.column("lang").to_pylist(), dtype=object)
+            code = np.array([names.setdefault(x, len(names)) for x in b.column("lang").to_pylist()], np.int64)
             for i, j, part, bounds in T.runs(data, offsets):
-                grams, _ = hashed(part, bounds, bits)
-                names, code = np.unique(langs[i:j].astype(str), return_inverse=True)
-                for bucket, owner in grams:
-                    n = np.bincount((code[owner] << bits) + bucket, minlength=len(names) << bits).reshape(len(names), -1)
-                    for k, name in enumerate(names):
-                        sums[name] = sums[name] + n[k] if name in sums else n[k]
-        for name, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
+                for bucket, owner in hashed(part, bounds, bits)[0]:
+                    held.append(np.unique((code[i:j][owner] << bits) + bucket, return_counts=True))
+                if sum(len(k) for k, _ in held) > HOLD:
+                    held = [summed()]
+                    if len(held[0][0]) > HOLD // 2:
+                        yield batch(*held.pop())
+        if held:
+            yield batch(*summed())
 
     return run
 
 
 class Trained:
-    def __init__(self, langs: list[str], logs: np.ndarray, prior: np.ndarray) -> None:
-        self.langs, self.logs, self.prior = langs, logs, prior
+    def __init__(self, langs: list[str], logs: np.ndarray, prior: np.ndarray, bits: int = BITS) -> None:
+        self.langs, self.logs, self.prior, self.bits = langs, logs, prior, bits
 
 
 def fit(docs: DataFrame, text: str, lang: str, *, bits: int = BITS, smoothing: float = SMOOTHING) -> Trained:
     """Learns from all rows with a text and a language."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.mapInArrow(_counted(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = counts.toArrow()  # at most languages x 2**bits rows
     prior = {r.lang: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
     langs = sorted(prior)
+    bits = max(1, bits - max(0, ((len(langs) - 1) // MOST).bit_length()))
+    counts = rows.mapInArrow(_counted(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = counts.toArrow()  # at most languages x 2**bits rows
     matrix = np.full((1 << bits, len(langs)), smoothing)
     code = {name: k for k, name in enumerate(langs)}
     column = np.array([code[x] for x in counts.column("lang").to_pylist()], np.int64)
     np.add.at(matrix, (counts.column("bucket").to_numpy(), column), counts.column("n").to_numpy())
     logs = np.log(matrix) - np.log(matrix.sum(axis=0))
     total = np.array([prior[x] for x in langs], float)
-    return Trained(langs, logs.astype(np.float32), np.log(total / total.sum()) if langs else total)
+    return Trained(langs, logs.astype(np.float32), np.log(total / total.sum()) if langs else total, bits)
 
 
-def _predicted(model, bits: int):
+def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.forget()
         held: Trained = model.value
@@ -129,7 +143,7 @@ def _predicted(model, bits: int):
             sums = np.tile(held.prior, (n, 1))
             known = np.zeros(n, bool)
             for i, j, part, bounds in T.runs(data, offsets):
-                grams, known[i:j] = hashed(part, bounds, bits)
+                grams, known[i:j] = hashed(part, bounds, held.bits)
                 for bucket, owner in grams:
                     some, number = np.unique(owner, return_index=True)
                     if len(some):
@@ -149,11 +163,11 @@ def _predicted(model, bits: int):
     return run
 
 
-def predict(docs: DataFrame, text: str, row_id: str, model: Trained, *, bits: int = BITS) -> DataFrame:
+def predict(docs: DataFrame, text: str, row_id: str, model: Trained) -> DataFrame:
     """id, lang_pred, score: the likeliest language and its posterior; `und` and 0 for null texts and those without a letter.
 
     A model learnt from no rows predicts `und`. Ties go to the first language by name.
     """
     kind = docs.schema[row_id].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(row_id).alias("id"), F.col(text).alias("text")).mapInArrow(_predicted(shared, bits), f"id {kind}, lang_pred string, score double")
+    return docs.select(F.col(row_id).alias("id"), F.col(text).alias("text")).mapInArrow(_predicted(shared), f"id {kind}, lang_pred string, score double")

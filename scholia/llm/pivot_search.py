@@ -26,6 +26,10 @@ PIVOTS = 48
 BLOCK = 256
 PACK = 64
 FIRST = 3
+#: Blocks whose bounds are broadcast (24 bytes each) at most: beyond that, blocks are larger.
+MOST_BLOCKS = 1_000_000
+#: Bounds (queries times blocks) that a task holds at once.
+MOST_BOUNDS = 4_000_000
 #: Products below 2**53 are exact in floating point.
 EXACT = float(1 << 53)
 NO_SCORE = -(1 << 62)
@@ -41,7 +45,11 @@ def _integers(scale: int):
             column = b.column("v")
             offsets = column.offsets.to_numpy().astype(np.int64)
             values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            whole = np.floor(values * scale).astype(np.int64)
+            scaled = np.floor(values * scale)
+            # a sum of products has to fit in a long, as the scores do
+            if len(scaled) and float(np.abs(scaled).max()) ** 2 * int(np.diff(offsets).max()) >= 2.0**62:
+                raise ValueError("components are too large for scores of 64 bits")
+            whole = scaled.astype(np.int64)
             norm = np.add.reduceat(np.append(whole * whole, 0), np.minimum(offsets[:-1], len(whole)))
             norm[np.diff(offsets) == 0] = 0
             raw = [whole[i:j].astype("<i8").tobytes() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -108,12 +116,20 @@ def _packed(size: int):
 PACKED = "dim int, pivot int, low double, high double, ids binary, vs binary"
 
 
+def _fewer(packs, shells):
+    """Packs of as many queries as their bounds to all blocks leave room for."""
+    for dim, ids, vs, floors in packs:
+        n, own = len(ids) // 8, max(1, MOST_BOUNDS // len(shells.value[dim][0]))
+        for i in range(0, n, own):
+            yield dim, ids[8 * i : 8 * (i + own)], vs[8 * dim * i : 8 * dim * (i + own)], floors[8 * i : 8 * (i + own)]
+
+
 def _visits(pivots, shells, most: float, later: bool):
     """Blocks each pack of queries visits: row pack, block, dim, ids, vs, floor (scores to beat)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dim, ids, vs, floors in zip(*(b.column(c).to_pylist() for c in ("dim", "ids", "vs", "floors")), strict=True):
+            for dim, ids, vs, floors in _fewer(zip(*(b.column(c).to_pylist() for c in ("dim", "ids", "vs", "floors")), strict=True), shells):
                 block, pivot, low, high = shells.value[dim]
                 q = np.frombuffer(vs, "<i8").reshape(-1, dim)
                 p = pivots.value[dim]
@@ -189,14 +205,14 @@ def top(vectors: DataFrame, vector: str, row_id: str, queries: Column, k: int, *
 
     Null vectors, ones that hold a null or a non-finite component, and rows without an id take no part. Vectors are compared with those of
     their own length. Rows with the query's id are its own and no candidates; repeated rows count once. An
-    empty table gives no rows. Components have to stay below 2**31 / scale in size.
+    empty table gives no rows. Components so large that a score might not fit in 64 bits raise an error.
     """
     spark = vectors.sparkSession
     good = F.col(row_id).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     source = vectors.where(good).select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     whole = written(source.select("id", "v").mapInArrow(_integers(scale), "id long, dim int, norm long, v binary"))
     asked = source.where("asks").select("id", "v").mapInArrow(_integers(scale), "id long, dim int, norm long, v binary")
-    stats = whole.groupBy("dim").agg(F.max("norm").alias("most")).collect()  # a row for each length of vectors
+    stats = whole.groupBy("dim").agg(F.max("norm").alias("most"), F.count("*").alias("n")).collect()  # a row for each length of vectors
     most = float(max((r.most for r in stats), default=0))
     chosen = {}
     for r in stats:
@@ -211,9 +227,10 @@ def top(vectors: DataFrame, vector: str, row_id: str, queries: Column, k: int, *
         ranged = keyed.repartitionByRange("dim", "pivot", "dist", "id").sortWithinPartitions("dim", "pivot", "dist", "id")
         return written(ranged.mapInArrow(_packed(size), PACKED).withColumn(name, F.monotonically_increasing_id()))
 
-    blocks = packed(whole, BLOCK, "block")
+    # at most MOST_BLOCKS blocks, but for the last one of each pivot and partition
+    blocks = packed(whole, max(BLOCK, -(-sum(r.n for r in stats) // MOST_BLOCKS)), "block")
     packs = packed(asked, PACK, "pack")
-    # 24 bytes for each block of BLOCK vectors
+    # 24 bytes for each block
     meta = blocks.select("dim", "block", "pivot", "low", "high").toArrow()
     dims = meta.column("dim").to_numpy()
     shells = spark.sparkContext.broadcast({d: tuple(meta.column(c).to_numpy()[dims == d] for c in ("block", "pivot", "low", "high")) for d in np.unique(dims).tolist()})

@@ -5,10 +5,11 @@ candidate search works on distinct fingerprints only, so copies cost nothing. It
 pivot distance table: of each fingerprint, its Hamming distances to many reference
 fingerprints. A pair at distance d differs by at most d in every coordinate, on all bits
 and on any subset of them. First, on subsets: the 64 bits are cut into blocks; with
-distance + 2 blocks, two fingerprints within the distance agree on all bits of at least
-two blocks, where every reference's partial distance is the same. Grouping on equal
-partial distances is grouping on the bits of those two blocks, which is what the equi-join
-key is. Then, in a group, pairs are discarded by their largest difference of coordinates
+distance + k blocks, two fingerprints within the distance agree on all bits of at least
+k blocks, where every reference's partial distance is the same. Grouping on equal
+partial distances is grouping on the bits of those k blocks, which is what the equi-join
+key is. k grows with the number of fingerprints, so that few unrelated ones share a key (about CROWD at most) and
+comparisons grow as their number, not its square. Then, in a group, pairs are discarded by their largest difference of coordinates
 over all references, and survivors verified by their Hamming distance. (References over all
 64 bits alone discard pairs but can't find them short of comparing all: distances of
 unrelated fingerprints to any reference lie within a few bits of 32.)
@@ -31,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm import _text as T
-from scholia.llm._spark import matched, written
+from scholia.llm._spark import looked_up, matched, written
 
 SEED = 42
 WORDS = 4
 DISTANCE = 4
 REFERENCES = 16
 SMALL = 96
+#: Unrelated fingerprints of one key at most, on average.
+CROWD = 4
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -107,24 +110,32 @@ def fingerprint(docs: DataFrame, text: str, row_id: str, *, words: int = WORDS,
     return docs.select(F.col(row_id).alias("id"), F.col(text).alias("text")).mapInArrow(_fingerprinted(words, tables), f"id {kind}, fp long" + "".join(f", fp{t} long" for t in range(1, tables)))
 
 
-def blocks(distance: int) -> list[int]:
-    """Masks of distance + 2 blocks of bits that cover all 64."""
-    cuts = np.linspace(0, 64, distance + 3).round().astype(int).tolist()
+def agreeing(distance: int, n: int) -> int:
+    """Blocks that the fingerprints of a band agree on: the least number, two or more, whose bits keep unrelated ones of n apart. With fewer bits than a block needs, no more."""
+    k = 2
+    while n > CROWD << (64 * k // (distance + k)) and distance + k < 16:
+        k += 1
+    return k
+
+
+def blocks(distance: int, k: int = 2) -> list[int]:
+    """Masks of distance + k blocks of bits that cover all 64."""
+    cuts = np.linspace(0, 64, distance + k + 1).round().astype(int).tolist()
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _band_masks(distance: int) -> list[np.uint64]:
-    return [np.uint64(a | b) for a, b in combinations(blocks(distance), 2)]
+def _band_masks(distance: int, k: int) -> list[np.uint64]:
+    return [np.uint64(sum(some)) for some in combinations(blocks(distance, k), k)]
 
 
-def _keyed(distance: int):
-    masks = _band_masks(distance)
+def _keyed(distance: int, k: int):
+    masks = _band_masks(distance, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column("fp").to_numpy().view(np.uint64)
             for band, mask in enumerate(masks):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), band, np.int8)), pa.array((fp & mask).view(np.int64)), pa.array(fp.view(np.int64))], names=["band", "key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), band, np.int16)), pa.array((fp & mask).view(np.int64)), pa.array(fp.view(np.int64))], names=["band", "key", "fp"])
 
     return run
 
@@ -169,15 +180,15 @@ def _searched(fp: np.ndarray, table: np.ndarray, distance: int) -> tuple[list[np
     return froms, tos
 
 
-def _first_band(differing: np.ndarray, distance: int) -> np.ndarray:
-    """Number of the first band whose two blocks hold none of the differing bits."""
+def _first_band(differing: np.ndarray, distance: int, k: int) -> np.ndarray:
+    """Number of the first band whose blocks hold none of the differing bits."""
     out = np.full(len(differing), -1, np.int64)
-    for band, mask in reversed(list(enumerate(_band_masks(distance)))):
+    for band, mask in reversed(list(enumerate(_band_masks(distance, k)))):
         out[(differing & mask) == 0] = band
     return out
 
 
-def group_links(band: np.ndarray, key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def group_links(band: np.ndarray, key: np.ndarray, fp: np.ndarray, distance: int, k: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Links between the fingerprints of equal band and key."""
     order = np.lexsort((fp, key, band))
     band, key, fp = band[order], key[order], fp[order]
@@ -195,7 +206,7 @@ def group_links(band: np.ndarray, key: np.ndarray, fp: np.ndarray, distance: int
         if len(a) == 0:
             break
         x, y = _survive(table, a, a + shift, fp, distance)
-        mine = _first_band(fp[x] ^ fp[y], distance) == band[x]  # a pair meets in every band it agrees on and counts in the first
+        mine = _first_band(fp[x] ^ fp[y], distance, k) == band[x]  # a pair meets in every band it agrees on and counts in the first
         x, y = x[mine], y[mine]
         froms.append(x)
         tos.append(y)
@@ -210,21 +221,22 @@ def group_links(band: np.ndarray, key: np.ndarray, fp: np.ndarray, distance: int
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _linked(distance: int):
+def _linked(distance: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = [tuple(b.column(c).to_numpy() for c in ("band", "key", "fp")) for b in batches]
         if some:
             band, key, fp = (np.concatenate(x) for x in zip(*some, strict=True))
-            a, b = group_links(band, key, fp.view(np.uint64), distance)
+            a, b = group_links(band, key, fp.view(np.uint64), distance, k)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return run
 
 
-def links(fps: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that have the components of all links within the distance."""
-    keyed = fps.mapInArrow(_keyed(distance), "band byte, key long, fp long")
-    return keyed.repartition("band", "key").mapInArrow(_linked(distance), "a long, b long").distinct()
+def links(fps: DataFrame, *, distance: int = DISTANCE, n: int | None = None) -> DataFrame:
+    """a, b: links between distinct fingerprints (column fp) that have the components of all links within the distance. n: their number, if it is known."""
+    k = agreeing(distance, fps.count() if n is None else n)
+    keyed = fps.mapInArrow(_keyed(distance, k), "band short, key long, fp long")
+    return keyed.repartition("band", "key").mapInArrow(_linked(distance, k), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,14 +279,14 @@ def grouped(docs: DataFrame, text: str, row_id: str, *, words: int = WORDS, dist
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows stay; a null id is in no minimum.
     """
     marked = written(fingerprint(docs, text, row_id, words=words, tables=tables))
-    fps = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    fps = written(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("times")))
     edges = links(fps.select("fp"), distance=distance)
     for t in range(1, tables):
         edges = edges.unionByName(_table_edges(marked, f"fp{t}", distance))
     roots = components(edges.distinct())
-    placed = written(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    return marked.join(named, "fp").select("id", "fp", "component")
+    placed = written(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", "times", F.coalesce("root", "fp").alias("root")))
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component", "times")
+    return looked_up(marked.select("id", "fp"), written(named), "fp", "times").select("id", "fp", "component")
 
 
 def kept(docs: DataFrame, text: str, row_id: str, *, words: int = WORDS, distance: int = DISTANCE, tables: int = 1) -> DataFrame:
