@@ -37,6 +37,15 @@ def keywords(text: Column, n: int = 5) -> Column:
     return F.slice(F.filter(tokens(text), lambda t: ~t.isin(*QUERY_STOP)), 1, n)
 
 
+# Words of a query that name no concept.
+NO_CONCEPT = ("the", "and", "for", "with", "what", "how", "why", "when", "which", "explain", "define", "list", "state", "describe", "marks", "class", "question", "paper", "section", "part", "difference", "between")
+
+
+def candidates(text: Column, n: int = 5) -> Column:
+    """Words of three or more characters that may name a concept, in order, as they stand."""
+    return F.slice(F.filter(F.regexp_extract_all(text, F.lit("([A-Za-z][A-Za-z0-9-]{2,})"), F.lit(1)), lambda t: ~F.lower(t).isin(*NO_CONCEPT)), 1, n)
+
+
 def holds_any(text: Column, phrases: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in phrases:

@@ -102,24 +102,35 @@ def search(bank: DataFrame, *, chapters: list[str] | None = None, marks: int | N
     return kept.orderBy(F.desc("quality"), "id").offset(offset).limit(limit)
 
 
-def select_paper(bank: DataFrame, blueprint: list[tuple[str, int, int, tuple[str, ...]]], weights: dict[str, float]) -> DataFrame:
+def select_paper(bank: DataFrame, blueprint: list[tuple[str, int, int, tuple[str, ...]]], weights: dict[str, float], fallback: DataFrame | None = None) -> DataFrame:
     """section, place and the question of each one taken, section after section: quality + 0.5 weight of its chapter - 0.05 uses of the chapter so far.
 
-    One top-k a section (few), as uses change only between sections; a question is taken once.
+    One top-k a section (few), as uses change only between sections; a question is taken once. Where the bank falls short, the best-scoring questions of
+    the fallback pool (other ids) that fit fill the section up before its questions are ranked.
     """
     spark = bank.sparkSession
+    bank = bank.withColumn("__pool", F.lit(0))
+    if fallback is not None:
+        bank = bank.unionByName(fallback.withColumn("__pool", F.lit(1)))
     weighted = bank.withColumn("__w", F.coalesce(F.try_element_at(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))]), F.col("chapter")), F.lit(0.0))) if weights else bank.withColumn("__w", F.lit(0.0))
     taken = spark.createDataFrame([], "section string, place long, id long, chapter string, marks long, score double").withColumn("id", F.col("id").cast(bank.schema["id"].dataType))
     for label, each, n, ease in blueprint:
         uses = taken.groupBy("chapter").agg(F.count("*").alias("__uses"))
         fits = weighted.where((F.col("marks") == each) & F.col("difficulty").isin(*ease)).join(taken.select("id"), "id", "left_anti").join(F.broadcast(uses), "chapter", "left")  # uses: at most one row a taken question
         scored = fits.withColumn("score", F.col("quality") + 0.5 * F.col("__w") - 0.05 * F.coalesce("__uses", F.lit(0)))
-        top = scored.orderBy(F.desc(F.round("score", 9)), "id").limit(n)
+        top = scored.orderBy("__pool", F.desc(F.round("score", 9)), "id").limit(n)
         placed = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "id")).cast("long"))  # n rows
         taken = taken.unionByName(placed.select(F.lit(label).alias("section"), "place", "id", "chapter", "marks", "score")).checkpoint()
     return taken
 
 
+def paper_metrics(selected: DataFrame, bank: DataFrame) -> DataFrame:
+    """kind, value, questions, marks: histograms of a selected paper by chapter, Bloom level and difficulty."""
+    known = selected.select("id", "marks").join(bank.select("id", "chapter", "bloom", "difficulty"), "id")
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("chapter", "bloom", "difficulty"))))
+    return known.select("marks", kinds.alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("questions"), F.sum("marks").alias("marks"))
+
+
 def assemble(selected: DataFrame) -> DataFrame:
     """The selected questions, numbered through in the order of sections."""
     return selected.withColumn("number", F.row_number().over(Window.orderBy("section", "place")).cast("long"))  # as many rows as a paper has questions

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,13 +165,17 @@ def edges(voted: DataFrame, difficulty: DataFrame, active: int) -> DataFrame:
     return joined.select("prerequisite", "concept", "score", sure.alias("confidence"), jump.alias("jump"), F.greatest(F.lit(1.0), F.round(3 * (2 - sure) * (1 + F.greatest(jump, F.lit(0.0))))).cast("long").alias("spacing_days"))
 
 
+def _one_of(words: list[str]) -> Callable[[Column], Column]:
+    return lambda x: x.isin(*words)
+
+
 def bloom_of(verbs: Column) -> Column:
     """The Bloom level of most of the verbs; the higher of equal ones; understand without any."""
     counted, seen = [], set()
     for i, (level, listed) in enumerate(BLOOM_VERBS.items()):
         own = [v for v in listed.split() if v not in seen]
         seen |= set(own)
-        counted.append(F.struct(F.size(F.filter(verbs, lambda v, own=own: v.isin(*own))).alias("n"), F.lit(i).alias("i"), F.lit(level).alias("level")))
+        counted.append(F.struct(F.size(F.filter(verbs, _one_of(own))).alias("n"), F.lit(i).alias("i"), F.lit(level).alias("level")))
     best = F.array_max(F.array(*counted))
     return F.when(best["n"] > 0, best["level"]).otherwise("understand")
 

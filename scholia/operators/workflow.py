@@ -167,7 +167,10 @@ def json_of(text: Column) -> Column:
     """The JSON object or array in a model's reply: a fenced block, else from the first brace to the last; null if it doesn't parse."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     body = F.when(fenced != "", fenced).otherwise(F.regexp_extract(text, r"(?s)([{\[].*[}\]])", 1))
-    return F.when(F.try_parse_json(body).isNotNull(), F.regexp_replace(body, r"^\s+|\s+$", ""))
+    # the parser takes a value and ignores what follows: brackets outside strings have to pair up too
+    bare = F.regexp_replace(body, r'"(\\.|[^"\\])*+"', "")
+    n = lambda c: F.length(bare) - F.length(F.replace(bare, F.lit(c), F.lit("")))
+    return F.when(F.try_parse_json(body).isNotNull() & (n("{") == n("}")) & (n("[") == n("]")), F.regexp_replace(body, r"^\s+|\s+$", ""))
 
 
 def restored_arrows(text: Column) -> Column:
@@ -176,3 +179,22 @@ def restored_arrows(text: Column) -> Column:
     for plain, real in (("H2O", "H₂O"), ("CO2", "CO₂"), ("O2", "O₂"), ("H2", "H₂"), ("N2", "N₂"), ("NH3", "NH₃"), ("CH4", "CH₄"), ("H2SO4", "H₂SO₄")):
         out = F.regexp_replace(out, rf"\b{plain}\b", real)
     return out
+
+
+def nearest(marks: DataFrame, words: DataFrame) -> DataFrame:
+    """page, line, x of each mark with the nearest word before and behind it on its line, by running values over both: an as-of join without a range join. words: page, line, x, word."""
+    both = marks.select("page", "line", "x", F.lit(None).cast("string").alias("word"), F.lit(1).alias("mark")).unionByName(words.select("page", "line", "x", "word", F.lit(0).alias("mark")))
+    order = Window.partitionBy("page", "line").orderBy("x", "mark", "word")
+    back = Window.partitionBy("page", "line").orderBy(F.desc("x"), "mark", F.desc("word"))
+    held = both.withColumns({"left": F.last("word", ignorenulls=True).over(order), "right": F.last("word", ignorenulls=True).over(back)})
+    return held.where("mark = 1").select("page", "line", "x", "left", "right")
+
+
+def contained(questions: DataFrame, concepts: DataFrame) -> DataFrame:
+    """question_id, concept: the longest concept whose tokens stand in a row in the question (ties: the first by name)."""
+    from scholia.operators import retrieval
+
+    texts = questions.select(F.col("question_id").alias("id"), F.lit(0).alias("document_id"), F.lit(None).cast("string").alias("heading"), F.col("question").alias("text"))
+    hits = retrieval.phrase_hits(texts, concepts.select(F.col("concept").alias("phrase")))
+    best = Window.partitionBy("id").orderBy(F.desc(F.length("phrase")), "phrase")
+    return hits.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("id").alias("question_id"), F.col("phrase").alias("concept"))

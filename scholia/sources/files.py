@@ -65,6 +65,8 @@ def problems(files: DataFrame, least_pdf: int = 2048) -> DataFrame:
     found = F.array_compact(F.array(
         F.when(F.col("size_bytes") < 16, "trivially small"), F.when(pdf & (F.col("size_bytes") < least_pdf), "small pdf"), F.when((pdf | zip_) & (F.col("size_bytes") < 4096) & F.lower(head).rlike("<html|<title>|error|not found|500|404"), "html error page"),
         F.when(pdf & (F.col("size_bytes") > 0) & (magic != "25504446"), "no pdf magic"), F.when(zip_ & (F.col("size_bytes") > 0) & (magic != "504B0304"), "no zip magic"),
+        # a whole archive ends in a directory, whose record tells the number of its members
+        F.when(zip_ & (magic == "504B0304") & ~F.hex("content").rlike("504B0506.{12}(?!0000)"), "no zip members"),
     ))
     return files.withColumn("problems", found)
 
@@ -160,3 +162,11 @@ def fused(pages: DataFrame) -> DataFrame:
     )
     use = F.when(F.col("own.quality") >= 0.5, F.col("own")).otherwise(F.col("top"))
     return by_page.select("document_id", "page", use["provider"].alias("provider"), use["text"].alias("text"), use["quality"].alias("quality"))
+
+
+def admitted(uploads: DataFrame, ledger: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """Uploads (source_id, extension, copyright_confirmed) with the gate's verdict: unsupported type, copyright not confirmed, duplicate of a source in the ledger or of a lesser upload, or accepted."""
+    known = ledger.select("source_id", F.lit(True).alias("known")).distinct()
+    again = F.row_number().over(Window.partitionBy("source_id").orderBy("upload_id")) > 1
+    verdict = F.when(~F.lower("extension").isin(*extensions), "unsupported type").when(~F.coalesce("copyright_confirmed", F.lit(False)), "copyright not confirmed").when(F.coalesce("known", F.lit(False)) | again, "duplicate").otherwise("accepted")
+    return uploads.join(known, "source_id", "left").withColumn("verdict", verdict).drop("known")
