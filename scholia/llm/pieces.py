@@ -225,8 +225,15 @@ class Automaton:
         return out
 
     def _tidy(self) -> None:
-        if len(self.states) > MOST_STATES or len(self.moves) > MOST_MOVES:
-            self._reset()
+        self.tidied(self.START)
+
+    def tidied(self, state: int) -> int:
+        """Forgets the states and transitions once there are many; the number of the state from then on."""
+        if len(self.states) <= MOST_STATES and len(self.moves) <= MOST_MOVES:
+            return state
+        held = self.states[state]
+        self._reset()
+        return self.number(held)
 
     def encode(self, word: str) -> list[int]:
         """Ids of a word: the streaming search of `Stream`, in one go."""
@@ -242,7 +249,8 @@ class Stream:
 
     After every STRIDE characters the survivors are the starts from which a piece can still grow; they lie
     within the longest piece from the end. When their paths of back pointers meet in one boundary, what is
-    before it is committed.
+    before it is committed. Words end where all paths meet by themselves (a space, or a pair of characters that no piece
+    holds): there all is committed, so that the window is no longer than a word, and a word's ids can be kept.
     """
 
     STRIDE = 64
@@ -264,6 +272,8 @@ class Stream:
             self.lasts.append(move[2])
             if len(self.lasts) % self.STRIDE == 0:
                 out += self._commit()
+                self.state = a.tidied(self.state)  # long words too keep the tables bounded
+                moves = a.moves
         return out
 
     def _back(self, to: int) -> list[int]:

@@ -222,6 +222,9 @@ def test_kept_transitions_and_counts_are_bounded(monkeypatch):
     counter = token_counts.Counter(pieces.Automaton(pieces.Vocabulary(path)), 16, 600)
     data, offsets = T.buffers(pa.array(texts))
     assert counter.count(data, offsets).tolist() == want and len(counter.a.states) < 1500 and len(counter.known) < 800
+    kana = "".join(chr(rng.randrange(0x3040, 0x30FF)) for _ in range(20_000))
+    a = pieces.Automaton(pieces.Vocabulary(path))
+    assert a.encode("▁" + kana) == sentencepiece.SentencePieceProcessor(model_file=path).encode(kana) and len(a.states) < 500
 
 
 def test_languages(spark):
