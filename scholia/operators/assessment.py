@@ -48,19 +48,22 @@ def near_pairs(rows: DataFrame, text: str, row_id: str, threshold: float = NEAR)
     """a, b, similarity of rows (a < b) whose content words have at least the threshold in common.
 
     Rows of equal words are one class, so that copies cost nothing and large groups of them no pairs: a class is
-    its smallest id, and near_classes has the class of every row. Prefix filtering: sorted by rarity, two sets within the threshold
-    share a word among the first n - ceil(threshold * n) + 1; the equi-join is on these words. Rows of under 4 words have no part.
+    its smallest id, and near_classes has the class of every row. Words are compared by 64-bit hashes. Prefix filtering: sorted by rarity, two sets within
+    the threshold share a word among the first n - ceil(threshold * n) + 1; the equi-join is on these words. Positional filtering: what stands behind a
+    shared word in both sets bounds their common words. Rows of under 4 words have no part.
     """
     sets = _word_sets(rows, text, row_id).where(F.size("words") >= 4)
-    classes = sets.groupBy("words").agg(F.min("id").alias("id"))
+    classes = sets.select("id", F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias("words")).groupBy("words").agg(F.min("id").alias("id"))
     listed = classes.select("id", F.explode("words").alias("w"))
     df = listed.groupBy("w").agg(F.count("*").alias("df"))
     ranked = listed.join(df, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
     n = F.size("r")
-    prefix = ranked.select("id", F.explode(F.slice("r", F.lit(1), (n - F.ceil(threshold * n) + 1).cast("int"))).alias("x"), n.alias("n")).select("id", "n", F.col("x.w").alias("w"))
+    prefix = ranked.select("id", n.alias("n"), F.posexplode(F.slice("r", F.lit(1), (n - F.ceil(threshold * n) + 1).cast("int"))).alias("i", "x")).select("id", "n", "i", F.col("x.w").alias("w"))
     a, b = prefix.alias("a"), prefix.alias("b")
     sized = (F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n"))
-    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & sized).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    # of a pair's shared words the first in the order of rarity bounds what is common, so a pair that is near passes there
+    placed = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9
+    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & sized & placed).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     left, right = classes.select(F.col("id").alias("a"), F.col("words").alias("wa")), classes.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("similarity", X.jaccard(F.col("wa"), F.col("wb")))
     return both.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
