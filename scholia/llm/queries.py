@@ -41,7 +41,8 @@ URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the URL rules on every page."""
-    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    literals = F.array(*(F.struct(*(F.lit(x).alias(name) for x, name in zip(rule, ("host", "path", "verdict"), strict=True))) for rule in URL_RULES))
+    rules = spark.range(1).select(F.explode(literals).alias("rule")).select("rule.*")
     return url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url"), "url", rules).drop("url")
 
 
