@@ -10,6 +10,10 @@ from scholia.functions import text as X
 # What begins a question or part, what states marks, what is a heading.
 QUESTION, PART, MARKS = r"^[ \t]*([0-9]{1,3})[ \t]*[.)\]]", r"^[ \t]*\(([a-z])\)", r"\([ \t]*([0-9]+([.][0-9]+)?)[ \t]*([mM][aA][rR][kK][sS]?)?[ \t]*\)"
 HEADING = r"^[ \t]*([uU][nN][iI][tT]|[cC][hH][aA][pP][tT][eE][rR]|[lL][eE][sS][sS][oO][nN]|[mM][oO][dD][uU][lL][eE]|[sS][eE][cC][tT][iI][oO][nN]|[tT][oO][pP][iI][cC]|[pP][aA][rR][tT])[ \t]*[0-9IVXilvx]+"
+# What a block's text says about its place in the layout.
+LAYOUT_HEADING = r"(?i)^[ \t]*(unit|chapter|lesson|module|section|topic|part)[ .\-:\t]*[0-9IVX]+"
+LAYOUT_NUMBER, LAYOUT_LETTER = r"^[ \t]*([0-9]{1,3})[.|\-) \t][ \t]", r"^[ \t]*([a-z][.)\-])[ \t]"
+LAYOUT_MARKS = r"(?i)\([ \t]*[0-9]+[ \t]*(marks?|×[ \t]*[0-9]+)?[ \t]*\)"
 # Words of a question that tell its Bloom level, the first listed one first.
 BLOOM_WORDS = (
     ("remember", "remember"), ("recall", "remember"), ("understand", "understand"), ("explain", "understand"), ("apply", "apply"), ("calculate", "apply"),
@@ -67,6 +71,22 @@ def _questioned(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("number", F.count("q_no").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def layout(blocks: DataFrame) -> DataFrame:
+    """The blocks (document_id, page, place, text, kind, fontsize) with their kinds by text and size: headings, questions, lists.
+
+    A numbered line is a list unless a heading or question comes right before it; whether that is so does not depend on lists, so the flag is a lag.
+    """
+    text, size = F.trim("text"), F.coalesce("fontsize", F.lit(0.0))
+    page, order = Window.partitionBy("document_id", "page"), Window.partitionBy("document_id", "page").orderBy("place")
+    sized = blocks.withColumn("most", F.max(size).over(page))
+    large = (size > 0) & (size >= 0.85 * F.col("most")) & (F.length(text) < 140)
+    upper = F.when(F.col("kind").isin("heading", "question"), F.col("kind")).when(text.rlike(LAYOUT_HEADING) | large, "heading").when(text.rlike(LAYOUT_NUMBER) & text.rlike(LAYOUT_MARKS), "question")
+    told = sized.withColumn("upper", upper)
+    behind = told.withColumn("behind", F.coalesce(F.lag(F.col("upper").isNotNull()).over(order), F.lit(False)))
+    lists = (text.rlike(LAYOUT_NUMBER) & ~F.col("behind") & (F.length(text) < 160)) | (text.rlike(LAYOUT_LETTER) & (F.length(text) < 200))
+    return behind.withColumn("kind", F.coalesce("upper", F.when(lists, "list").otherwise(F.col("kind")))).select(blocks.columns)
+
+
 def questions(blocks: DataFrame) -> DataFrame:
     """document_id, number, q_no, marks, type, bloom, title, text, parts: a question begins at a number; what follows is its text, but for the parts (a), (b), ...
 

