@@ -133,7 +133,14 @@ def test_fit_against_brute_force(spark):
                 s, last = min(36500.0, max(0.1, s * (growth if o >= 0.5 else lapse))), t
         return total / n
 
+    coarse = {r.learner_id: r for r in memory.fit(events, 0).collect()}
     for r in memory.fit(events).collect():
         grid = {(g, x): loss(r.learner_id, g, x) for g, x in memory.GRID}
+        first = coarse[r.learner_id]
+        assert first.loss == pytest.approx(min(grid.values())) and r.loss <= first.loss + 1e-12
+        b = (first.growth, first.lapse)
+        for k in (1, 2, 3):
+            b = min(((max(1.0, b[0] + 0.25 * i / 2**k), max(0.05, b[1] + 0.1 * j / 2**k)) for i in (-1, 0, 1) for j in (-1, 0, 1)), key=lambda p: (loss(r.learner_id, *p), p))
+        assert r.loss == pytest.approx(loss(r.learner_id, *b))
         assert r.loss <= min(grid.values()) + 1e-12 and r.loss == pytest.approx(loss(r.learner_id, r.growth, r.lapse))
         assert r.default_loss == pytest.approx(loss(r.learner_id, *memory.GRID[5])) and r.loss <= r.default_loss
