@@ -53,6 +53,35 @@ def scheme(points: Column, marks: Column) -> Column:
     return F.transform(points, lambda p, i: F.struct(p.alias("keyword"), (F.floor(marks / n) + F.when(i < marks % n, 1).otherwise(0)).cast("long").alias("marks")))
 
 
+def synonyms(term: Column) -> Column:
+    """Variants of a term that count as it: its plural or singular, and the longer words of a phrase; in order."""
+    t = F.lower(term)
+    found = F.array_compact(F.array(F.when(F.endswith(t, F.lit("y")), F.concat(F.substr(t, F.lit(1), F.length(t) - 1), F.lit("ies"))), F.when(~F.endswith(t, F.lit("s")), F.concat(t, F.lit("s"))), F.when(F.endswith(t, F.lit("s")) & (F.length(t) > 3), F.substr(t, F.lit(1), F.length(t) - 1))))
+    parts = F.when(F.contains(t, F.lit(" ")), F.filter(F.split(t, r"\s+"), lambda w: F.length(w) > 3)).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(found, parts), lambda w: w != t)))
+
+
+def answer_schemes(questions: DataFrame) -> DataFrame:
+    """id, objective, points (keyword, marks, required, synonyms) of questions (id, stem, type, marks, option, value_points).
+
+    An objective question has one point, its correct option. Else official value points share the marks, the first ones one more; without any, the stem's terms have
+    one mark each, the first one what is left.
+    """
+    marks = F.greatest(F.lit(1), F.col("marks")).cast("long")
+    known = options(F.col("stem"))
+    point = lambda keyword, worth, required, others: F.struct(keyword.alias("keyword"), worth.cast("long").alias("marks"), required.alias("required"), others.alias("synonyms"))
+    none = F.array().cast("array<string>")
+    given = F.filter(F.coalesce("value_points", none), lambda v: F.trim(v) != "")
+    rows = questions.select("id", (F.size(known) > 0) | F.coalesce(F.col("type").isin("mcq", "assertion_reason"), F.lit(False)), marks, known, given, terms(F.col("stem"), 99), "option").toDF("id", "objective", "marks", "options", "given", "terms", "option")
+    chosen = F.coalesce(F.try_element_at("options", F.col("option")), "option", F.lit(""))
+    right = F.array(point(chosen, F.col("marks"), F.lit(True), F.when(F.col("option").isNotNull(), F.array("option")).otherwise(none)))
+    n = F.greatest(F.size("given"), F.lit(1))
+    official = F.transform("given", lambda v, i: point(F.coalesce(F.get(F.split(F.trim(v), r"\s+"), F.lit(0)), v), F.floor(F.col("marks") / n) + F.when(i < F.col("marks") % n, 1).otherwise(0), i == 0, none))
+    own = F.slice("terms", F.lit(1), F.col("marks").cast("int"))
+    guessed = F.transform(own, lambda t, i: point(t, F.when(i == 0, 1 + F.col("marks") - F.size(own)).otherwise(1), i == 0, synonyms(t)))
+    return rows.select("id", "objective", F.when(F.col("objective"), right).when(F.size("given") > 0, official).otherwise(guessed).alias("points"))
+
+
 def evidence_gate(rows: DataFrame) -> DataFrame:
     """Rows (document_id, confidence, snippet, source_text) with reason and whether the snippet stands in its source."""
     reason = F.when(F.col("document_id").isNull() & F.col("confidence").isNull(), "no provenance").when(F.coalesce("document_id", F.lit("")) == "", "missing document_id").when(F.coalesce("confidence", F.lit(0.0)) < 0.5, "confidence below 0.5").otherwise("ok")

@@ -234,3 +234,20 @@ def contained_concepts(spark, d):
     asked = views.table(spark, d, "part").select(F.col("p_partkey").alias("question_id"), F.concat_ws(" ", "p_name", "p_type").alias("question"))
     concepts = views.table(spark, d, "part").where("p_partkey % 40 = 0").select(F.explode(F.array(F.element_at(F.split("p_name", " "), 1), F.lower("p_type"))).alias("concept")).distinct()
     return workflow.contained(asked, concepts)
+
+
+@query
+def term_synonyms(spark, d):
+    words = views.table(spark, d, "part").select(F.explode(F.array("p_name", "p_type", F.element_at(F.split("p_name", " "), 1), F.lit("Energy"), F.lit("gas"), F.lit("bus"))).alias("term")).distinct()
+    return words.select("term", F.array_join(workflow.synonyms(F.col("term")), ",").alias("synonyms"))
+
+
+@query
+def answer_schemes(spark, d):
+    n = F.col("p_size")
+    asked = views.table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.when(n % 4 == 0, F.concat("p_name", F.lit(" (A) one (B) two "), "p_type")).otherwise(F.concat("p_name", F.lit(" and "), F.lower("p_type"), F.lit(" energy"))).alias("stem"), F.when(n % 5 == 0, "mcq").otherwise("short_answer").alias("type"), (n % 6).alias("marks"),
+        F.when(n % 8 == 0, "B").when(n % 5 == 0, "C").alias("option"), F.when(n % 3 == 0, F.array(F.col("p_name"), F.lit(" "), F.col("p_type"))).alias("value_points"),
+    )
+    made = workflow.answer_schemes(asked)
+    return made.select("id", "objective", F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["keyword"], p["marks"], p["required"], F.array_join(p["synonyms"], "+"))), "|").alias("points"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from scholia.operators.curriculum import BLOOM_VERBS
 from scholia.plans.folds_oracle import paper
-from scholia.plans.oracle import ANSWERS, CHUNKS, QUESTIONS, TOK, w
+from scholia.plans.oracle import ANSWERS, CHUNKS, QUESTIONS, STOP, TOK, w
 from scholia.sources.files import NAME_RULES, PAPER_WORDS
 
 TURNS = "tu AS (SELECT conv_id, CAST(turn AS INTEGER) AS turn, text FROM conversations WHERE text IS NOT NULL)"
@@ -14,6 +14,11 @@ def named(name: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(lower({name}), '{p}') THEN '{k}'" for p, k in NAME_RULES) + " ELSE 'unknown' END"
 
 
+def synonyms(t: str, sep: str = "','") -> str:
+    plain = f"[CASE WHEN ends_with({t}, 'y') THEN {t}[:-2] || 'ies' END, CASE WHEN NOT ends_with({t}, 's') THEN {t} || 's' END, CASE WHEN ends_with({t}, 's') AND length({t}) > 3 THEN {t}[:-2] END]"
+    return f"array_to_string(list_sort(list_distinct(list_filter(list_concat({plain}, CASE WHEN contains({t}, ' ') THEN list_filter(string_split({t}, ' '), lambda v: length(v) > 3) ELSE [] END), lambda v: v IS NOT NULL AND v <> {t}))), {sep})"
+
+
 def bloom() -> str:
     levels = list(BLOOM_VERBS)
     verbs = [v.split() for v in BLOOM_VERBS.values()]
@@ -84,6 +89,13 @@ SELECT page, CAST(row AS BIGINT) AS row, count(*) AS cells, string_agg(text, ' |
 SELECT m.page, m.line, m.x, (SELECT max_by(word, (x, word)) FROM r o WHERE NOT dash AND o.page = m.page AND o.x <= m.x) AS "left", (SELECT min_by(word, (x, word)) FROM r o WHERE NOT dash AND o.page = m.page AND o.x >= m.x) AS "right" FROM r m WHERE dash""",
     "contained_concepts": f"""WITH q AS (SELECT p_partkey AS question_id, ' ' || array_to_string({TOK.format("p_name || ' ' || p_type")}, ' ') || ' ' AS t FROM part), c AS (SELECT DISTINCT unnest([string_split(p_name, ' ')[1], lower(p_type)]) AS concept FROM part WHERE p_partkey % 40 = 0)
 SELECT question_id, concept FROM q JOIN c ON contains(t, ' ' || array_to_string({TOK.format('concept')}, ' ') || ' ') QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY length(concept) DESC, concept) = 1""",
+    "term_synonyms": f"WITH t AS (SELECT DISTINCT unnest([p_name, p_type, string_split(p_name, ' ')[1], 'Energy', 'gas', 'bus']) AS term FROM part) SELECT term, {synonyms('lower(term)')} AS synonyms FROM t",
+    "answer_schemes": f"""WITH q AS (SELECT p_partkey AS id, p_size AS n, p_name, p_type, greatest(1, p_size % 6) AS m, CASE WHEN p_size % 8 = 0 THEN 'B' WHEN p_size % 5 = 0 THEN 'C' END AS o FROM part),
+t AS (SELECT *, list_filter(regexp_extract_all(lower(p_name || ' and ' || lower(p_type) || ' energy'), '([a-z][a-z0-9-]+)', 1), lambda x: x NOT IN {STOP} AND length(x) > 3) AS ws FROM q),
+u AS (SELECT *, list_filter(ws, lambda x, i: list_position(ws, x) = i)[1:m] AS ts FROM t)
+SELECT id, n % 4 = 0 OR n % 5 = 0 AS objective, CASE WHEN n % 4 = 0 OR n % 5 = 0 THEN (CASE WHEN o IS NULL THEN '' WHEN n % 4 = 0 AND o = 'B' THEN 'two ' || p_type ELSE o END) || ':' || m || ':true:' || coalesce(o, '')
+  WHEN n % 3 = 0 THEN string_split(p_name, ' ')[1] || ':' || (m // 2 + m % 2) || ':true:|' || string_split(p_type, ' ')[1] || ':' || (m // 2) || ':false:'
+  ELSE array_to_string(list_transform(ts, lambda x, i: x || ':' || CASE WHEN i = 1 THEN 1 + m - len(ts) ELSE 1 END || ':' || (i = 1) || ':' || {synonyms('x', "'+'")}), '|') END AS points FROM u""",
     "file_duplicates": "WITH f AS (SELECT page_id AS path, sha256(html) AS sha256, 'src:' || page_id AS source_id FROM pages) SELECT path, sha256, source_id, CASE WHEN path <> min(path) OVER (PARTITION BY sha256) THEN source_id END AS duplicate_of FROM f WHERE sha256 IS NOT NULL",
 }
 
