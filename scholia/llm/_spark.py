@@ -38,9 +38,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids that executors may hold whole.
+MOST_IDS = 2_000_000
+
+
 def matched(docs: DataFrame, row_id: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows whose id is (left_anti: is not) one of ids (column id), as they are, whatever their columns are named."""
-    other = ids.select(F.col("id").alias(_unused(docs)))
+    """The rows whose id is (left_anti: is not) one of ids (column id), as they are, whatever their columns are named.
+
+    While the ids are MOST_IDS at most they are broadcast, and the rows stay where they are; beyond that both are shuffled.
+    """
+    other = written(ids.select(F.col("id").alias(_unused(docs))))
+    if other.count() <= MOST_IDS:
+        other = F.broadcast(other)
     return docs.join(other, docs[row_id] == other[0], how)
 
 

@@ -296,7 +296,10 @@ def kept(docs: DataFrame, text: str, row_id: str, *, words: int = WORDS, distanc
 
 def firsts(docs: DataFrame, row_id: str, groups: DataFrame) -> DataFrame:
     """The rows whose id is that of their component, one of each such id; rows without an id stay. Columns may have any names."""
-    stay = groups.where("id = component").groupBy("id").agg(F.count("*").alias("times"))
-    once = matched(docs, row_id, stay.where("times = 1"))
-    again = matched(docs, row_id, stay.where("times > 1")).dropDuplicates([row_id])
-    return once.unionByName(again).unionByName(docs.where(docs[row_id].isNull()))
+    stay = written(groups.where("id = component").groupBy("id").agg(F.count("*").alias("times")))
+    without = docs.where(docs[row_id].isNull())
+    repeated = stay.where("times > 1")
+    if repeated.isEmpty():
+        return matched(docs, row_id, stay).unionByName(without)
+    again = matched(docs, row_id, repeated).dropDuplicates([row_id])
+    return matched(docs, row_id, stay.where("times = 1")).unionByName(again).unionByName(without)
