@@ -108,7 +108,7 @@ def scheme_points(spark, d):
 def evidence_gate(spark, d):
     docs = views.table(spark, d, "documents")
     n = F.col("doc_id")
-    rows = docs.select("doc_id", F.when(n % 5 == 0, None).when(n % 5 == 1, "").otherwise(n.cast("string")).alias("document_id"), F.when(n % 10 == 0, None).otherwise(n % 7 / 7).alias("confidence"), F.upper(F.substring("text", 5, 4 + n % 9)).alias("snippet"), F.col("text").alias("source_text"))
+    rows = docs.select("doc_id", F.when(n % 5 == 0, None).when(n % 5 == 1, "").otherwise(n.cast("string")).alias("document_id"), F.when(n % 10 == 0, None).otherwise(n % 7 / 7).alias("confidence"), F.substring("text", 5, 4 + n % 9).alias("snippet"), F.col("text").alias("source_text"))
     return workflow.evidence_gate(rows).select("doc_id", "reason", "quoted")
 
 

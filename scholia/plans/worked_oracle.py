@@ -62,7 +62,7 @@ p AS (SELECT document_id, page, arg_max(provider, (quality, provider, text)) FIL
 SELECT document_id, page, CASE WHEN oq >= 0.5 THEN op ELSE tp END AS provider, CASE WHEN oq >= 0.5 THEN oq ELSE tq END AS quality FROM p""",
     "stem_options": "SELECT p_partkey, 'A=' || trim(p_brand, ' .;') || '|B=' || trim(p_type, ' .;') || '|C=' || p_size AS options FROM part",
     "scheme_points": """WITH p AS (SELECT p_partkey, p_size, string_split(p_name, ' ')[1 : 1 + p_size % 4] AS ks FROM part) SELECT p_partkey, array_to_string(list_transform(ks, lambda k, i: k || ':' || (p_size // len(ks) + CASE WHEN i <= p_size % len(ks) THEN 1 ELSE 0 END)), ',') AS points FROM p""",
-    "evidence_gate": r"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '' ELSE CAST(doc_id AS VARCHAR) END AS d, CASE WHEN doc_id % 10 > 0 THEN doc_id % 7 / 7 END AS c, upper(substr(text, 5, 4 + doc_id % 9)) AS snip, text FROM documents)
+    "evidence_gate": r"""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '' ELSE CAST(doc_id AS VARCHAR) END AS d, CASE WHEN doc_id % 10 > 0 THEN doc_id % 7 / 7 END AS c, substr(text, 5, 4 + doc_id % 9) AS snip, text FROM documents)
 SELECT doc_id, CASE WHEN d IS NULL AND c IS NULL THEN 'no provenance' WHEN coalesce(d, '') = '' THEN 'missing document_id' WHEN coalesce(c, 0.0) < 0.5 THEN 'confidence below 0.5' ELSE 'ok' END AS reason,
   coalesce(length(snip) >= 8 AND contains(trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g')), trim(regexp_replace(lower(snip), '[ \t\n\r\f\x0B]+', ' ', 'g'))), false) AS quoted FROM r""",
     "scrubbed_text": "SELECT doc_id, trim(array_to_string(list_filter(string_split(text || chr(10) || chr(10) || 'As an AI I see' || chr(10) || chr(10) || source, chr(10) || chr(10)), lambda b: NOT contains(lower(b), 'as an ai') AND NOT contains(lower(b), 'version')), chr(10) || chr(10))) AS text FROM documents WHERE text IS NOT NULL",
