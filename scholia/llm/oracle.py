@@ -29,5 +29,10 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_sum(list_transf
   FROM q, v WHERE q.vec_id <> v.vec_id AND len(q.e) = len(v.e))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+""",
+    "op12_content_sort": r"""
+WITH normed AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (w ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
+FROM normed WINDOW w AS (PARTITION BY norm)
 """,
 }
