@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import content_sort, context_tree, language_id, personal_data, piece_codec, pivot_search, simhash, templates, token_counts, toxicity, url_rules
+from scholia.llm import content_sort, context_tree, language_id, personal_data, piece_codec, pivot_search, simhash, templates, token_counts, toxicity, url_rules, yinyang
 from scholia.llm._spark import fold, table
 
 
@@ -95,9 +95,15 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select(F.col("id").alias("doc_id"), *counts, F.sha2(personal_data._joined("base"), 256).alias("base_sha256"), personal_data._joined("concat(base, added)").alias("spans"))
 
 
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after 5 exact rounds over 40 centroids, with distances and inertia."""
+    found, centroids = yinyang.clustered(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+    return yinyang.report(found, centroids).withColumnRenamed("id", "vec_id")
+
+
 def op12_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among all documents: the row that stays, the size of the group, the digest of the text."""
     return content_sort.grouped(table(spark, sf_dir, "documents"), "text", "doc_id").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree, op2_language_id, op3_url_rules, op4_toxicity, op5_templates, op6_piece_codec, op7_simhash, op8_pivot_search, op9_token_counts, op10_personal_data, op12_content_sort)}
+QUERIES = {f.__name__: f for f in (op1_context_tree, op2_language_id, op3_url_rules, op4_toxicity, op5_templates, op6_piece_codec, op7_simhash, op8_pivot_search, op9_token_counts, op10_personal_data, op11_yinyang, op12_content_sort)}
