@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import content_sort, context_tree, language_id, personal_data, piece_codec, pivot_search, simhash, templates, token_counts, toxicity, url_rules, yinyang
+from scholia.llm import content_sort, context_tree, language_id, personal_data, piece_codec, pivot_search, simhash, templates, token_counts, toxicity, turn_repair, url_rules, yinyang
 from scholia.llm._spark import fold, table
 
 
@@ -106,4 +106,15 @@ def op12_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.grouped(table(spark, sf_dir, "documents"), "text", "doc_id").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree, op2_language_id, op3_url_rules, op4_toxicity, op5_templates, op6_piece_codec, op7_simhash, op8_pivot_search, op9_token_counts, op10_personal_data, op11_yinyang, op12_content_sort)}
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the digest of the repaired turns of every conversation, after planted damage."""
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    damaged = turn_repair.damaged(told, "conv_id", "turn", "role", "text")
+    found = turn_repair.digests(turn_repair.repaired(damaged, "conv", "turn", "role", "text"))
+    every = told.select("conv_id").distinct()
+    sums = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce(F.col("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select("conv_id", *sums, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
+QUERIES = {f.__name__: f for f in (op1_context_tree, op2_language_id, op3_url_rules, op4_toxicity, op5_templates, op6_piece_codec, op7_simhash, op8_pivot_search, op9_token_counts, op10_personal_data, op11_yinyang, op12_content_sort, op13_turn_repair)}
