@@ -4,10 +4,12 @@ Texts become tokens: runs of letters, and numbers. Numbers, names and units beco
 placeholders: a number is digits, with single dots or commas between digits; a name a
 capitalised word that does not begin a sentence or a line; a unit a word of UNITS after a
 number. Windows of WINDOW canonical tokens are hashed and meet the benchmark's windows in an
-equi-join. For every document, item and alignment the slots' fillers must map one to one, so
-a re-parameterised question is caught, and a text that merely has the same shape with
-clashing fillers is not. A document leaks an item if consistent alignments cover at least COVERAGE
-of the item's windows.
+equi-join. For every document, item and alignment, a window with the item's own fillers counts as
+it stands. One with other fillers counts if they map one to one: a filler that stands for two others
+in the alignment, or two for one, makes the windows that hold it drop out, and only those, so a
+re-parameterised question is caught, and a text that merely has the same shape with clashing
+fillers is not. A document leaks an item if such windows cover at least COVERAGE of the item's, or
+if it holds a verbatim run of RUN tokens of the item (canonical tokens with the item's fillers).
 
 A window with fewer than half its tokens literal would match anything of its shape: it keeps
 its fillers instead of placeholders. An item shorter than a window is one window.
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm import _text as T
@@ -27,6 +29,8 @@ from scholia.llm._spark import matched
 
 WINDOW = 8
 COVERAGE = 0.5
+#: A verbatim run of so many tokens is a leak, however long the item is.
+RUN = 13
 #: Bits of the fixed-size map that lets a window of a document pass to the join.
 MAP_BITS = 22
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "min", "h", "hr", "ms", "hz", "khz", "mhz", "w", "kw", "v", "kv", "a", "j", "kj", "n", "pa", "kpa", "k", "c", "f", "meters", "metres", "miles", "inches", "feet", "seconds", "minutes", "hours", "days", "years", "dollars", "euros", "percent", "grams", "kilograms", "litres", "liters", "degrees")
@@ -133,8 +137,8 @@ def _windowed(sizes: list[int], passing, whole_short: bool):
     return run
 
 
-def leaks(docs: DataFrame, text: str, row_id: str, items: DataFrame, item_text: str, item_id: str, *, coverage: float = COVERAGE) -> DataFrame:
-    """id, item_id, coverage of each row that leaks an item: at least `coverage` of the item's windows, with consistent slots.
+def leaks(docs: DataFrame, text: str, row_id: str, items: DataFrame, item_text: str, item_id: str, *, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
+    """id, item_id, coverage of each row that leaks an item: at least `coverage` of the item's windows, verbatim or with consistent slots, or a verbatim run of `run` tokens.
 
     Null and empty texts, and items without a token, leak nothing; equal items leak together; rows with
     the same id count as one document. Empty tables give no rows. Rows without an id are left out.
@@ -157,12 +161,32 @@ def leaks(docs: DataFrame, text: str, row_id: str, items: DataFrame, item_text:
     found = source.mapInArrow(_windowed(sizes, passing, False), schema.format(kind)).drop("windows")
     pairs = found.join(benchmark, ["hash", "size"]).withColumn("shift", F.col("at") - F.col("item_at"))
     slotted = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x: (x["a"] != 0) | (x["b"] != 0))
-    window = pairs.withColumn("pairs", F.array_distinct(slotted)).groupBy("id", "item_id", "shift", "item_windows").agg(
-        F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )  # bounded by an item's windows
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.a")))) & (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.b"))))
-    covered = window.where(one_to_one).groupBy("id", "item_id", "item_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"))
-    return covered.withColumn("coverage", F.col("n") / F.col("item_windows")).where(F.col("coverage") >= coverage).select("id", "item_id", "coverage")
+    aligned = pairs.select("id", "item_id", "item_windows", "size", "shift", F.struct(F.col("item_at").alias("at"), F.array_distinct(slotted).alias("pairs")).alias("window"))
+    # all lists are bounded by an item's windows
+    held = aligned.groupBy("id", "item_id", "item_windows", "size", "shift").agg(F.collect_set("window").alias("windows"))
+    clashing = held.withColumn("all", F.array_distinct(F.flatten("windows.pairs"))).withColumn("clash", F.array_union(_shared("all", "a"), _shared("all", "b")))
+    verbatim = lambda w: F.forall(w["pairs"], lambda p: p["a"] == p["b"])
+    judged = clashing.select(
+        "id",
+        "item_id",
+        "item_windows",
+        F.transform(F.filter("windows", lambda w: verbatim(w) | ~F.arrays_overlap(w["pairs"], F.col("clash"))), lambda w: w["at"]).alias("ats"),
+        F.array_sort(F.transform(F.filter("windows", verbatim), lambda w: w["at"])).alias("same"),
+        (F.lit(run) - F.col("size")).alias("more"),
+    )
+    # sorted distinct places: a run of windows stands where the place `more` further on is `more` larger
+    ran = F.exists(F.transform("same", lambda x, i: (i >= F.col("more")) & (x - F.get("same", i - F.col("more")) == F.col("more"))), lambda x: x)
+    covered = judged.withColumn("ran", (F.col("more") >= 0) & ran).groupBy("id", "item_id", "item_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"), F.max("ran").alias("ran"))
+    return covered.withColumn("coverage", F.col("n") / F.col("item_windows")).where((F.col("coverage") >= coverage) | F.col("ran")).select("id", "item_id", "coverage")
+
+
+def _shared(pairs: str, side: str) -> Column:
+    """Pairs of a list that share their filler on one side with another pair of it."""
+    other = "b" if side == "a" else "a"
+    ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(p[side].alias("x"), p[other].alias("y"))))
+    beside = F.transform(ordered, lambda p, i: F.struct(p.alias("p"), (F.coalesce(F.get(ordered, i - 1)["x"] == p["x"], F.lit(False)) | F.coalesce(F.get(ordered, i + 1)["x"] == p["x"], F.lit(False))).alias("shared")))
+    named = lambda p: F.struct((p["x"] if side == "a" else p["y"]).alias("a"), (p["y"] if side == "a" else p["x"]).alias("b"))
+    return F.transform(F.filter(beside, lambda z: z["shared"]), lambda z: named(z["p"]))
 
 
 def clean(docs: DataFrame, text: str, row_id: str, items: DataFrame, item_text: str, item_id: str, **options) -> DataFrame:

@@ -83,7 +83,7 @@ def brute_windows(tokens, size):
         yield i, tuple(t if templated or f is None else f for t, f in some) + (templated,), [f for _, f in some]
 
 
-def brute_leaks(docs, items, coverage=0.5):
+def brute_leaks(docs, items, coverage=0.5, run=13):
     found = set()
     for doc, text in docs:
         tokens = brute_tokens(text)
@@ -92,18 +92,20 @@ def brute_leaks(docs, items, coverage=0.5):
             size = min(len(own), templates.WINDOW)
             if not size:
                 continue
-            shifts = defaultdict(lambda: (set(), set()))
+            shifts = defaultdict(dict)
             theirs = list(brute_windows(tokens, size))
             for j, key, fill in brute_windows(own, size):
                 for i, other, got in theirs:
                     if other == key:
-                        shifts[i - j][0].add(j)
-                        shifts[i - j][1].update((a, b) for a, b in zip(fill, got) if a or b)
-            covered = set()
-            for ats, pairs in shifts.values():
-                if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
-                    covered |= ats
-            if covered and len(covered) / (len(own) - size + 1) >= coverage:
+                        shifts[i - j][j] = {(a, b) for a, b in zip(fill, got) if a or b}
+            covered, ran = set(), False
+            for windows in shifts.values():
+                every = set().union(*windows.values())
+                clash = {p for p in every for q in every if p != q and (p[0] == q[0] or p[1] == q[1])}
+                same = {j for j, pairs in windows.items() if all(a == b for a, b in pairs)}
+                covered |= same | {j for j, pairs in windows.items() if not pairs & clash}
+                ran |= size <= run and any(all(j + k in same for k in range(run - size + 1)) for j in same)
+            if ran or (covered and len(covered) / (len(own) - size + 1) >= coverage):
                 found.add((doc, item))
     return found
 

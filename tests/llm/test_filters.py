@@ -37,7 +37,8 @@ ITEM = "A train leaves Paris with Anna on board and covers 240 km in 3 hours bef
 def test_templates(spark, hard, empty):
     items = spark.createDataFrame([(1, ITEM), (2, "tiny item"), (3, None), (4, "")], "item_id int, text string")
     same = "Some words before this one. " + ITEM.replace("Paris", "Rome").replace("Anna", "Carla").replace("240", "300").replace(" 3 ", " 4 ").replace("15", "20") + " and more after it"
-    clash = ITEM.replace("Bruno", "Anna").replace("Lyon", "Anna")
+    # the same shape, with fillers that clash all over
+    clash = ITEM.replace("Paris", "Rome").replace("Anna", "Rome").replace("240", "7").replace(" 3 ", " 7 ").replace("Lyon", "Rome").replace("Bruno", "Rome").replace("15", "7")
     docs = spark.createDataFrame([(1, "x " + ITEM + " y"), (2, same), (3, "nothing of the kind stands in this text"), (4, "here is a tiny item again"), (5, None), (6, ""), (7, clash), (None, ITEM), (8, "half " + " ".join(ITEM.split()[:9]))], "doc_id long, text string")
     got = {(r.id, r.item_id) for r in templates.leaks(docs, "text", "doc_id", items, "text", "item_id").collect()}
     assert got == {(1, 1), (2, 1), (4, 2)}
@@ -48,6 +49,17 @@ def test_templates(spark, hard, empty):
     assert templates.clean(hard, "text", "doc_id", items.limit(0), "text", "item_id").count() == hard.count()
 
 
+def test_verbatim_parts_of_items_are_leaks(spark):
+    """One changed number, names changed in one place only, and long verbatim runs; short runs are none."""
+    item = "A farmer in Kent stores 12 crates of pears and 12 crates of plums in a cold barn near the river until Martha comes with a small van and takes every second crate of the pears to the market in town and sells them there before noon"
+    items = spark.createDataFrame([(1, item)], "item_id int, text string")
+    words = item.split()
+    texts = [item, item.replace("12 crates of plums", "15 crates of plums"), item.replace("12 crates of pears", "9 crates of pears").replace("12 crates of plums", "15 crates of plums")]
+    texts += ["Elsewhere it says " + " ".join(words[20:38]) + " and so on", "Elsewhere it says " + " ".join(words[20:33]) + " and so on", "Elsewhere it says " + " ".join(words[20:31]) + " and so on"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.id for r in templates.leaks(docs, "text", "doc_id", items, "text", "item_id").collect()} == {0, 1, 2, 3, 4}
+
+
 def brute_fingerprint(text, words=4):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
