@@ -16,7 +16,7 @@ of its texts, met in training or not: the asked grams join the counted ones with
 count 0, and the tree is mixed for all of them. A task holds whole subtrees below
 three context bytes, one run of them after another; the levels above are sums
 over nodes of two context bytes, whose number is bounded whatever the corpus. The probabilities reach the texts as
-a broadcast while they are at most `most_broadcast` rows (12 bytes each), and else by an
+a broadcast while they are at most `most_broadcast` rows (16 bytes each), and else by an
 equi-join with the distinct grams of blocks of texts; both give the same sums.
 """
 
@@ -34,8 +34,8 @@ from scholia.llm._spark import written
 
 DEPTH = 5
 END = 0xFF
-#: Rows of a table that executors may hold whole (12 bytes each).
-MOST_BROADCAST = 8_000_000
+#: Rows of a table that executors may hold whole (16 bytes each).
+MOST_BROADCAST = 6_000_000
 #: Bytes of the texts whose distinct grams are joined together beyond that.
 BLOCK_BYTES = 32 << 20
 #: Grams whose subtrees a task mixes at once, unless one subtree has more.
@@ -365,7 +365,7 @@ def _block_scored(model: tuple[int, float, float], schema: pa.Schema):
 
 def _near(values: DataFrame, value: str, bits: int) -> tuple[pa.Table, pa.Table]:
     """key and value of a table of a checked size, in the order of the keys as unsigned numbers, and the rows of largest count."""
-    slim = values.select("key", F.col(value).cast("float").alias("value"), "n")
+    slim = values.select("key", F.col(value).cast("double").alias("value"), "n")  # as in the join: both ways give the same scores
     return slim.select("key", "value").orderBy(F.col("key") < 0, "key").toArrow(), slim.orderBy(F.desc("n"), "key").limit(1 << bits >> 1).toArrow()
 
 

@@ -256,3 +256,12 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.score >= 0.5 for r in held if r.id % 8]) < 0.01
     clean = toxicity.clean(docs, "text", model)
     assert clean.columns == docs.columns and clean.where("doc_id % 8 = 0").count() < 15 and clean.where("doc_id % 8 <> 0").count() > 2600
+
+
+def test_broadcast_and_join_agree(spark):
+    """Probabilities are doubles on both ways: no score depends on the size of the learnt table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = context_tree.fit(docs, "text", F.col("doc_id") % 10 != 0)
+    ways = [{r.id: r.total for r in context_tree.score(docs, "text", "doc_id", model, covered=True, most_broadcast=most).collect()} for most in (10**8, 0)]
+    assert len(ways[0]) == docs.count()
+    assert ways[0] == pytest.approx(ways[1], rel=1e-12, abs=1e-9)
