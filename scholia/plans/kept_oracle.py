@@ -1,5 +1,10 @@
 """SQL of the queries in `kept`."""
 
-from scholia.plans import folds_oracle
+from scholia.plans import folds_oracle, oracle
 
-SQL = {"streamed_cards": folds_oracle.SQL["fsrs_cards"]}
+#: What is kept gives what a plain query over the whole tables gives.
+SQL = {
+    "streamed_cards": folds_oracle.SQL["fsrs_cards"],
+    "indexed_search": oracle.ORACLE_SQL["bm25_search"],
+    "indexed_phrases": folds_oracle.SQL["phrase_scan"],
+}

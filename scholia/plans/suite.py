@@ -13,6 +13,7 @@ from scholia.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEARCHES = ((1, "the idiot of things"), (2, "theory and nation src3"), (3, "la tion des"), (4, "version license public"))
+PHRASES = ("of the", "license version", "general public license")
 LABELS = ("the", "of", "and", "idiot", "clown", "license", "version", "est", "der", "tion")
 QUERIES: dict[str, Query] = {}
 
@@ -264,7 +265,7 @@ def heading_rerank(spark, d):
 
 @query
 def phrase_scan(spark, d):
-    return retrieval.phrase_hits(views.chunks(spark, d), spark.createDataFrame([("of the",), ("license version",), ("general public license",)], "phrase string"))
+    return retrieval.phrase_hits(views.chunks(spark, d), spark.createDataFrame([(x,) for x in PHRASES], "phrase string"))
 
 
 @query
