@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from scholia.functions import text as X
 
 # What begins a question or part, what states marks, what is a heading.
-QUESTION, PART, MARKS = r"^[ \t]*([0-9]{1,3})[ \t]*[.)\]]", r"^[ \t]*\(([a-z])\)", r"\([ \t]*([0-9]+([.][0-9]+)?)[ \t]*([mM][aA][rR][kK][sS]?)?[ \t]*\)"
-HEADING = r"^[ \t]*([uU][nN][iI][tT]|[cC][hH][aA][pP][tT][eE][rR]|[lL][eE][sS][sS][oO][nN]|[mM][oO][dD][uU][lL][eE]|[sS][eE][cC][tT][iI][oO][nN]|[tT][oO][pP][iI][cC]|[pP][aA][rR][tT])[ \t]*[0-9IVXilvx]+"
+QUESTION, PART, MARKS = r"^[ \t]*([0-9]{1,3})[ \t]*[.)\]]", r"^[ \t]*\(([a-z])\)", r"(?i)\([ \t]*([0-9]+([.][0-9]+)?)[ \t]*(marks?)?[ \t]*\)"
+HEADING = r"(?i)^[ \t]*(unit|chapter|lesson|module|section|topic|part)[ \t]*[0-9ivxl]+"
 # What a block's text says about its place in the layout.
 LAYOUT_HEADING = r"(?i)^[ \t]*(unit|chapter|lesson|module|section|topic|part)[ .\-:\t]*[0-9IVX]+"
 LAYOUT_NUMBER, LAYOUT_LETTER = r"^[ \t]*([0-9]{1,3})[.|\-) \t][ \t]", r"^[ \t]*([a-z][.)\-])[ \t]"

@@ -202,14 +202,6 @@ def json_of(text: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull() & (n("{") == n("}")) & (n("[") == n("]")), F.regexp_replace(body, r"^\s+|\s+$", ""))
 
 
-def restored_arrows(text: Column) -> Column:
-    """Chemical arrows and simple formulas: --> and -> become an arrow, H2O and CO2 their subscripts."""
-    out = F.regexp_replace(text, r"\s*-{1,2}>\s*", " → ")
-    for plain, real in (("H2O", "H₂O"), ("CO2", "CO₂"), ("O2", "O₂"), ("H2", "H₂"), ("N2", "N₂"), ("NH3", "NH₃"), ("CH4", "CH₄"), ("H2SO4", "H₂SO₄")):
-        out = F.regexp_replace(out, rf"\b{plain}\b", real)
-    return out
-
-
 def nearest(marks: DataFrame, words: DataFrame) -> DataFrame:
     """page, line, x of each mark with the nearest word before and behind it on its line, by running values over both: an as-of join without a range join. words: page, line, x, word."""
     both = marks.select("page", "line", "x", F.lit(None).cast("string").alias("word"), F.lit(1).alias("mark")).unionByName(words.select("page", "line", "x", "word", F.lit(0).alias("mark")))

@@ -548,4 +548,4 @@ def question_terms(spark, d):
     return views.table(spark, d, "benchmark").where("text IS NOT NULL").select("item_id", F.array_join(workflow.terms(F.col("text"), 5), ",").alias("terms"))
 
 
-from scholia.plans import kept, stored, worked  # noqa: E402,F401  they add their queries
+from scholia.plans import kept, stored, told, worked  # noqa: E402,F401  they add their queries

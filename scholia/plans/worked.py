@@ -198,7 +198,7 @@ def ordered_distinct(spark, d):
 
 @query
 def bloom_votes(spark, d):
-    levels = [v.split() for v in curriculum.BLOOM_VERBS.values()]
+    levels = list(curriculum.BLOOM_VERBS.values())
     verbs = F.array(*(F.get(F.array(*(F.lit(v) for v in level)), (F.col("p_partkey") % len(level)).cast("int")) for level in levels))
     used = F.slice(verbs, (1 + F.col("p_size") % 5).cast("int"), F.lit(2))
     return views.table(spark, d, "part").select("p_partkey", curriculum.bloom_of(used).alias("bloom"))

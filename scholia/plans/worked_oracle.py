@@ -21,7 +21,7 @@ def synonyms(t: str, sep: str = "','") -> str:
 
 def bloom() -> str:
     levels = list(BLOOM_VERBS)
-    verbs = [v.split() for v in BLOOM_VERBS.values()]
+    verbs = list(BLOOM_VERBS.values())
     first = {}
     for level, listed in zip(levels, verbs, strict=True):
         for v in listed:

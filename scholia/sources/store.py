@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -81,12 +82,11 @@ class Store:
 
     def _write(self, rows: DataFrame, touched: list[int], schema: StructType | None) -> None:
         number = self.number + 1
-        path = f"{self.root}/data/{number}"
-        if self.versions.exists(path):  # what a lost writer has left
-            self.versions.drop(path)
+        made = f"{number}-{uuid.uuid4().hex[:12]}"  # a folder of its own: another writer of this number is not disturbed
+        path = f"{self.root}/data/{made}"
         rows.write.partitionBy("bucket").parquet(path)
         there = set(self.versions.folders(path))
-        at = {b: made for b, made in self.state["at"].items() if int(b) not in set(touched)} | {str(b): number for b in touched if f"bucket={b}" in there}
+        at = {b: was for b, was in self.state["at"].items() if int(b) not in set(touched)} | {str(b): made for b in touched if f"bucket={b}" in there}
         state = self.state | {"at": at}
         if schema is not None:
             state["schema"] = schema.jsonValue()

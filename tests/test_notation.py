@@ -14,6 +14,11 @@ CASES = [
     ("the refractive index of glass is 3 4", "the refractive index of glass is ¾"),
     ("probability is 2 7 here, ratio 3 2", "probability is 2/7 here, ratio 3 2"),
     ("the cost is 2 3 rupees, CONCAVE, No CO", "the cost is 2 3 rupees, CONCAVE, No CO"),
+    ("a solution of Fe3+, Ca2+ and SO4-.", "a solution of Fe³⁺, Ca²⁺ and SO₄⁻."),
+    ("  two\nlines of CaCO3\n", "  two\nlines of CaCO₃\n"),
+    ("3x10 8 and 10 -9 N, 10 6 Hz", "3 × 10⁸ and 10⁻⁹ N, 10⁶ Hz"),
+    ("ratio = 1 2 3, odds 1 2", "ratio = 1 2 3, odds 1 2"),
+    ("x -> y, a - b, Na + Cl", "x -> y, a - b, Na + Cl"),
     ("", ""),
     (None, None),
 ]
@@ -28,3 +33,11 @@ def restored(spark):
 @pytest.mark.parametrize("i", range(len(CASES)))
 def test_restored(restored, i):
     assert restored[i] == CASES[i][1]
+
+
+def test_expression_stays_small():
+    """Steps are named once: the input stands in the expression only a few times."""
+    from pyspark.sql import SparkSession
+
+    assert SparkSession.getActiveSession() is not None
+    assert str(notation.restored(F.col("a_column_name"))).count("a_column_name") <= 5

@@ -35,5 +35,5 @@ def test_tables_and_text(spark):
     assert r.t == "good\n\nalso good"
     r = spark.createDataFrame([('text ```json\n{"a": 1}\n``` end',), ("no json",), ('x [1, 2] y',)], "t string").select(workflow.json_of(F.col("t")).alias("j")).collect()
     assert [x.j for x in r] == ['{"a": 1}', None, "[1, 2]"]
-    r = spark.range(1).select(workflow.restored_arrows(F.lit("2H2 + O2 --> H2O")).alias("a"), workflow.merged_beliefs(F.array(F.lit("force keeps motion going")), F.array(F.lit("force keeps motion going on"), F.lit("heavy things fall faster"))).alias("m")).first()
-    assert r.a == "2H2 + O₂ → H₂O" and r.m == ["force keeps motion going", "heavy things fall faster"]
+    r = spark.range(1).select(workflow.merged_beliefs(F.array(F.lit("force keeps motion going")), F.array(F.lit("force keeps motion going on"), F.lit("heavy things fall faster"))).alias("m")).first()
+    assert r.m == ["force keeps motion going", "heavy things fall faster"]
