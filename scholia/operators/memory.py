@@ -128,35 +128,3 @@ def day_plan(forecasts: DataFrame, efficacy: DataFrame, mastered: DataFrame, *,
     blocks = joined.select("learner_id", "concept_id", kind.alias("kind"), priority.alias("priority")).where("kind <> 'recap'")
     order = Window.partitionBy("learner_id").orderBy(F.desc(F.round(F.col("priority") * weight, 6)), "concept_id")
     return blocks.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= capacity // 5)
-
-
-#: The grid of the surrogate fit: recall, lapse and review-scaling factors.
-GRID = tuple((1.0 + 0.25 * a, 0.2 + 0.1 * b) for a in range(1, 13) for b in range(6))
-
-
-def fit(events: DataFrame, refinements: int = 3) -> DataFrame:
-    """For each learner the (growth, lapse) pair whose predicted recall has the least squared error on their answers: the best of GRID, then of its
-    eight neighbours at half the grid's steps, and so on, each round at half the steps of the one before.
-
-    The prediction of an answer is e^(-days/S) with S folded over the answers before it. Columns: growth, lapse, loss, default_loss.
-    """
-    chains = events.where("kind = 'answer' AND outcome IS NOT NULL").groupBy("learner_id", "concept_id").agg(F.array_sort(F.collect_list(F.struct("t_us", "seq", "outcome"))).alias("h")).where(F.size("h") > 1)
-    zero = F.struct(F.lit(1.0).alias("s"), F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("loss"), F.lit(0).cast("long").alias("n"))
-
-    def step(s: Column, x: Column) -> Column:
-        seen = s["t"] > 0
-        error = F.exp(-F.greatest(F.lit(0.0), (x["t_us"] - s["t"]) / DAY_US) / s["s"]) - x["outcome"]
-        return F.struct(_between(F.when(x["outcome"] >= 0.5, s["s"] * F.col("p.growth")).otherwise(s["s"] * F.col("p.lapse")), 0.1, 36500.0).alias("s"), x["t_us"].alias("t"), (s["loss"] + F.when(seen, error * error).otherwise(0.0)).alias("loss"), (s["n"] + F.when(seen, 1).otherwise(0)).cast("long").alias("n"))
-
-    def losses(each: DataFrame) -> DataFrame:
-        return each.withColumn("r", F.aggregate("h", zero, step)).groupBy("learner_id", "p").agg((F.sum("r.loss") / F.sum("r.n")).alias("loss"))
-
-    least = F.min(F.struct("loss", F.col("p.growth").alias("growth"), F.col("p.lapse").alias("lapse"))).alias("b")
-    grid = F.array(*[F.struct(F.lit(a).alias("growth"), F.lit(b).alias("lapse")) for a, b in GRID])
-    default = (F.col("p.growth") == GRID[5][0]) & (F.col("p.lapse") == GRID[5][1])
-    best = losses(chains.select("learner_id", "h", F.explode(grid).alias("p"))).groupBy("learner_id").agg(least, F.max(F.when(default, F.col("loss"))).alias("default_loss"))
-    for k in range(1, refinements + 1):
-        near = F.array(*[F.struct(F.greatest(F.lit(1.0), F.col("b.growth") + 0.25 * i / 2**k).alias("growth"), F.greatest(F.lit(0.05), F.col("b.lapse") + 0.1 * j / 2**k).alias("lapse")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        tried = losses(chains.join(best.select("learner_id", "b"), "learner_id").select("learner_id", "h", F.explode(F.array_distinct(near)).alias("p"))).groupBy("learner_id").agg(least)
-        best = tried.join(best.select("learner_id", "default_loss"), "learner_id")
-    return best.select("learner_id", "b.growth", "b.lapse", "b.loss", "default_loss")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import text as X
-from scholia.operators import assessment, curriculum, graph, learners, memory, retrieval, workflow
+from scholia.operators import assessment, curriculum, fitting, graph, learners, memory, retrieval, workflow
 from scholia.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,7 +165,7 @@ def daily_blocks(spark, d):
 
 @query
 def fsrs_fit(spark, d):
-    return memory.fit(views.sequenced(spark, d))
+    return fitting.fit(views.sequenced(spark, d))
 
 
 @query

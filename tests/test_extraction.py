@@ -115,32 +115,3 @@ def test_long_chain_of_levels_and_phrases(spark):
     chunks = spark.createDataFrame([("1:0", 1, "h", "of the thing. OF-THE end"), ("1:1", 1, "of the", "none"), ("1:2", 1, None, "often the")], "id string, document_id long, heading string, text string")
     phrases = spark.createDataFrame([("of the",), ("thing",), ("!",)], "phrase string")
     assert {(r.phrase, r.id) for r in retrieval.phrase_hits(chunks, phrases).collect()} == {("of the", "1:0"), ("of the", "1:1"), ("thing", "1:0")}
-
-
-def test_fit_against_brute_force(spark):
-    rng = random.Random(4)
-    rows = [(learner, i, f"c{c}", "answer", rng.choice([0.0, 1.0, 1.0, 0.6]), 1 + 86_400_000_000 * (3 * i + c)) for learner in range(3) for c in range(2) for i in range(1, 7)]
-    events = spark.createDataFrame(rows, "learner_id long, seq long, concept_id string, kind string, outcome double, t_us long")
-
-    def loss(learner, growth, lapse):
-        total, n = 0.0, 0
-        for c in ("c0", "c1"):
-            s, last = 1.0, None
-            for _, _, _, _, o, t in sorted((r for r in rows if r[0] == learner and r[2] == c), key=lambda r: r[5]):
-                if last is not None:
-                    total += (math.exp(-(t - last) / 86_400_000_000 / s) - o) ** 2
-                    n += 1
-                s, last = min(36500.0, max(0.1, s * (growth if o >= 0.5 else lapse))), t
-        return total / n
-
-    coarse = {r.learner_id: r for r in memory.fit(events, 0).collect()}
-    for r in memory.fit(events).collect():
-        grid = {(g, x): loss(r.learner_id, g, x) for g, x in memory.GRID}
-        first = coarse[r.learner_id]
-        assert first.loss == pytest.approx(min(grid.values())) and r.loss <= first.loss + 1e-12
-        b = (first.growth, first.lapse)
-        for k in (1, 2, 3):
-            b = min(((max(1.0, b[0] + 0.25 * i / 2**k), max(0.05, b[1] + 0.1 * j / 2**k)) for i in (-1, 0, 1) for j in (-1, 0, 1)), key=lambda p: (loss(r.learner_id, *p), p))
-        assert r.loss == pytest.approx(loss(r.learner_id, *b))
-        assert r.loss <= min(grid.values()) + 1e-12 and r.loss == pytest.approx(loss(r.learner_id, r.growth, r.lapse))
-        assert r.default_loss == pytest.approx(loss(r.learner_id, *memory.GRID[5])) and r.loss <= r.default_loss
