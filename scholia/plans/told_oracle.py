@@ -10,4 +10,14 @@ SQL = {
 WITH x AS (SELECT p_partkey, 2 + p_size % 7 AS n, 1 + p_size % 3 AS a, 2 + p_size % 3 + p_partkey % 4 AS b, ['cm', 'kg', 's'][p_partkey % 3 + 1] AS unit FROM part)
 SELECT p_partkey, 'C' || {_BELOW.format('n')} || 'H' || {_BELOW.format('n + 1')} || 'OH  ⇌  H' || {_BELOW.format('n')} || 'SO₄ in a reaction of Fe' || {_ABOVE.format('n')} || '⁺, 3 × 10' || {_ABOVE.format('n')} || ' m/s, '
   || n || ' ' || unit || '², the ratio of glass is ' || {_FRACTION} || '.' AS text FROM x""",
+    "page_blocks": """
+WITH x AS (SELECT l_orderkey AS page, l_orderkey % 3 AS kind_of, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS n, l_partkey FROM lineitem),
+lone AS (SELECT page, count(*) AS size, count(*) FILTER (n % 2 = 1) AS right_lines, count(*) FILTER (n > 0) AS more FROM x GROUP BY page),
+b AS (
+  SELECT page, n % 2 AS block, n AS line, 't' || l_partkey AS text, chr(10) AS joint, 'paragraph' AS kind FROM x WHERE kind_of = 0
+  UNION ALL SELECT page, n // 3, n, 't' || l_partkey, CASE WHEN more > 0 THEN ' | ' ELSE chr(10) END, CASE WHEN more > 0 THEN 'row' ELSE 'paragraph' END FROM x JOIN lone USING (page) WHERE kind_of = 1
+  UNION ALL SELECT page, CASE WHEN n = 0 THEN 0 WHEN n <= 3 THEN 1 ELSE 2 END, n, CASE WHEN n > 0 THEN 'line ' ELSE 't' END || l_partkey, chr(10), 'paragraph' FROM x WHERE kind_of = 2),
+g AS (SELECT page, block, any_value(kind) AS kind, CASE any_value(joint) WHEN ' | ' THEN array_to_string(list(text ORDER BY line), ' | ') ELSE array_to_string(list(text ORDER BY line), chr(10)) END AS text FROM b GROUP BY page, block),
+p AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY block) - 1 AS INTEGER) AS place, kind, text FROM g)
+SELECT page, place, CASE WHEN place = 0 AND kind = 'paragraph' AND length(text) < 120 AND NOT contains(text, ' ') THEN 'heading' ELSE kind END AS kind, text FROM p""",
 }
