@@ -1,5 +1,38 @@
 """SQL of the queries in `told`."""
 
+from scholia.operators.curriculum import BLOOM_VERBS
+from scholia.operators.outcomes import JUNK, NO_PREREQUISITE, STATEMENTS
+from scholia.plans import oracle
+
+_LEVELS = list(BLOOM_VERBS)
+_FIRST = {v: _LEVELS.index(level) for level in reversed(_LEVELS) for v in BLOOM_VERBS[level]}
+_VERBS = ("define", "explain", "solve", "compare", "examine", "justify", "design", "support", "state", "imagine", "discuss")
+_ODD = ("school", "life", "size", "page")
+
+
+def _listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_CHUNKS = oracle.CHUNKS + f""",
+ch1 AS (SELECT * REPLACE (concat_ws(' ', text, [{_listed(_VERBS)}][document_id % {len(_VERBS)} + 1], [{_listed(_ODD)}][document_id % {len(_ODD)} + 1]) AS text) FROM ch)"""
+_LABELS = ", ".join([oracle.LABELS, *(f"('{x}')" for x in _ODD)])
+_FOUND = oracle.FOUND.replace("WT", "1").replace("WB", "2").replace("FROM ch)", "FROM ch1)")
+_FOUND = _FOUND.replace(f"(VALUES {oracle.LABELS})", f"(SELECT label FROM (VALUES {_LABELS}) x(label) WHERE label NOT IN ({_listed(JUNK)}))")
+_FOUND = _FOUND.rsplit("vw AS (", 1)[0] + "vw0 AS (" + _FOUND.rsplit("vw AS (", 1)[1] + f", vw AS (SELECT * FROM vw0 WHERE prerequisite NOT IN ({_listed(NO_PREREQUISITE)}))"
+_PROFILES = oracle.w(_CHUNKS, _FOUND) + f""",
+vb AS (SELECT id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS v FROM ch1),
+lv AS (SELECT label, CASE v {" ".join(f"WHEN '{v}' THEN {i}" for v, i in _FIRST.items())} END AS l FROM fo JOIN vb USING (id)),
+ln2 AS (SELECT label, l, count(*) AS n FROM lv WHERE l IS NOT NULL GROUP BY ALL),
+bl AS (SELECT label, [{_listed(_LEVELS)}][max_by(l, (n, l)) + 1] AS bloom FROM ln2 GROUP BY label),
+by_ AS (SELECT label, count(*) AS chunks, count(DISTINCT document_id) AS documents FROM fo GROUP BY label),
+np AS (SELECT concept AS label, count(*) AS prerequisites FROM vw GROUP BY ALL),
+jo AS (SELECT label, chunks, documents, coalesce(prerequisites, 0) AS prerequisites, coalesce(bloom, 'understand') AS bloom FROM by_ LEFT JOIN np USING (label) LEFT JOIN bl USING (label)),
+df AS (SELECT *, greatest(1.0, least(5.0, round_even(CASE bloom WHEN 'remember' THEN 1.0 WHEN 'analyze' THEN 3.0 WHEN 'evaluate' THEN 4.0 WHEN 'create' THEN 4.0 ELSE 2.0 END
+  + CASE WHEN chunks < 3 THEN 1.0 WHEN chunks < 8 THEN 0.5 ELSE 0.0 END - CASE WHEN documents >= 3 THEN 0.5 ELSE 0.0 END + CASE WHEN prerequisites >= 8 THEN 1.0 WHEN prerequisites >= 4 THEN 0.5 ELSE 0.0 END, 0))) AS difficulty FROM jo),
+pr AS (SELECT *, 0.5 * difficulty + 0.5 AS hours, 'lo:' || substr(sha1(bloom || ':' || label), 1, 16) AS outcome_id,
+  CASE bloom {" ".join(f"WHEN '{level}' THEN replace('{said}', '%s', label)" for level, said in STATEMENTS.items())} END AS statement FROM df)"""
+
 _BELOW = "translate(CAST({} AS VARCHAR), '0123456789', '₀₁₂₃₄₅₆₇₈₉')"
 _ABOVE = "translate(CAST({} AS VARCHAR), '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹')"
 _SIGNS = {"1 2": "½", "1 3": "⅓", "2 3": "⅔", "1 4": "¼", "3 4": "¾", "1 5": "⅕", "2 5": "⅖", "3 5": "⅗", "1 6": "⅙"}
@@ -20,4 +53,7 @@ b AS (
 g AS (SELECT page, block, any_value(kind) AS kind, CASE any_value(joint) WHEN ' | ' THEN array_to_string(list(text ORDER BY line), ' | ') ELSE array_to_string(list(text ORDER BY line), chr(10)) END AS text FROM b GROUP BY page, block),
 p AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY block) - 1 AS INTEGER) AS place, kind, text FROM g)
 SELECT page, place, CASE WHEN place = 0 AND kind = 'paragraph' AND length(text) < 120 AND NOT contains(text, ' ') THEN 'heading' ELSE kind END AS kind, text FROM p""",
+    "outcome_profiles": _PROFILES + " SELECT label, chunks, documents, prerequisites, bloom, CAST(difficulty AS DOUBLE) AS difficulty, CAST(hours AS DOUBLE) AS hours, outcome_id, statement FROM pr",
+    "outcome_layer": _PROFILES + " SELECT 'MAPS_TO' AS type, label AS source, outcome_id AS target, CAST(1 AS DOUBLE) AS weight FROM pr UNION ALL SELECT 'PREREQUISITE_OF', a.outcome_id, b.outcome_id, least(1.0, round(score, 4)) FROM vw JOIN pr a ON a.label = prerequisite JOIN pr b ON b.label = concept",
+    "subject_concepts": _PROFILES + ", su AS (SELECT label, heading AS subject, count(*) AS chunks FROM fo GROUP BY ALL) SELECT subject, rank, label, chunks, bloom FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY chunks DESC, label) AS rank FROM (SELECT su.*, pr.bloom FROM su JOIN pr USING (label))) WHERE rank <= 3",
 }
