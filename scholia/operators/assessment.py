@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import text as X
+from scholia.sources import shared
 
 NEAR = 0.75
 # Sections of a default paper: label, marks a question, share of the marks, difficulties.
@@ -53,7 +54,9 @@ def near_pairs(rows: DataFrame, text: str, row_id: str, threshold: float = NEAR)
     shared word in both sets bounds their common words. Rows of under 4 words have no part.
     """
     sets = _word_sets(rows, text, row_id).where(F.size("words") >= 4)
-    classes = sets.select("id", F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias("words")).groupBy("words").agg(F.min("id").alias("id"))
+    hashed = sets.select("id", F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias("words"))
+    # written once: the prefixes and both sides of the check read it
+    classes = shared.written(hashed.groupBy(F.sha2(F.array_join("words", " "), 256).alias("digest")).agg(F.min("id").alias("id"), F.any_value("words").alias("words")).drop("digest"))
     listed = classes.select("id", F.explode("words").alias("w"))
     df = listed.groupBy("w").agg(F.count("*").alias("df"))
     ranked = listed.join(df, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))

@@ -188,7 +188,7 @@ def difficulty_of(bloom: Column, occurrences: Column, documents: Column, prerequ
 
 
 def profiles(found: DataFrame, voted: DataFrame) -> DataFrame:
-    """label, chunks, documents, bloom (by its page's place in the Bloom order), difficulty and hours of each label: the outcome layer's rows."""
+    """label, chunks, documents, difficulty and hours of each label, all of them taken as understood; `outcomes.profiles` has the Bloom level of their texts."""
     by = found.groupBy("label").agg(F.count("*").alias("chunks"), F.count_distinct("document_id").alias("documents"))
     n = voted.groupBy(F.col("concept").alias("label")).agg(F.count("*").alias("prerequisites"))
     joined = by.join(n, "label", "left").fillna(0, ["prerequisites"])

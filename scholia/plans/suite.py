@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import text as X
 from scholia.operators import assessment, curriculum, fitting, graph, learners, memory, retrieval, workflow
-from scholia.sources import views
+from scholia.sources import shared, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEARCHES = ((1, "the idiot of things"), (2, "theory and nation src3"), (3, "la tion des"), (4, "version license public"))
@@ -45,7 +45,8 @@ def _questions(spark: SparkSession) -> DataFrame:
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    return curriculum.occurrences(views.chunks(spark, d), spark.createDataFrame([(x,) for x in LABELS], "label string"))
+    """Written once: each criterion of a vote counts the occurrences anew."""
+    return shared.written(curriculum.occurrences(views.chunks(spark, d), spark.createDataFrame([(x,) for x in LABELS], "label string")))
 
 
 def _forward(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from scholia.operators.curriculum import BLOOM_VERBS
 from scholia.operators.outcomes import JUNK, NO_PREREQUISITE, STATEMENTS
-from scholia.plans import oracle
+from scholia.plans import oracle, stored_oracle
 
 _LEVELS = list(BLOOM_VERBS)
 _FIRST = {v: _LEVELS.index(level) for level in reversed(_LEVELS) for v in BLOOM_VERBS[level]}
@@ -38,6 +38,18 @@ _ABOVE = "translate(CAST({} AS VARCHAR), '0123456789', '⁰¹²³⁴⁵⁶⁷⁸
 _SIGNS = {"1 2": "½", "1 3": "⅓", "2 3": "⅔", "1 4": "¼", "3 4": "¾", "1 5": "⅕", "2 5": "⅖", "3 5": "⅗", "1 6": "⅙"}
 _FRACTION = "CASE a || ' ' || b " + " ".join(f"WHEN '{pair}' THEN '{sign}'" for pair, sign in _SIGNS.items()) + " ELSE a || '/' || b END"
 
+def _hybrid() -> str:
+    """The plain hybrid search, with what the anchors give in place of numbers."""
+    met = oracle.FOUND.split(",\nfp AS")[0].strip()
+    anchors = f"""{met},
+nb AS (SELECT DISTINCT a AS label FROM co WHERE n >= 2),
+kq AS (SELECT query_id, unnest((list_filter(regexp_extract_all(lower(query), '([a-z0-9]+)', 1), lambda t: t NOT IN ('the','a','an','of','in','for','on','what','how','why','is','are','to','and','or','explain','define','list','state','describe')))[1:3]) AS label FROM qs),
+an AS (SELECT query_id, least(0.2, 0.05 * count(DISTINCT label)) AS extra FROM kq JOIN lb USING (label) JOIN nb USING (label) GROUP BY query_id),
+ff AS ("""
+    extra = "coalesce((SELECT extra FROM an WHERE an.query_id = ff.query_id), 0.0)"
+    return stored_oracle.SQL["hybrid_graph_search"].replace("ff AS (", anchors, 1).replace("CASE query_id WHEN 1 THEN 0.1 WHEN 2 THEN 0.2 ELSE 0.0 END", extra, 1)
+
+
 SQL = {
     "restored_notation": f"""
 WITH x AS (SELECT p_partkey, 2 + p_size % 7 AS n, 1 + p_size % 3 AS a, 2 + p_size % 3 + p_partkey % 4 AS b, ['cm', 'kg', 's'][p_partkey % 3 + 1] AS unit FROM part)
@@ -56,4 +68,5 @@ SELECT page, place, CASE WHEN place = 0 AND kind = 'paragraph' AND length(text)
     "outcome_profiles": _PROFILES + " SELECT label, chunks, documents, prerequisites, bloom, CAST(difficulty AS DOUBLE) AS difficulty, CAST(hours AS DOUBLE) AS hours, outcome_id, statement FROM pr",
     "outcome_layer": _PROFILES + " SELECT 'MAPS_TO' AS type, label AS source, outcome_id AS target, CAST(1 AS DOUBLE) AS weight FROM pr UNION ALL SELECT 'PREREQUISITE_OF', a.outcome_id, b.outcome_id, least(1.0, round(score, 4)) FROM vw JOIN pr a ON a.label = prerequisite JOIN pr b ON b.label = concept",
     "subject_concepts": _PROFILES + ", su AS (SELECT label, heading AS subject, count(*) AS chunks FROM fo GROUP BY ALL) SELECT subject, rank, label, chunks, bloom FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY chunks DESC, label) AS rank FROM (SELECT su.*, pr.bloom FROM su JOIN pr USING (label))) WHERE rank <= 3",
+    "hybrid_anchored": _hybrid(),
 }
