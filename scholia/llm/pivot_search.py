@@ -13,6 +13,7 @@ dimension); which rows they are changes the work, not the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ MOST_BOUNDS = 4_000_000
 #: Products below 2**53 are exact in floating point.
 EXACT = float(1 << 53)
 NO_SCORE = -(1 << 62)
+LONG = (1 << 63) - 1
 
 
 def _rows(column: pa.Array, dim: int) -> np.ndarray:
@@ -45,11 +47,7 @@ def _integers(scale: int):
             column = b.column("v")
             offsets = column.offsets.to_numpy().astype(np.int64)
             values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            scaled = np.floor(values * scale)
-            # a sum of products has to fit in a long, as the scores do
-            if len(scaled) and float(np.abs(scaled).max()) ** 2 * int(np.diff(offsets).max()) >= 2.0**62:
-                raise ValueError("components are too large for scores of 64 bits")
-            whole = scaled.astype(np.int64)
+            whole = np.floor(values * scale).astype(np.int64)  # of narrow vectors: a sum of products fits in a long
             norm = np.add.reduceat(np.append(whole * whole, 0), np.minimum(offsets[:-1], len(whole)))
             norm[np.diff(offsets) == 0] = 0
             raw = [whole[i:j].astype("<i8").tobytes() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -205,11 +203,16 @@ def top(vectors: DataFrame, vector: str, row_id: str, queries: Column, k: int, *
 
     Null vectors, ones that hold a null or a non-finite component, and rows without an id take no part. Vectors are compared with those of
     their own length. Rows with the query's id are its own and no candidates; repeated rows count once. An
-    empty table gives no rows. Components so large that a score might not fit in 64 bits raise an error.
+    empty table gives no rows. Vectors of components so large that a score might not fit in a long (and only these) meet the queries
+    block by block in whole numbers of any length; a score beyond a long counts as the largest or smallest long.
     """
     spark = vectors.sparkSession
-    good = F.col(row_id).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = F.col(row_id).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x).cast("double") * scale < float("inf")))
     source = vectors.where(good).select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    fits = F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0.0)) * scale + 1 < F.sqrt(F.lit(2.0**62) / F.greatest(F.size("v"), F.lit(1)))
+    all_rows, wide = source, source.where(~fits)
+    source = source.where(fits)
+    beyond = None if wide.isEmpty() else _wide(all_rows, wide, fits, k, scale)
     whole = written(source.select("id", "v").mapInArrow(_integers(scale), "id long, dim int, norm long, v binary"))
     asked = source.where("asks").select("id", "v").mapInArrow(_integers(scale), "id long, dim int, norm long, v binary")
     stats = whole.groupBy("dim").agg(F.max("norm").alias("most"), F.count("*").alias("n")).collect()  # a row for each length of vectors
@@ -242,4 +245,43 @@ def top(vectors: DataFrame, vector: str, row_id: str, queries: Column, k: int, *
     listed = packs.select("pack", "dim", "ids", "vs").mapInArrow(_unpacked, "pack long, dim int, ids binary, vs binary, id_list array<long>")
     floored = _with_floors(listed, first, k).mapInArrow(_floor_bytes, "dim int, ids binary, vs binary, floors binary")
     rest = floored.mapInArrow(_visits(shared, shells, most, True), visit_schema).join(held, "block").mapInArrow(_found(k), result_schema)
-    return _best(first.select("query_id", "vec_id", "score").unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
+    found = first.select("query_id", "vec_id", "score").unionByName(rest)
+    return _best(found if beyond is None else found.unionByName(beyond), k).select("query_id", "rank", "vec_id", "score")
+
+
+#: Queries and vectors of a block where one side is wide.
+WIDE_QUERIES, WIDE_VECTORS = 16, 64
+
+
+def _wide(rows: DataFrame, wide: DataFrame, fits: Column, k: int, scale: int) -> DataFrame:
+    """query_id, vec_id, score of each query's k best among the pairs of which one side is wide: queries by wide vectors, and wide queries by the others, in blocks."""
+
+    def blocks(some: DataFrame, size: int, name: str) -> DataFrame:
+        numbered = written(some.select("id", F.size("v").alias("dim"), "v").withColumn("block", F.monotonically_increasing_id()))
+        return numbered.groupBy("dim", (F.floor(F.col("block") / size)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias(name)).select("dim", name)
+
+    asked = rows.where("asks")
+    sides = ((asked, wide), (asked.where(~fits), rows.where(fits)))
+    found = None
+    for queries, vectors in sides:
+        both = blocks(queries, WIDE_QUERIES, "q").join(blocks(vectors, WIDE_VECTORS, "x"), "dim").drop("dim").mapInArrow(_wide_found(k, scale), "query_id long, vec_id long, score long")
+        found = both if found is None else found.unionByName(both)
+    return found
+
+
+def _wide_found(k: int, scale: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = lambda v: [math.floor(scale * x) for x in v]
+        for b in batches:
+            for at in range(b.num_rows):
+                r = b.slice(at, 1).to_pylist()[0]
+                vectors = [(x["id"], whole(x["v"])) for x in r["x"]]
+                out = []
+                for q in r["q"]:
+                    own = whole(q["v"])
+                    scored = {(sum(a * c for a, c in zip(own, v, strict=True)), i) for i, v in vectors if i != q["id"]}
+                    best = sorted((-min(LONG, max(-LONG - 1, s)), i) for s, i in scored)[:k]
+                    out += [(q["id"], i, -s) for s, i in best]
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+
+    return run

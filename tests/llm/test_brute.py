@@ -162,10 +162,20 @@ def test_lookup_of_frequent_keys(spark, monkeypatch):
     assert got == {(i, 0 if i % 2 else i * 10) for i in range(50) if i != 4}
 
 
-def test_large_components_raise(spark):
-    df = spark.createDataFrame([(0, [1e12, 1.0]), (50, [2.0, 3.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="too large"):
-        pivot_search.top(df, "embedding", "vec_id", F.col("vec_id") % 50 == 0, 5).collect()
+def test_large_components_meet_in_whole_numbers(spark):
+    """Vectors whose scores may pass a long stand beside ordinary ones, as queries and as candidates."""
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(120)]
+    rows += [(200 + i, [rng.choice([1e9, -3e12, 2e15]) * rng.random(), 1.0, rng.gauss(0, 1)]) for i in range(12)] + [(250, [4e14, -2.0, 1e3]), (300, [1e300, 0.0, 0.0]), (301, [1e308, 0.0, 0.0]), (302, [5e12, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in pivot_search.top(df, "embedding", "vec_id", F.col("vec_id") % 50 == 0, 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows if all(math.isfinite(256 * x) for x in v)}
+    for q in (0, 50, 100, 200, 250, 300):
+        scored = [(-min((1 << 63) - 1, max(-(1 << 63), sum(a * b for a, b in zip(whole[q], v)))), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(sorted(scored)[:5])], q
+    assert set(got) == {0, 50, 100, 200, 250, 300}
 
 
 def brute_posteriors(patterns, counts, prior, rounds=60):
