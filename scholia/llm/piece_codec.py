@@ -34,6 +34,7 @@ def _encoded(path: str | None):
                     same &= np.array([np.array_equal(back[p:q], part[r:s]) for p, q, r, s in zip(back_at[:-1], back_at[1:], bounds[:-1], bounds[1:], strict=True)])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), lists, pa.array(np.diff(at)), pa.array(same)], names=["id", "ids", "n_tokens", "exact"])
+            pa.default_memory_pool().release_unused()  # what a batch of long texts needed isn't held for the next
 
     return run
 

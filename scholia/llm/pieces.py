@@ -24,7 +24,7 @@ MOST_STATES = 60_000
 MOST_MOVES = 240_000
 MOST_PAIRS = 300_000
 #: Bytes of the words that a worker keeps, and of an entry besides its ids.
-MOST_KEPT, ENTRY = 64 << 20, 150
+MOST_KEPT, ENTRY = 24 << 20, 150
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
 
