@@ -24,7 +24,7 @@ MOST_STATES = 60_000
 MOST_MOVES = 240_000
 MOST_PAIRS = 300_000
 #: Bytes of the words that a worker keeps, and of an entry besides its ids.
-MOST_KEPT, ENTRY = 24 << 20, 150
+MOST_KEPT, ENTRY = 64 << 20, 150
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
 
@@ -310,9 +310,10 @@ class Stream:
 class Words:
     """A worker's automaton and the words it has segmented, bounded by their bytes; over whole texts, in batches."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = MOST_KEPT) -> None:
         self.v = Vocabulary(path)
         self.a = Automaton(self.v)
+        self.most = most
         self.known: dict[int, bytes] = {}  # ids of words, four bytes each
         self.kept = 0
         self._runs: dict[int, list[int]] = {}
@@ -376,7 +377,7 @@ class Words:
         run = self._before(starts, owner, runs, offsets)
         keys, number, first = self._distinct(data, starts, ends, run >= 0)
         known = self.known
-        if self.kept > MOST_KEPT:
+        if self.kept > self.most:
             known.clear()
             self.kept = 0
         missing = [i for i, k in enumerate(keys) if k not in known]
@@ -424,9 +425,9 @@ class Words:
         return data, out
 
 
-def words(path: str) -> Words:
-    """This worker's words for a vocabulary file."""
-    return T.kept(f"words {path}", lambda: Words(path))
+def words(path: str, most: int = MOST_KEPT) -> Words:
+    """This worker's words for a vocabulary file, of which it keeps about `most` bytes."""
+    return T.kept(f"words {path} {most}", lambda: Words(path, most))
 
 
 def plain(column: pa.Array) -> pa.Array:
