@@ -3,7 +3,8 @@
 Each URL becomes expressions, a suffix of its host followed by a prefix of its path; rules
 are expressions too. Expressions meet rules in an equi-join on the first 32 bits of their
 SHA-256, full digests confirm, and the longest rule wins (block before allow between equal
-ones). Only suffixes of as many labels, and path prefixes of as many characters, as some rule
+ones). A site that many rows have is no hot key: frequent ones are joined by a broadcast.
+Only suffixes of as many labels, and path prefixes of as many characters, as some rule
 has are made; both lists are short however many rules there are. DataFrame functions only.
 """
 
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.llm._spark import looked_up, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -48,12 +51,23 @@ def judged(pages: DataFrame, url: str, rules: DataFrame, *, default: str = "allo
     parsed = pages.select(*rest, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     if not labels:
         return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    sites = parsed.select("host", "path").distinct()
+    # a path is empty or begins with the / that ends its host, so both in one are still told apart
+    site = F.concat("host", "path")
+    sites = parsed.select("host", "path").groupBy(site.alias("site"), "host", "path").agg(F.count("*").alias("times"))
     parts = F.split("host", r"\.")
     suffixes = F.array_compact(F.array(*(F.when(F.size(parts) >= n, F.array_join(F.slice(parts, -n, n), ".")) for n in labels)))
     prefixes = F.array_compact(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)))
-    expanded = sites.withColumn("suffix", F.explode(suffixes)).withColumn("prefix", F.explode(prefixes))
-    expanded = expanded.withColumn("digest", _digest(F.concat("suffix", "prefix"))).select("host", "path", F.substring("digest", 1, 8).alias("short"), "digest")
-    hits = expanded.join(hashed, "short").where("digest = r_digest")
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("r_verdict") == "block").alias("blocks"), "rule", "r_verdict")).alias("best"))
-    return parsed.join(best, ["host", "path"], "left").select(*rest, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
+    expressions = F.when((F.size(suffixes) > 0) & (F.size(prefixes) > 0), F.flatten(F.transform(suffixes, lambda x: F.transform(prefixes, lambda y: F.concat(x, y)))))
+    expanded = sites.select("site", "times", F.explode_outer(expressions).alias("expression")).withColumn("digest", _digest(F.col("expression")))
+    hits = expanded.withColumn("short", F.substring(F.coalesce("digest", _digest(F.col("site"))), 1, 8)).join(hashed, "short", "left")
+    fits = F.struct(F.length("rule").alias("n"), (F.col("r_verdict") == "block").alias("blocks"), "rule", "r_verdict")
+    best = hits.groupBy("site").agg(F.max(F.when(F.col("digest") == F.col("r_digest"), fits)).alias("best"), F.max("times").alias("times"))
+    name = _unused(parsed, "site")
+    judged = looked_up(parsed.withColumn(name, site), written(best.withColumnRenamed("site", name).withColumnsRenamed({"best": _unused(parsed, "best"), "times": _unused(parsed, "times")})), name, _unused(parsed, "times"))
+    best = F.col(_unused(parsed, "best"))
+    return judged.select(*rest, "host", "path", best["rule"].alias("rule"), F.coalesce(best["r_verdict"], F.lit(default)).alias("verdict"))
+
+
+def _unused(rows: DataFrame, name: str) -> str:
+    """The name, with underscores that no column's name is as long as."""
+    return "_" * max((len(c) for c in rows.columns), default=0) + name

@@ -26,6 +26,10 @@ def test_url_rules(spark):
         fits = [(len(h + p), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fits, default=(0, None, "allow"))
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, best[1], best[2])
+    # most rows are of few sites, and columns have the names of the operator's own
+    many = spark.range(3000).selectExpr("id AS page_id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'http://c.com/de/x' ELSE concat('http://h', id, '.org/es/') END AS url", "id AS site", "id AS times", "id AS best", "id AS short")
+    got = {(r.page_id % 3, r.rule, r.verdict, r.site == r.page_id) for r in url_rules.judged(many, "url", spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert got == {(0, None, "allow", True), (1, "com/de/", "block", True), (2, "org/", "allow", True)}
     none = url_rules.judged(pages, "url", spark.createDataFrame([], "host string, path string, verdict string"))
     assert none.where("verdict = 'allow' AND rule IS NULL").count() == len(urls)
     assert url_rules.judged(pages.limit(0), "url", spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
