@@ -73,4 +73,11 @@ SELECT page, place, CASE WHEN place = 0 AND kind = 'paragraph' AND length(text)
 WITH x AS (SELECT doc_id, doc_id % 5 AS k FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
 SELECT doc_id, CASE k WHEN 0 THEN 2 WHEN 3 THEN 3 END::BIGINT AS members, CASE WHEN k IN (0, 3) THEN k = 3 END AS macros, CASE k WHEN 1 THEN 'corrupt word/stored.txt' WHEN 2 THEN 'truncated' WHEN 4 THEN 'no archive' END AS problem,
   CASE WHEN k IN (0, 3) THEN 2 END::BIGINT AS members_left, CASE WHEN k IN (0, 3) THEN false END AS macros_left FROM x""",
+    "marking_rules": """
+WITH t AS (SELECT l_orderkey AS k, l_linenumber AS p, CASE WHEN l_linenumber <= 4 THEN 1 + (l_orderkey % 50 + l_linenumber) % 3 ELSE 1 END AS most, l_linestatus = 'F' AS given, CASE WHEN l_returnflag <> 'A' THEN CAST(floor(l_quantity) AS INT) % 6 - 1 END AS marks FROM lineitem),
+s AS (SELECT k, sum(greatest(0, least(coalesce(marks, CASE WHEN given THEN most ELSE 0 END), most))) AS total, count(DISTINCT CASE WHEN p <= 4 THEN p END) AS met FROM t GROUP BY k),
+r AS (SELECT o_orderkey AS k, o_orderkey % 11 = 0 AS blank, o_orderkey % 13 <> 0 AS graded, o_orderkey % 11 <> 0 AND o_orderkey % 7 = 0 AS doubt, least(1.0, (o_orderkey % 130) / 100) AS c, coalesce(total, 0) AS total, coalesce(met, 0) AS met FROM orders LEFT JOIN s ON k = o_orderkey),
+v AS (SELECT *, CASE WHEN blank OR NOT graded THEN 0 ELSE least(total, 5) END AS awarded, CAST(CASE WHEN blank THEN 0.95 WHEN NOT graded THEN 0.0 WHEN doubt THEN least(c, 0.65) ELSE c END AS DOUBLE) AS confidence FROM r)
+SELECT k AS answer_id, CAST(awarded AS BIGINT) AS awarded, CAST(CASE WHEN blank OR NOT graded THEN 0 ELSE 4 - met END AS BIGINT) AS omitted,
+  CASE WHEN blank THEN 'blank' WHEN NOT graded THEN 'partialCredit' WHEN awarded >= 5 THEN 'fullCredit' WHEN awarded > 0 THEN 'partialCredit' ELSE 'noCredit' END AS verdict, confidence, NOT blank AND (NOT graded OR confidence < 0.75 OR doubt) AS needs_review FROM v""",
 }
