@@ -1,8 +1,8 @@
-"""Rules that a grader's own marks of marking points have to pass before they count."""
+"""Rules that a grader's own marks of marking points, and edits of assessments, have to pass before they count."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import text as X
@@ -36,3 +36,18 @@ def ruled(answers: DataFrame, said: DataFrame, points: DataFrame) -> DataFrame:
     omitted = F.when(blank | ~graded, 0).otherwise(F.coalesce("listed", F.lit(0)) - F.coalesce("met", F.lit(0)))
     out = rows.withColumn("awarded", awarded).withColumn("confidence", sure)
     return out.select("answer_id", "awarded", omitted.cast("long").alias("omitted"), verdict.alias("verdict"), "confidence", (~blank & (~graded | (F.col("confidence") < REVIEW) | doubtful)).alias("needs_review"))
+
+
+def edited(stored: DataFrame, edits: DataFrame, editable: tuple[str, ...]) -> DataFrame:
+    """id, seq, status, accepted: what becomes of each edit (id, seq, status) of stored assessments (id, status).
+
+    Edits apply in order of seq (ties: by status); each is accepted while the assessment's status is an editable one, which the edits before it may
+    have changed: the first that leaves the editable ones locks all after it. An unknown id is a new assessment, its first edit accepted; so
+    is one of null status. Edits of null ids are refused.
+    """
+    order = Window.partitionBy("id").orderBy("seq", "status")
+    now = F.coalesce(F.col("held").isNull() | F.col("held").isin(*editable), F.lit(True))
+    stays = F.coalesce(F.col("status").isin(*editable), F.lit(True))
+    before = F.coalesce(F.min(stays).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    known = stored.select("id", F.col("status").alias("held"))
+    return edits.select("id", "seq", "status").join(known, "id", "left").select("id", "seq", "status", (F.col("id").isNotNull() & now & before).alias("accepted"))

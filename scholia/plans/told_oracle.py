@@ -80,4 +80,9 @@ r AS (SELECT o_orderkey AS k, o_orderkey % 11 = 0 AS blank, o_orderkey % 13 <> 0
 v AS (SELECT *, CASE WHEN blank OR NOT graded THEN 0 ELSE least(total, 5) END AS awarded, CAST(CASE WHEN blank THEN 0.95 WHEN NOT graded THEN 0.0 WHEN doubt THEN least(c, 0.65) ELSE c END AS DOUBLE) AS confidence FROM r)
 SELECT k AS answer_id, CAST(awarded AS BIGINT) AS awarded, CAST(CASE WHEN blank OR NOT graded THEN 0 ELSE 4 - met END AS BIGINT) AS omitted,
   CASE WHEN blank THEN 'blank' WHEN NOT graded THEN 'partialCredit' WHEN awarded >= 5 THEN 'fullCredit' WHEN awarded > 0 THEN 'partialCredit' ELSE 'noCredit' END AS verdict, confidence, NOT blank AND (NOT graded OR confidence < 0.75 OR doubt) AS needs_review FROM v""",
+    "assessment_locks": """
+WITH s AS (SELECT o_orderkey AS id, ['draft', 'review', 'approved'][o_custkey % 3 + 1] AS held FROM orders),
+e AS (SELECT l_orderkey AS id, l_linenumber AS seq, ['draft', 'review', 'approved', 'published'][l_partkey % 4 + 1] AS status FROM lineitem),
+n AS (SELECT *, count(*) FILTER (WHERE status IN ('approved', 'published')) OVER (PARTITION BY id ORDER BY seq, status ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS locks FROM e)
+SELECT n.id, seq, status, coalesce(held, 'draft') IN ('draft', 'review') AND coalesce(locks, 0) = 0 AS accepted FROM n LEFT JOIN s USING (id)""",
 }

@@ -27,3 +27,11 @@ def test_blank_ungraded_and_doubtful_answers(spark):
         4: (2, 1, "partialCredit", 0.65, True), 5: (0, 0, "partialCredit", 0.0, True),
     }
     assert ruled(spark, [], said) == {}
+
+
+def test_edits_are_refused_once_an_assessment_is_locked(spark):
+    stored = spark.createDataFrame([(1, "draft"), (2, "approved"), (4, None)], "id int, status string")
+    edits = spark.createDataFrame([(1, 1, "review"), (1, 2, "approved"), (1, 3, "draft"), (2, 1, "draft"), (3, 1, "approved"), (3, 2, "draft"), (4, 1, None), (4, 2, "draft"), (None, 1, "draft")], "id int, seq int, status string")
+    got = {(r.id, r.seq): r.accepted for r in marking.edited(stored, edits, ("draft", "review")).collect()}
+    assert got == {(1, 1): True, (1, 2): True, (1, 3): False, (2, 1): False, (3, 1): True, (3, 2): False, (4, 1): True, (4, 2): True, (None, 1): False}
+    assert marking.edited(stored, edits.limit(0), ("draft",)).count() == 0
