@@ -204,6 +204,42 @@ def grade_pairs(found: DataFrame, grades: DataFrame) -> DataFrame:
     return together.join(met.select(F.col("label").alias("a"), F.col("grade").alias("ga")), "a").join(met.select(F.col("label").alias("b"), F.col("grade").alias("gb")), "b").where("ga <> gb").select(F.when(F.col("ga") < F.col("gb"), F.col("a")).otherwise(F.col("b")).alias("prerequisite"), F.when(F.col("ga") < F.col("gb"), F.col("b")).otherwise(F.col("a")).alias("concept"), "n")
 
 
+def grade_prerequisites(found: DataFrame, grades: DataFrame, least: int = 1) -> DataFrame:
+    """prerequisite, concept, n: a label whose first grade is earlier than the other's; n counts the pairs of their grades that stand in this order.
+
+    grades: document_id, grade, one row a document; documents without one or with a null one don't count. Labels meet through the pairs of
+    first grades that are in order, of which there are as many as grades allow, so no label is compared with one that it can't precede.
+    """
+    graded = found.select("label", "document_id").distinct().join(grades.where("grade IS NOT NULL"), "document_id")
+    met = graded.groupBy("label").agg(F.array_sort(F.collect_set("grade")).alias("grades")).withColumn("first", F.get("grades", 0))
+    firsts = met.select("first").distinct()
+    ordered = firsts.agg(F.collect_set("first").alias("all")).select(F.explode("all").alias("first"), "all").select("first", F.explode(F.filter("all", lambda g: g > F.col("first"))).alias("then"))
+    earlier = met.select(F.col("label").alias("prerequisite"), "first", F.col("grades").alias("before"))
+    later = met.select(F.col("label").alias("concept"), F.col("first").alias("then"), F.col("grades").alias("after"))
+    n = F.aggregate("before", F.lit(0).cast("long"), lambda total, g: total + F.size(F.filter("after", lambda h: h > g)))
+    return earlier.join(ordered, "first").join(later, "then").select("prerequisite", "concept", n.alias("n")).where(F.col("n") >= least)
+
+
+def page_links(pages: DataFrame, html: str, labels: DataFrame) -> DataFrame:
+    """source, target: labels whose page links to another's. A page is about the first word of its title; a link is about the first word of its text.
+
+    labels: label, few. Null pages, pages without a title and links of a label to itself give nothing.
+    """
+    first = lambda x: F.get(X.tokens(x), 0)
+    titled = pages.where(F.col(html).isNotNull()).select(
+        first(F.regexp_extract(html, "<title>([^<]*)</title>", 1)).alias("source"), F.regexp_extract_all(html, F.lit("<a href=[^>]*>([^<]*)</a>"), F.lit(1)).alias("links"),
+    )
+    mine = titled.join(labels.select(F.col("label").alias("source")), "source")
+    linked = mine.select("source", F.explode("links").alias("link")).select("source", first(F.col("link")).alias("target"))
+    return linked.join(labels.select(F.col("label").alias("target")), "target").where("source <> target").select("source", "target").distinct()
+
+
+def told_edges(told: DataFrame, labels: DataFrame) -> DataFrame:
+    """source, target, type, predicates, span: what triples (subject, predicate, object) say between two labels, all predicates of a pair together."""
+    ends = told.join(labels.select(F.col("label").alias("subject")), "subject").join(labels.select(F.col("label").alias("object")), "object")
+    return ends.groupBy(F.col("subject").alias("source"), F.col("object").alias("target")).agg(F.sort_array(F.collect_set("predicate")).alias("predicates")).withColumns({"type": F.lit("RELATED_TO"), "span": F.lit(None).cast("string")})
+
+
 def triples(rows: DataFrame, text: str) -> DataFrame:
     """subject, predicate, object, n from sentences of the form `A requires B` (also needs, uses, is, has): entities are the words next to the verb."""
     found = F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z]{3,} (requires|needs|uses|is|has) [a-z]{3,})"), F.lit(1))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.sources import shared
+
 
 def event_range(events: DataFrame, learner: object, since: int = 0, limit: int | None = None) -> DataFrame:
     """A learner's events (learner_id, seq, ...) after a sequence number, in order."""
@@ -117,3 +119,16 @@ def key_stats(keys: DataFrame) -> DataFrame:
 def corpus_stats(sources: DataFrame, kind: str) -> DataFrame:
     """kind, sources, characters of a corpus by kind; null is unknown."""
     return sources.groupBy(F.coalesce(kind, F.lit("unknown")).alias("kind")).agg(F.count("*").alias("sources"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("characters"))
+
+
+def with_next(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """The rows with the value of the row that follows by key (ties: by value; nulls first), as `name`, and whether there is one, as `followed`.
+
+    Keys are dealt to tasks by range, so no task sorts the whole table; the first row of each range stands after the range before it.
+    """
+    ranged = shared.written(rows.repartitionByRange(F.col(key), F.col(value)).withColumn("__range", F.spark_partition_id()))
+    firsts = ranged.groupBy("__range").agg(F.min(F.struct(key, value)).alias("__first"))
+    ahead = firsts.select("__range", F.lead("__first").over(Window.orderBy("__range")).alias("__ahead"))  # one row a range
+    inside = F.lead(F.struct(key, value)).over(Window.partitionBy("__range").orderBy(key, value))
+    held = ranged.withColumn("__next", inside).join(F.broadcast(ahead), "__range").withColumn("__next", F.coalesce("__next", "__ahead"))
+    return held.withColumns({name: F.col("__next")[value], "followed": F.col("__next").isNotNull()}).drop("__range", "__next", "__ahead")

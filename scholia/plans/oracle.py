@@ -186,6 +186,6 @@ SELECT id, chapter, marks, bloom, CASE WHEN band <= 0 THEN 'easy' WHEN band = 1
     "extraction_accuracy": "SELECT count(*) AS n, count(*) FILTER (p_partkey % 7 <> 0 OR p_size IS NULL) AS right, count(*) FILTER (p_partkey % 7 <> 0 OR p_size IS NULL) / count(*) AS accuracy FROM part",
 }
 
-from scholia.plans import folds_oracle, kept_oracle, stored_oracle, told_oracle, worked_oracle  # noqa: E402  they use the parts above
+from scholia.plans import asked_oracle, folds_oracle, kept_oracle, stored_oracle, told_oracle, worked_oracle  # noqa: E402  they use the parts above
 
-ORACLE_SQL |= stored_oracle.SQL | folds_oracle.SQL | worked_oracle.SQL | kept_oracle.SQL | told_oracle.SQL
+ORACLE_SQL |= stored_oracle.SQL | folds_oracle.SQL | worked_oracle.SQL | kept_oracle.SQL | told_oracle.SQL | asked_oracle.SQL

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import text as X
-from scholia.operators import assessment, curriculum, fitting, graph, learners, memory, retrieval, workflow
+from scholia.operators import assessment, curriculum, fitting, graph, learners, memory, retrieval, stores, workflow
 from scholia.sources import shared, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -278,8 +278,9 @@ def ir_metrics(spark, d):
 
 
 def _neighbouring(spark: SparkSession, d: str) -> DataFrame:
-    """Each benchmark item with the next one's text; a benchmark is small."""
-    return views.table(spark, d, "benchmark").select("item_id", "text", F.lead("text").over(Window.orderBy("item_id")).alias("other")).where("other IS NOT NULL")
+    """Each benchmark item with the next one's text."""
+    items = views.table(spark, d, "benchmark").select("item_id", "text")
+    return stores.with_next(items, "item_id", "text", "other").where("other IS NOT NULL").select("item_id", "text", "other")
 
 
 @query
@@ -549,4 +550,4 @@ def question_terms(spark, d):
     return views.table(spark, d, "benchmark").where("text IS NOT NULL").select("item_id", F.array_join(workflow.terms(F.col("text"), 5), ",").alias("terms"))
 
 
-from scholia.plans import kept, stored, told, worked  # noqa: E402,F401  they add their queries
+from scholia.plans import asked, kept, stored, told, worked  # noqa: E402,F401  they add their queries
