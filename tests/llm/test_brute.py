@@ -32,7 +32,7 @@ def brute_grams(text, bits):
     return [bucket(s[i : i + n], bits) for n in (1, 2, 3) for i in range(len(s) - n + 1) if n > 1 or s[i] != " "]
 
 
-@pytest.mark.parametrize("most", [256, 1])
+@pytest.mark.parametrize("most", [256, 2, 1])
 def test_languages_against_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(language_id, "MOST", most)
     rng = random.Random(3)
@@ -41,8 +41,8 @@ def test_languages_against_brute_force(spark, monkeypatch, most):
     mixed = [(100 + i, " ".join(rng.choice(sum(words.values(), [])) for _ in range(4)), None) for i in range(40)] + [(200, "12 ?", None), (201, None, None)]
     docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
     model = language_id.fit(docs, "text", "lang", bits=12)
-    bits = 12 - (2 if most == 1 else 0)
-    assert model.bits == bits
+    bits = 12
+    assert model.bits == bits and len(list(model.parts())) == -(-3 // most)
     counts, prior = defaultdict(Counter), Counter(lang for *_, lang in rows)
     for _, text, lang in rows:
         counts[lang].update(brute_grams(text, bits))
@@ -57,6 +57,22 @@ def test_languages_against_brute_force(spark, monkeypatch, most):
         assert r.lang_pred == best and r.score == pytest.approx(1 / sum(math.exp(v - z[best]) for v in z.values()), rel=1e-3)
 
 
+def test_languages_beyond_one_part_of_the_matrix(spark, monkeypatch):
+    """300 languages with words of their own: parts of 256 and of 60 predict what one whole matrix does, rows without a letter and repeated rows included."""
+    rng = random.Random(8)
+    rows = [(i % 1000, " ".join(f"{chr(0x4E00 + 7 * (i % 300))}{rng.choice('abcdefg')}" for _ in range(rng.randint(1, 4))), f"l{i % 300}") for i in range(1500)] + [(5000, None, None), (5001, "12", "l7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = []
+    for most in (1000, 256, 60):
+        monkeypatch.setattr(language_id, "MOST", most)
+        model = language_id.fit(docs, "text", "lang", bits=12)
+        assert model.bits == 12 and len(model.langs) == 300
+        found.append(sorted((r.id, r.lang_pred, round(r.score, 9)) for r in language_id.predict(docs, "text", "doc_id", model).collect()))
+    assert found[0] == found[1] == found[2]
+    assert len(found[0]) == 1502 and len({x for _, x, _ in found[0]}) > 250
+    assert language_id.predict(docs.limit(0), "text", "doc_id", model).count() == 0
+
+
 def brute_tokens(text):
     """(canonical token, filler or None) of a text."""
     out, end, last_number = [], 0, False
