@@ -51,3 +51,24 @@ def edited(stored: DataFrame, edits: DataFrame, editable: tuple[str, ...]) -> Da
     before = F.coalesce(F.min(stays).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     known = stored.select("id", F.col("status").alias("held"))
     return edits.select("id", "seq", "status").join(known, "id", "left").select("id", "seq", "status", (F.col("id").isNotNull() & now & before).alias("accepted"))
+
+
+def papers(requests: DataFrame, selected: DataFrame, stored: DataFrame, editable: tuple[str, ...]) -> DataFrame:
+    """paper_id, outcome, title, subject, grade, questions, marks, status of every request (paper_id, assessment_id) for a paper.
+
+    selected: paper_id, position, subject, grade, marks, one row a question; stored: id, title, subject, grade, status of assessments. A paper without
+    questions is refused as empty, one of a stored assessment that is not editable as locked; the others are generated, and status is that of
+    their assessment from then on (null where none is stored). What an assessment doesn't say, the first question by position does (ties: by subject and
+    grade). Requests don't see each other; questions of no request count nowhere; null marks are 0.
+    """
+    first = F.min(F.struct("position", "subject", "grade"))
+    asked = selected.groupBy("paper_id").agg(F.count("*").alias("questions"), F.sum(F.coalesce("marks", F.lit(0))).cast("long").alias("marks"), first.alias("first"))
+    known = stored.select(F.col("id").alias("assessment_id"), "title", "subject", "grade", "status", F.lit(True).alias("known"))
+    rows = requests.select("paper_id", "assessment_id").join(asked, "paper_id", "left").join(known, "assessment_id", "left")
+    locked = F.col("known") & ~F.coalesce(F.col("status").isin(*editable), F.lit(True))
+    outcome = F.when(F.col("questions").isNull(), "empty").when(locked, "locked").otherwise("generated")
+    made = lambda x: F.when(F.col("outcome") == "generated", x)
+    return rows.withColumn("outcome", outcome).select(
+        "paper_id", "outcome", made(F.coalesce("title", F.lit("Assessment"))).alias("title"), made(F.coalesce("subject", F.col("first")["subject"])).alias("subject"), made(F.coalesce("grade", F.col("first")["grade"])).alias("grade"),
+        F.coalesce("questions", F.lit(0)).alias("questions"), F.coalesce("marks", F.lit(0)).cast("long").alias("marks"), F.when(F.col("outcome") == "generated", F.when(F.col("known"), "paperGenerated")).otherwise(F.col("status")).alias("status"),
+    )

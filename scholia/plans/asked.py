@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions import text as X
-from scholia.operators import answering, curriculum, retrieval, workflow
+from scholia.operators import answering, curriculum, marking, retrieval, workflow
 from scholia.plans import suite
 from scholia.plans.suite import query
 from scholia.sources import shared, views
@@ -89,3 +89,20 @@ def language_accuracy(spark, d) -> DataFrame:
     best = F.array_max(counted)
     predicted = docs.select("id", F.when(best["n"] > 0, best["lang"]).alias("lang"))
     return workflow.extraction_accuracy(docs.select("id", "lang"), predicted, ("lang",))
+
+
+@query
+def paper_requests(spark, d) -> DataFrame:
+    """Orders as requests for papers of customers' assessments, their larger lines as the selected questions: papers made and refused."""
+    customers = views.table(spark, d, "customer").where("c_custkey % 5 <> 0")
+    steps = F.array(*(F.lit(x) for x in ("draft", "approved", "review", None)))
+    stored = customers.select(
+        F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).alias("title"), F.when(F.col("c_nationkey") % 3 != 0, F.col("c_mktsegment")).alias("subject"), F.col("c_nationkey").cast("long").alias("grade"),
+        F.get(steps, (F.col("c_custkey") % 4).cast("int")).alias("status"),
+    )
+    lines, parts = views.table(spark, d, "lineitem").where("l_quantity > 30"), views.table(spark, d, "part")
+    selected = lines.join(parts, lines.l_partkey == parts.p_partkey).select(
+        F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("position"), F.col("p_brand").alias("subject"), F.col("p_size").cast("long").alias("grade"), (1 + F.col("p_size") % 5).alias("marks"),
+    )
+    requests = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("paper_id"), F.col("o_custkey").alias("assessment_id"))
+    return marking.papers(requests, selected, stored, ("draft", "review"))

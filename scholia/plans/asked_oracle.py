@@ -72,4 +72,13 @@ SELECT x.label AS prerequisite, y.label AS concept, (SELECT count(*) FROM gd a J
     "page_links": "WITH " + _EDGES + " SELECT source, target FROM pg",
     "prereq_votes_mined": oracle.w(CHUNKS, _EDGES, _VOTES),
     "language_accuracy": f"WITH t AS (SELECT doc_id, lang, {TOK.format("coalesce(text, '')")} AS ts FROM documents), b AS (SELECT doc_id, lang, list_max([{_COUNTED}]) AS best FROM t), p AS (SELECT doc_id, lang, CASE WHEN best.n > 0 THEN best.lang END AS predicted FROM b) SELECT count(*) AS n, count(DISTINCT doc_id) FILTER (lang IS NOT DISTINCT FROM predicted) AS right, count(DISTINCT doc_id) FILTER (lang IS NOT DISTINCT FROM predicted) / count(*) AS accuracy FROM p",
+    "paper_requests": """
+WITH cu AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS title, CASE WHEN c_nationkey % 3 <> 0 THEN c_mktsegment END AS subject, c_nationkey AS grade, ['draft', 'approved', 'review', NULL][c_custkey % 4 + 1] AS status FROM customer WHERE c_custkey % 5 <> 0),
+qn AS (SELECT l_orderkey AS paper_id, l_linenumber AS position, p_brand AS subject, p_size AS grade, 1 + p_size % 5 AS marks FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 30),
+qc AS (SELECT paper_id, count(*) AS questions, CAST(sum(marks) AS BIGINT) AS marks FROM qn GROUP BY paper_id),
+qf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY position, subject, grade) AS r FROM qn) WHERE r = 1),
+jn AS (SELECT o_orderkey AS paper_id, CASE WHEN questions IS NULL THEN 'empty' WHEN cu.status = 'approved' THEN 'locked' ELSE 'generated' END AS outcome, title, coalesce(cu.subject, qf.subject) AS subject, CAST(coalesce(cu.grade, qf.grade) AS BIGINT) AS grade, coalesce(questions, 0) AS questions, coalesce(qc.marks, 0) AS marks, cu.status, cu.id
+  FROM orders LEFT JOIN qc ON qc.paper_id = o_orderkey LEFT JOIN qf ON qf.paper_id = o_orderkey LEFT JOIN cu ON cu.id = o_custkey)
+SELECT paper_id, outcome, CASE WHEN outcome = 'generated' THEN coalesce(title, 'Assessment') END AS title, CASE WHEN outcome = 'generated' THEN subject END AS subject, CASE WHEN outcome = 'generated' THEN grade END AS grade, questions, marks,
+  CASE WHEN outcome <> 'generated' THEN status WHEN id IS NOT NULL THEN 'paperGenerated' END AS status FROM jn""",
 }

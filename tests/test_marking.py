@@ -35,3 +35,16 @@ def test_edits_are_refused_once_an_assessment_is_locked(spark):
     got = {(r.id, r.seq): r.accepted for r in marking.edited(stored, edits, ("draft", "review")).collect()}
     assert got == {(1, 1): True, (1, 2): True, (1, 3): False, (2, 1): False, (3, 1): True, (3, 2): False, (4, 1): True, (4, 2): True, (None, 1): False}
     assert marking.edited(stored, edits.limit(0), ("draft",)).count() == 0
+
+
+def test_papers_are_refused_when_empty_or_locked(spark):
+    requests = spark.createDataFrame([("p1", 1), ("p2", 1), ("p3", 2), ("p4", 9), ("p5", None), ("p6", 3)], "paper_id string, assessment_id int")
+    asked = [("p1", 2, "bio", 9, 3), ("p1", 1, "phy", 10, None), ("p3", 1, "phy", 10, 1), ("p4", 2, "geo", 7, 2), ("p4", 1, "art", 8, 4), ("p5", 1, None, None, 1), ("p6", 1, "bio", 9, 5), ("zz", 1, "bio", 9, 5)]
+    selected = spark.createDataFrame(asked, "paper_id string, position int, subject string, grade int, marks int")
+    stored = spark.createDataFrame([(1, "Term 1", None, 11, "draft"), (2, "Term 2", "phy", 10, "approved"), (3, None, "chem", None, None)], "id int, title string, subject string, grade int, status string")
+    got = {r.paper_id: tuple(r)[1:] for r in marking.papers(requests, selected, stored, ("draft", "review")).collect()}
+    assert got == {
+        "p1": ("generated", "Term 1", "phy", 11, 2, 3, "paperGenerated"), "p2": ("empty", None, None, None, 0, 0, "draft"), "p3": ("locked", None, None, None, 1, 1, "approved"),
+        "p4": ("generated", "Assessment", "art", 8, 2, 6, None), "p5": ("generated", "Assessment", None, None, 1, 1, None), "p6": ("generated", "Assessment", "chem", 9, 1, 5, "paperGenerated"),
+    }
+    assert marking.papers(requests.limit(0), selected, stored, ("draft",)).count() == 0
