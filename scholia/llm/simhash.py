@@ -73,8 +73,12 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, tabl
 
     Table 0 is over the shingles' hashes, each other one over a bijective remix of them.
     """
-    plain, begin = shingle_hashes(data, offsets, words)
-    out = np.zeros((len(offsets) - 1, tables), np.uint64)
+    return fingerprints_of(*shingle_hashes(data, offsets, words), tables)
+
+
+def fingerprints_of(plain: np.ndarray, begin: np.ndarray, tables: int = 1) -> np.ndarray:
+    """The fingerprints of texts whose shingle hashes are there already."""
+    out = np.zeros((len(begin) - 1, tables), np.uint64)
     shingles = np.diff(begin)
     some = np.flatnonzero(shingles)
     if len(some) == 0:

@@ -4,7 +4,9 @@ import random
 import re
 
 import corpus_pipeline
-from scholia.llm import near_copies
+import pyarrow as pa
+from scholia.llm import _text as T
+from scholia.llm import near_copies, simhash
 
 
 def shingles(text, words=5):
@@ -63,3 +65,34 @@ def test_boilerplate_of_unlike_texts_links_none(spark):
     want = brute_groups(texts)
     assert 20 < len(set(want.values())) < 240
     assert {r.id: r.component for r in near_copies.grouped(rows, "text", "doc_id").collect()} == want
+
+
+def test_fingerprints_find_near_copies_first(spark, monkeypatch):
+    """Without the MinHash bands, copies whose fingerprints are within 4 bits are still found, and only those that are similar enough."""
+    rng = random.Random(3)
+    texts = {}
+    for i in range(0, 300, 3):
+        t = " ".join(f"w{rng.randrange(5000)}" for _ in range(400))
+        texts |= {i: t, i + 1: edited(rng, t, 1), i + 2: edited(rng, t, 40)}
+    for i in range(300, 500):  # more links of one text than are verified together
+        texts[i] = edited(rng, texts[0], 1)
+    texts |= {500: "a b c d e " * 30, 501: "a b c d e " * 31, 502: texts[6] + " " + " ".join([texts[6]] * 3)}
+    print_of = {i: int(simhash.fingerprints(*T.buffers(pa.array([t])), 5)[0, 0]) for i, t in texts.items()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and (print_of[a] ^ print_of[b]).bit_count() <= 4 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+
+    def no_bands(batches):
+        for _ in batches:
+            pass
+        yield from ()
+
+    monkeypatch.setattr(near_copies, "_bucketed", no_bands)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_copies(spark, rows, "").collect()}
+    assert len(texts) - len(set(root.values())) > 250
+    assert kept == set(root.values())
