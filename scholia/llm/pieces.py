@@ -11,6 +11,8 @@ emptied. A vocabulary of scored pieces (unigram) is segmented by the best sum of
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -108,6 +110,7 @@ class Automaton:
                     self.ends.append(-1)
                     self.grows.append(False)
             self.ends[node] = i
+        self.lengths = [len(x) for x in vocabulary.texts]
         self._apart: dict[int, bool] = {}
         self._edges: dict[int, tuple[list, list]] = {}
         self._reset()
@@ -182,23 +185,31 @@ class Automaton:
         return known
 
     def _move(self, state: int, c: int) -> tuple[int, int, int]:
-        bpe, scores, child, ends, grows = self.v.bpe, self.v.scores, self.child, self.ends, self.grows
+        bpe, scores, child, ends, grows, apart = self.v.bpe, self.v.scores, self.child.get, self.ends, self.grows, self._apart.get
         piece, total, alive = -1, 0, []
         for node, last, count, since in self.states[state]:
-            to = child.get(node << 21 | c, -1)
-            if to < 0:
+            to = child(node << 21 | c)
+            if to is None:
                 continue
             if grows[to]:
                 alive.append((to, last, count, since + 1))
             i = ends[to]
-            if i >= 0 and (piece < 0 or not bpe) and (last < 0 or not bpe or self._stay_apart(last, i)):
-                new = count + (1 if bpe else scores[i])
+            if i < 0:
+                continue
+            if not bpe:
+                new = count + scores[i]
                 if piece < 0 or new > total:
                     piece, total = i, new
+            elif piece < 0:
+                stay = True if last < 0 else apart(last << 20 | i)
+                if stay is None:
+                    stay = self._stay_apart(last, i)
+                if stay:
+                    piece, total = i, count + 1
         if piece < 0:
             # a character in no piece is a bound, and as many byte pieces as it has bytes
             return 0, len(chr(c).encode()), -c - 1
-        after = (*((to, last, count - total, since) for to, last, count, since in alive), (0, piece if bpe else -1, 0, 0))
+        after = (*[(to, last, count - total, since) for to, last, count, since in alive], (0, piece if bpe else -1, 0, 0))
         return self.number(after), total, piece
 
     def number(self, state: tuple) -> int:
@@ -210,7 +221,7 @@ class Automaton:
         return number
 
     def _length(self, piece: int) -> int:
-        return len(self.v.texts[piece]) if piece >= 0 else 1
+        return self.lengths[piece] if piece >= 0 else 1
 
     def lasts(self, word: str) -> list[int]:
         """The last piece of each prefix of a word."""
@@ -262,26 +273,29 @@ class Stream:
         self.lasts: list[int] = []  # last piece of each prefix after the committed boundary
 
     def push(self, text: str) -> list[int]:
-        a, out = self.a, []
-        moves = a.moves
-        for c in map(ord, text):
-            move = moves.get(self.state << 21 | c)
-            if move is None:
-                move = moves[self.state << 21 | c] = a._move(self.state, c)
-            self.state = move[0]
-            self.lasts.append(move[2])
-            if len(self.lasts) % self.STRIDE == 0:
+        a, out, at = self.a, [], 0
+        while at < len(text):
+            lasts, state, moves = self.lasts, self.state, a.moves
+            part = text[at : at + self.STRIDE - len(lasts) % self.STRIDE]
+            at += len(part)
+            for c in map(ord, part):
+                move = moves.get(state << 21 | c)
+                if move is None:
+                    move = moves[state << 21 | c] = a._move(state, c)
+                state = move[0]
+                lasts.append(move[2])
+            self.state = state
+            if len(lasts) % self.STRIDE == 0:
                 out += self._commit()
-                self.state = a.tidied(self.state)  # long words too keep the tables bounded
-                moves = a.moves
+                self.state = a.tidied(state)  # long words too keep the tables bounded
         return out
 
     def _back(self, to: int) -> list[int]:
-        pieces, at = [], to
+        pieces, at, lasts, lengths = [], to, self.lasts, self.a.lengths
         while at > 0:
-            piece = self.lasts[at - 1]
+            piece = lasts[at - 1]
             pieces.append(piece)
-            at -= self.a._length(piece)
+            at -= lengths[piece] if piece >= 0 else 1
         return pieces[::-1]
 
     def _ids(self, to: int) -> list[int]:
@@ -382,8 +396,10 @@ class Words:
             self.kept = 0
         missing = [i for i, k in enumerate(keys) if k not in known]
         at = first[missing] if missing else np.zeros(0, np.int64)
-        for i, word in zip(missing, self._texts(data, starts[at], ends[at], run[at] >= 0), strict=True):
-            known[keys[i]] = np.array(self.a.encode(word), "<i4").tobytes()
+        # in the order of the words: those that begin alike find their states in the processor's cache
+        for word, i in sorted(zip(self._texts(data, starts[at], ends[at], run[at] >= 0), missing, strict=True)):
+            ids = self.a.encode(word)
+            known[keys[i]] = struct.pack(f"<{len(ids)}i", *ids)
             self.kept += len(known[keys[i]]) + ENTRY
         lists = [known[k] for k in keys]
         word_ids, word_sizes = np.frombuffer(b"".join(lists), "<i4"), np.array([len(x) >> 2 for x in lists], np.int64)

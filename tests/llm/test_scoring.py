@@ -2,6 +2,7 @@
 
 import math
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -265,3 +266,25 @@ def test_broadcast_and_join_agree(spark):
     ways = [{r.id: r.total for r in context_tree.score(docs, "text", "doc_id", model, covered=True, most_broadcast=most).collect()} for most in (10**8, 0)]
     assert len(ways[0]) == docs.count()
     assert ways[0] == pytest.approx(ways[1], rel=1e-12, abs=1e-9)
+
+
+def test_work_per_word_does_not_grow_by_calls_per_piece():
+    """Following the back pointers of a word whose moves are known makes no call a piece."""
+    a = pieces.Automaton(pieces.Vocabulary(pieces.default_path()))
+
+    def calls(word):
+        a.encode(word)
+        n = [0]
+
+        def count(frame, event, arg):
+            n[0] += event == "call"
+
+        sys.setprofile(count)
+        try:
+            ids = a.encode(word)
+        finally:
+            sys.setprofile(None)
+        return n[0], len(ids)
+
+    (few, short), (many, long) = calls("\u2581the"), calls("\u2581xqzkvjwpqxzjkvqwzxkj")
+    assert long > short + 5 and many == few
