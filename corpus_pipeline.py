@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.llm import near_copies, personal_data, piece_codec, templates, toxicity
-from scholia.llm._spark import table, written
+from scholia.llm._spark import bounded, table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts are scored as texts without words and stay; labels of unknown or null ids teach nothing; an empty table stays empty.
     """
+    bounded(spark)
     labels = table(spark, sf_dir, "labels")
     return toxicity.clean(docs, "text", toxicity.fit(docs, "text", "doc_id", labels, "toxic"))
 
@@ -28,11 +29,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near copies share 0.8 or more of their five-word shingles; every link is verified by the whole sets. All null, empty and blank texts
     are copies of each other, so one of them stays; of repeated rows of the smallest doc_id one stays. An empty table stays empty.
     """
+    bounded(spark)
     return near_copies.kept(docs, "text", "doc_id", words=5, similarity=0.8)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item. Null and empty texts leak nothing; rows without an id stay; repeated rows go or stay together."""
+    bounded(spark)
     return templates.clean(docs, "text", "doc_id", table(spark, sf_dir, "benchmark"), "text", "item_id")
 
 
@@ -44,6 +47,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to its text: doc_id, token_ids, n_tokens, exact. Null and empty texts have no ids; each repeated row has its own."""
+    bounded(spark)
     # executors that have run the other stages have less memory to spare than those that only encode
     return piece_codec.encode(docs, "text", "doc_id", kept_bytes=24 << 20).withColumnsRenamed({"id": "doc_id", "ids": "token_ids"})
 

@@ -29,6 +29,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the rows that go to a Python worker at once.
+BATCH_BYTES = 2 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds Arrow batches in bytes, unless the session has a bound of its own: 10,000 rows of long texts fill executors, in the JVM and in Python."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def fold(key: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % n

@@ -6,12 +6,13 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scholia.llm import personal_data, pivot_search, queries, simhash, templates, url_rules
+from scholia.llm import personal_data, piece_codec, pivot_search, queries, simhash, templates, url_rules
 from test_near_copies import brute_groups
 
 
@@ -265,6 +266,24 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, d).count() == len(last)
 
 
+def test_pipeline_batches_of_long_texts_are_bounded(spark, monkeypatch):
+    """Workers get a few MB of texts at once, not 10,000 rows however long; a longer text goes alone, and none is lost."""
+
+    def sizes(path, most):
+        def run(batches):
+            for b in batches:
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([[]] * n, pa.list_(pa.int32())), pa.array([b.nbytes] * n), pa.array([True] * n)], names=["id", "ids", "n_tokens", "exact"])
+
+        return run
+
+    monkeypatch.setattr(piece_codec, "_encoded", sizes)
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.when(F.col("id") == 7, 1_000_000).otherwise(2000).cast("int")).alias("text"))
+    got = {r.doc_id: r.n_tokens for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    assert len(got) == 2000
+    assert max(n for i, n in got.items() if i != 7) < 8 << 20  # the batch of the long text has others before it
+
+
 def test_queries_have_contract_columns(spark):
     d = "/root/testdata/sf0.001"
     want = {
