@@ -143,8 +143,11 @@ def answer_keys(pages: DataFrame) -> DataFrame:
 
 
 def looked_up(questions: DataFrame, keys: DataFrame) -> DataFrame:
-    """Questions (subject, grade, paper_code, q_no) with the option of their key: the same grade before a key without one."""
-    k = keys.select(F.col("subject").alias("__s"), F.col("grade").alias("__g"), F.col("paper_code").alias("__p"), F.col("q_no").alias("__q"), F.col("option").alias("__o"))
+    """Questions (subject, grade, paper_code, q_no) with the option of their key: the same grade before a key without one.
+
+    Keys are collapsed first, so that a question meets two at most, one of its grade and one without, however many say the same.
+    """
+    k = keys.groupBy(F.col("subject").alias("__s"), F.col("grade").alias("__g"), F.col("paper_code").alias("__p"), F.col("q_no").alias("__q")).agg(F.max("option").alias("__o"))
     fits = (F.col("paper_code") == F.col("__p")) & (F.col("q_no") == F.col("__q")) & (F.col("subject") == F.col("__s")) & ((F.col("grade") == F.col("__g")) | (F.col("__g") == ""))
     joined = questions.join(k, fits, "left")
     return joined.groupBy(*questions.columns).agg(F.max_by("__o", F.struct(F.col("__g") != "", "__o")).alias("option"))

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from joins import rows_of_joins
 from scholia.sources import files
 from scholia.streaming import replay
 
@@ -40,6 +41,15 @@ def test_answer_keys(spark):
     assert got == {("31/1/1", 1): "B", ("31/1/1", 2): "C", ("31/1/1", 3): "A"}
 
 
+def test_keys_that_say_the_same_are_joined_once(spark):
+    columns = "subject string, grade string, paper_code string, q_no int"
+    keys = spark.createDataFrame([("Science", g, "31/1/1", 1, o) for g, o in [("X", "B"), ("X", "A"), ("", "D"), ("X", None), (None, "C")] * 40], f"{columns}, option string")
+    asked = spark.createDataFrame([(i, "Science", g, "31/1/1", q) for i, (g, q) in enumerate([("X", 1), ("XII", 1), (None, 1), ("X", 2)] * 10)], f"id int, {columns}")
+    found = files.looked_up(asked, keys)
+    assert {(r.id % 4, r.option) for r in found.collect()} == {(0, "B"), (1, "D"), (2, "D"), (3, None)} and found.count() == 40
+    assert rows_of_joins(files.looked_up(asked, keys)) == 50  # 5 from each four questions: their own grade's key and the one without a grade
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(1, i, f"c{i % 3}", "answer", float(i % 2), None) for i in range(20)]
     df = spark.createDataFrame(rows, "learner_id long, event_id long, concept_id string, kind string, outcome double, affect string").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id") * 60))
