@@ -9,7 +9,7 @@ from scholia.functions import text as X
 from scholia.operators import curriculum, extraction, graph, learners, memory, retrieval, stores
 from scholia.plans import suite
 from scholia.plans.suite import query
-from scholia.sources import views
+from scholia.sources import shared, views
 
 KINDS = ("PREREQUISITE_OF", "RELATED_TO", "SUPPORTED_BY")
 
@@ -258,8 +258,7 @@ def _anchors(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def query_subgraph(spark, d):
-    suite._checkpoints(spark)
-    return graph.subgraph(_typed(spark, d), _anchors(spark, d).checkpoint(), 2)
+    return graph.subgraph(_typed(spark, d), shared.written(_anchors(spark, d)), 2)
 
 
 @query
