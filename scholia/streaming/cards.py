@@ -1,6 +1,6 @@
-"""FSRS cards that follow a stream of learner events: keyed state of each (learner, concept).
+"""FSRS cards that follow a stream of learner events: keyed state of each learner, who has a card for each concept.
 
-A key's state is its card over all events that can't change any more (those the watermark has passed) and a buffer of the
+Concepts of a learner share a state, as each state costs a call in each batch. A card's state is the card over all events that can't change any more (those the watermark has passed) and a buffer of the
 later ones in the order of (time, event). A late event goes to its place in the buffer, a repeated one is dropped there, and one that comes after
 the watermark has passed it is dropped by Spark. Each change gives a row: the card over the folded events and the buffer, which is what
 `memory.cards` gives for the events seen so far. A timer folds a buffer when the watermark passes it, and closes cards that have been idle.
@@ -19,7 +19,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from scholia.operators.memory import DECAY, FACTOR, S_MAX, S_MIN, W
 from scholia.sources.views import DAY_US
 
-STATE = "d double, s double, reps long, lapses long, last_us long, seen_us long, nights long, times array<long>, ids array<long>, kinds array<string>, outcomes array<double>"
+#: Cards of a learner's concepts, and the buffered events with the place of their concept.
+STATE = (
+    "concepts array<string>, d array<double>, s array<double>, reps array<long>, lapses array<long>, last_us array<long>, seen_us array<long>, nights array<long>, "
+    "places array<long>, times array<long>, ids array<long>, kinds array<string>, outcomes array<double>"
+)
 CARD = "learner_id long, concept_id string, difficulty double, stability double, reps long, lapses long, last_review_us long, nights long, closed boolean"
 
 #: d, s, reps, lapses, last_us, seen_us, nights
@@ -66,52 +70,65 @@ def folded(card: Card, event: Event) -> Card:
     return d, s, reps, int(lapses), last, t, nights
 
 
-def _row(key: tuple, card: Card, closed: bool) -> dict:
+def _row(learner, concept: str | None, card: Card, closed: bool) -> tuple:
     d, s, reps, lapses, last, _, nights = card
-    return {"learner_id": key[0], "concept_id": key[1], "difficulty": d, "stability": s * min(1.04**nights, 1.3), "reps": reps, "lapses": lapses, "last_review_us": last if reps else None, "nights": nights, "closed": closed}
+    return learner, concept, d, s * min(1.04**nights, 1.3), reps, lapses, last if reps else None, nights, closed
 
 
 def _updater(idle_days: float | None):
+    names = [c.split()[0] for c in CARD.split(", ")]
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        card, buffer = NEW, {}
+        cards: dict[str | None, Card] = {}
+        buffers: dict[str | None, dict[tuple[int, int], Event]] = {}
         if state.exists:
-            *fields, times, ids, kinds, outcomes = state.get
-            card = tuple(fields)
-            buffer = {(t, i): (t, i, k, o) for t, i, k, o in zip(times, ids, kinds, outcomes, strict=True)}
-        changed = False
+            concepts, *fields, places, times, ids, kinds, outcomes = state.get
+            cards = {c: tuple(f) for c, *f in zip(concepts, *fields, strict=True)}
+            buffers = {c: {} for c in cards}
+            for p, t, i, k, o in zip(places, times, ids, kinds, outcomes, strict=True):
+                buffers[concepts[p]][t, i] = (t, i, k, o)
+        changed = set()
         if not state.hasTimedOut:
             for rows in batches:
-                for t, i, k, o in zip(rows["t_us"].tolist(), rows["event_id"].tolist(), rows["kind"].tolist(), rows["outcome"].tolist(), strict=True):
+                for c, t, i, k, o in zip(*(rows[x].tolist() for x in ("concept_id", "t_us", "event_id", "kind", "outcome")), strict=True):
+                    buffer = buffers.setdefault(c, {})
                     if (t, i) not in buffer:
                         buffer[t, i] = (t, i, k, None if o is None or math.isnan(o) else o)
-                        changed = True
+                        changed.add(c)
         passed = state.getCurrentWatermarkMs() * 1000
-        rest = []
-        for event in sorted(buffer.values(), key=lambda e: e[:2]):
-            if event[0] <= passed:
-                card = folded(card, event)
-            else:
-                rest.append(event)
-        latest = card
-        for event in rest:
-            latest = folded(latest, event)
-        ends = None if idle_days is None else latest[5] + int(idle_days * DAY_US)
-        closed = not rest and ends is not None and ends <= passed
-        if closed:
-            state.remove()
+        out, held, waiting, dues = [], {}, [], []
+        for c, buffer in buffers.items():
+            card, rest = cards.get(c, NEW), []
+            for event in sorted(buffer.values(), key=lambda e: e[:2]):
+                if event[0] <= passed:
+                    card = folded(card, event)
+                else:
+                    rest.append(event)
+            latest = card
+            for event in rest:
+                latest = folded(latest, event)
+            ends = None if idle_days is None else latest[5] + int(idle_days * DAY_US)
+            closed = not rest and ends is not None and ends <= passed
+            if not closed:
+                waiting += [(len(held), *event) for event in rest]
+                held[c] = card
+                dues += [rest[0][0] if rest else ends]  # fold when the watermark passes the first of the buffer, or close
+            if c in changed or closed:
+                out.append(_row(key[0], c, latest, closed))
+        if held:
+            state.update(([*held], *map(list, zip(*held.values(), strict=True)), *([list(x) for x in zip(*waiting, strict=True)] or [[], [], [], [], []])))
+            if due := [x for x in dues if x is not None]:
+                state.setTimeoutTimestamp(max(min(due) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         else:
-            state.update((*card, *([list(x) for x in zip(*rest, strict=True)] or [[], [], [], []])))
-            due = rest[0][0] if rest else ends  # fold when the watermark passes the first of the buffer, or close
-            if due is not None:
-                state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if changed or closed:
-            yield pd.DataFrame([_row(key, latest, closed)])
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=names, dtype=object)  # numbers beside nulls stay whole
 
     return update
 
 
 def replayed(events: DataFrame, lateness: str = "1 day", idle_days: float | None = None) -> DataFrame:
-    """Cards of the keys that a batch has changed, for update mode: the columns of `memory.cards`, and closed.
+    """Cards of the learners' concepts that a batch has changed, for update mode: the columns of `memory.cards`, and closed.
 
     events: learner_id, concept_id, event_id, kind, outcome, ts, t_us; those without a time or an event are left out. An event up to `lateness` behind the
     latest one still finds its place, wherever it stands in the stream and however often it is repeated. The buffer of a key holds
@@ -120,7 +137,7 @@ def replayed(events: DataFrame, lateness: str = "1 day", idle_days: float | None
     """
     columns = ["learner_id", "concept_id", "event_id", F.coalesce("kind", F.lit("")).alias("kind"), "outcome", "ts", "t_us"]
     known = events.where("ts IS NOT NULL AND t_us IS NOT NULL AND event_id IS NOT NULL").select(columns).withWatermark("ts", lateness)
-    return known.groupBy("learner_id", "concept_id").applyInPandasWithState(_updater(idle_days), CARD, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return known.groupBy("learner_id").applyInPandasWithState(_updater(idle_days), CARD, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def arrivals(spark: SparkSession, events: DataFrame, path: str, days: int = 8, jitter_hours: int = 12) -> None:
